@@ -6,9 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallymill.functions.cascade import let
-from tallymill.functions.rules import lines_of
-from tallymill.functions.text import all_matches, strip_ws
-from tallymill.operators.score import jaccard
+from tallymill.functions.rules import last_of, lines_of
+from tallymill.functions.text import all_matches, last_match, strip_ws
 
 # Headings of ranking and reasoning sections.
 RANKING_HEADING = "RANKING|CLASIFICACIÓN|CLASSEMENT"
@@ -61,31 +60,36 @@ def statement_sentences(text: Column) -> Column:
     return F.slice(F.array_distinct(F.filter(F.transform(said, clean_entry), lambda s: F.length(s) > 5)), 1, 10)
 
 
-def _bare(text: Column) -> Column:
-    return strip_ws(F.regexp_replace(F.lower(text), r"[^a-zA-Z0-9\s]", ""))
-
-
 def distinct_entries(entries: Column, limit: int = 10, threshold: float = 0.85) -> Column:
     """Entries without near copies: same letters, word subsets, or word overlap above the threshold.
 
-    A fold over the list, since an entry is compared with the entries kept so far.
+    A fold over the list, since an entry is compared with the entries kept so
+    far.  Words and letters of each entry are taken once, before the fold.
     """
 
-    def wordset(s: Column) -> Column:
-        return F.array_distinct(F.split(_bare(s), r"\s+"))
+    def bare(entry: Column) -> Column:
+        return F.struct(entry.alias("entry"), strip_ws(F.regexp_replace(F.lower(entry), r"[^a-z0-9\s]", "")).alias("bare"))
+
+    def shape(e: Column) -> Column:
+        return F.struct(
+            e["entry"].alias("entry"),
+            F.array_distinct(F.split(e["bare"], r"\s+")).alias("words"),
+            F.regexp_replace(e["bare"], r"\s", "").alias("letters"),
+        )
 
     def near(a: Column, b: Column) -> Column:
-        inside = (F.size(F.array_except(a, b)) == 0) | (F.size(F.array_except(b, a)) == 0)
-        return inside | (jaccard(a, b) > threshold)
+        common = F.size(F.array_intersect(a["words"], b["words"]))
+        shorter = F.least(F.size(a["words"]), F.size(b["words"]))
+        combined = F.size(a["words"]) + F.size(b["words"]) - common
+        return (a["letters"] == b["letters"]) | (common == shorter) | (common / combined > threshold)
 
     def add(kept: Column, entry: Column) -> Column:
-        new = let(wordset(entry), lambda w: ~F.exists(kept, lambda k: near(w, wordset(k))))
-        letters = F.regexp_replace(_bare(entry), r"\s", "")
-        same = F.exists(kept, lambda k: F.regexp_replace(_bare(k), r"\s", "") == letters)
-        return F.when((F.length(_bare(entry)) >= 5) & new & ~same, F.concat(kept, F.array(entry))).otherwise(kept)
+        return F.when(F.exists(kept, lambda k: near(entry, k)), kept).otherwise(F.concat(kept, F.array(entry)))
 
-    empty = F.array().cast("array<string>")
-    return F.slice(F.aggregate(entries, empty, add), 1, limit)
+    long_enough = F.filter(F.transform(entries, bare), lambda e: F.length(e["bare"]) >= 5)
+    empty = F.array().cast("array<struct<entry:string,words:array<string>,letters:string>>")
+    kept = F.aggregate(F.transform(long_enough, shape), empty, add)
+    return F.slice(F.transform(kept, lambda e: e["entry"]), 1, limit)
 
 
 RANKING_STRATEGIES = (
@@ -188,9 +192,6 @@ def cells_in(text: Column, shortest: int = 8, longest: int = 64) -> Column:
 
 def extract_cells(text: Column, size: Column) -> Column:
     """Struct of a row of 0/1 cells and the strategy that found it."""
-    from tallymill.functions.rules import last_of
-    from tallymill.functions.text import last_match
-
     digits = all_matches(text, r"\b[01]\b", 0)
     take = F.when(size > 0, F.least(size, F.lit(64))).otherwise(F.lit(64))
     ending = F.when(

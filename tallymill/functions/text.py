@@ -35,19 +35,20 @@ VERIFICATION_HEADER = (
 )
 
 
+WHITE = " \t\n\r\x0b\x0c"
+
+
 def strip_ws(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def strip_chars(text: Column, chars: str) -> Column:
     """Remove any of ``chars`` from both ends."""
-    cls = "[" + "".join("\\" + c if c in "\\]^-[" else c for c in chars) + "]+"
-    return F.regexp_replace(text, f"^{cls}|{cls}$", "")
+    return F.btrim(text, F.lit(chars))
 
 
 def rstrip_chars(text: Column, chars: str) -> Column:
-    cls = "[" + "".join("\\" + c if c in "\\]^-[" else c for c in chars) + "]+"
-    return F.regexp_replace(text, f"{cls}$", "")
+    return F.rtrim(text, F.lit(chars))
 
 
 def straighten(text: Column) -> Column:
@@ -93,7 +94,7 @@ def first_match(text: Column, pattern: str | Column, group: int = 0) -> Column:
 
 
 def last_n(items: Column, n: int) -> Column:
-    return F.slice(items, F.greatest(F.size(items) - n + 1, F.lit(1)), F.lit(n))
+    return F.reverse(F.slice(F.reverse(items), 1, n))
 
 
 def last_n_matches(text: Column, pattern: str | Column, n: int = 1, group: int = 0) -> Column:
@@ -108,15 +109,14 @@ def last_sentences(text: Column, n: int = 3) -> Column:
 
 def strip_verification_tail(text: Column) -> Column:
     """Cut a text at its first verification header, unless nothing would be left."""
-    head = F.regexp_replace(F.regexp_replace(text, f"(?is){VERIFICATION_HEADER}.*$", ""), r"\s+$", "")
-    return F.when((head == "") | ~text.rlike(f"(?i){VERIFICATION_HEADER}"), text).otherwise(head)
+    head = F.regexp_extract(text, f"(?is)^(.*?){VERIFICATION_HEADER}", 1)
+    return F.when(text.rlike(f"(?i){VERIFICATION_HEADER}"), F.coalesce(F.nullif(F.rtrim(head, F.lit(WHITE)), F.lit("")), text)).otherwise(text)
 
 
 def last_position(text: Column, pattern: str) -> Column:
     """Start offset of the last place where ``pattern`` matches, -1 if it never does."""
-    return F.when(
-        text.rlike(pattern), F.length(F.regexp_extract(text, f"(?s)^(.*)(?:{pattern})", 1))
-    ).otherwise(F.lit(-1))
+    before = F.try_element_at(all_matches(text, f"(?s)^(.*)(?:{pattern})", 1), F.lit(1))
+    return F.coalesce(F.length(before), F.lit(-1))
 
 
 def last_keyword_position(text: Column, keywords: Sequence[str]) -> Column:
@@ -129,6 +129,11 @@ def any_of(patterns: Sequence[str]) -> str:
     return "(?i)" + "|".join(f"(?:{p})" for p in patterns)
 
 
+def says_any(text: Column, phrases: Sequence[str]) -> Column:
+    """Does the lower-cased text contain any of the literal phrases?"""
+    return F.lower(text).rlike("|".join(f"\\Q{p}\\E" for p in phrases))
+
+
 def count_hits(text: Column, patterns: Sequence[str]) -> Column:
     """How many of the patterns occur in the text."""
     total = F.lit(0)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tallymill.functions import lists, rules
 from tallymill.functions.cascade import Rule, by_kind, decode, hit
-from tallymill.functions.refusal import REFUSAL_RULES
+from tallymill.functions.refusal import parts, refusal_rules, signals, tidy_text
 from tallymill.functions.text import strip_verification_tail, strip_ws
 from tallymill.operators.aggregate import rounded
 
@@ -66,11 +66,31 @@ def answer_struct(
 
 
 class Extraction:
-    """Two steps: ``find`` encodes the hit of one row, ``read`` opens it into the answer struct."""
-
-    def __init__(self, find: Callable[[Column, Params], Column], read: Callable[[Column, Column, Params], Column]):
+    """How one task is extracted.
+
+    ``find`` encodes the hit of a row and ``read`` opens it into the answer
+    struct.  ``prepare`` lists steps of columns to make first; each step gets
+    the text and the columns of the steps before it.  The steps stay separate
+    projections, so what several rules need is computed once per row.
+    """
+
+    def __init__(
+        self,
+        find: Callable[[Column, Params], Column],
+        read: Callable[[Column, Column, Params], Column],
+        prepare: Sequence[Callable[[Column, dict[str, Column]], dict[str, Column]]] = (),
+    ):
         self.find = find
         self.read = read
+        self.prepare = prepare
+
+    def prepared(self, df: DataFrame, text: Column, mark: str, only: Column | None = None) -> DataFrame:
+        done: dict[str, Column] = {}
+        for step in self.prepare:
+            new = step(text, done)
+            df = df.withColumns({f"{mark}{k}": v if only is None else F.when(only, v) for k, v in new.items()})
+            done.update({k: F.col(f"{mark}{k}") for k in new})
+        return df
 
 
 def by_rules(make: Callable[[Params], Sequence[Rule]], failed: str = "failed", fallback: str | None = None) -> Extraction:
@@ -117,6 +137,18 @@ def _list_read(field: str, slot: str) -> Callable[[Column, Column, Params], Colu
     return read
 
 
+_REFUSAL_TEXTS = ("text", "clean", "tail", "short_tail", "refuses", "hedges", "ratio", "complies", "tail_refuses")
+
+
+def _refusal_rules() -> Sequence[Rule]:
+    return refusal_rules({k: F.col(f"_false_premise_{k}") for k in _REFUSAL_TEXTS})
+
+
+def _refusal_read(found: Column, text: Column, p: Params) -> Column:
+    d = decode(found, _refusal_rules(), text, "fallback")
+    return answer_struct(value=d["value"], strategy=d["strategy"], confidence=d["confidence"], error=d["error"])
+
+
 def _letters(p: Params) -> dict[str, Sequence[Rule]]:
     n = p.integer("word_length")
     return {
@@ -154,7 +186,11 @@ EXTRACTIONS: dict[str, Extraction] = {
     ),
     "measure_comparison": by_sub_type(_quantities, "comparison_type", "quantity"),
     "misquote": Extraction(lambda text, p: hit(text, rules.YES_NO_PAIR), _pair_read),
-    "false_premise": by_rules(lambda p: REFUSAL_RULES, "fallback"),
+    "false_premise": Extraction(
+        lambda text, p: hit(text, _refusal_rules()),
+        _refusal_read,
+        (lambda text, done: tidy_text(text), lambda text, done: parts(done), lambda text, done: signals(done)),
+    ),
     "linda_fallacy": Extraction(lambda text, p: lists.extract_ranking(text), _list_read("items", "items")),
     "cellular_automata_1d": Extraction(
         lambda text, p: lists.extract_cells(strip_ws(text), F.coalesce(p.integer("width"), F.lit(16))),
@@ -180,8 +216,10 @@ def extract(
     step = EXTRACTIONS[task]
     source = F.coalesce(F.col(text), F.lit(""))
     source = strip_verification_tail(source) if strip_tail else source
-    found = responses.withColumn("_text", source).withColumn("_hit", step.find(F.col("_text"), p))
-    return found.withColumn(output, step.read(F.col("_hit"), F.col("_text"), p)).drop("_text", "_hit")
+    ready = step.prepared(responses.withColumn("_text", source), F.col("_text"), f"_{task}_")
+    found = ready.withColumn("_hit", step.find(F.col("_text"), p))
+    out = found.withColumn(output, step.read(F.col("_hit"), F.col("_text"), p))
+    return out.select(*responses.columns, output)
 
 
 def extract_by_task(
@@ -190,7 +228,10 @@ def extract_by_task(
     """Responses of all tasks in one pass: each row runs only the rules of its own task."""
     p = Params(params or {})
     source = F.coalesce(F.col(text), F.lit(""))
-    hits = responses.withColumn("_text", source).withColumns(
+    ready = responses.withColumn("_text", source)
+    for task, step in EXTRACTIONS.items():
+        ready = step.prepared(ready, F.col("_text"), f"_{task}_", F.col(task_column) == task)
+    hits = ready.withColumns(
         {
             f"_hit_{task}": F.when(F.col(task_column) == task, step.find(F.col("_text"), p))
             for task, step in EXTRACTIONS.items()
@@ -202,7 +243,7 @@ def extract_by_task(
         is_task = F.col(task_column) == task
         chosen = F.when(is_task, answer) if chosen is None else chosen.when(is_task, answer)
     unknown = answer_struct(strategy=F.lit("failed"), confidence=F.lit(0.0), error=F.lit("Unknown task"))
-    return hits.withColumn(output, chosen.otherwise(unknown)).drop("_text", *[f"_hit_{t}" for t in EXTRACTIONS])
+    return hits.withColumn(output, chosen.otherwise(unknown)).select(*responses.columns, output)
 
 
 def extraction_report(extracted: DataFrame, by: Sequence[str], answer: str = "answer") -> DataFrame:
