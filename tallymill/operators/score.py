@@ -10,8 +10,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallymill.functions import vocab
+from tallymill.functions.cascade import let
 from tallymill.functions.identity import literal_map
-from tallymill.functions.text import collapse_ws, strip_chars, strip_ws, words
+from tallymill.functions.text import collapse_ws, strip_chars, strip_ws
 
 
 def verdict(correct: Column, match_type: Column, accuracy: Column | None = None, **extra: Column) -> Column:
@@ -472,82 +473,132 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b)).cast("double"))
 
 
+def bare_words(text: Column) -> Column:
+    """Struct of a text without case and punctuation, and its word set."""
+
+    def with_words(bare: Column) -> Column:
+        parts = F.array_distinct(F.filter(F.split(bare, r"\s+"), lambda w: w != ""))
+        return F.struct(bare.alias("bare"), parts.alias("words"))
+
+    return let(strip_ws(F.regexp_replace(F.lower(text), r"[^\w\s]", "")), with_words)
+
+
+def same_words(a: Column, b: Column, threshold: float) -> Column:
+    """Do two ``bare_words`` structs agree exactly or in at least ``threshold`` of their words?"""
+    return F.coalesce((a["bare"] == b["bare"]) | (jaccard(a["words"], b["words"]) >= threshold), F.lit(False))
+
+
 def fuzzy_match(a: Column, b: Column, threshold: float = 0.7) -> Column:
     """Same words, or word sets that overlap by at least ``threshold``."""
-    wa, wb = words(a), words(b)
-    overlap = (F.size(wa) > 0) & (F.size(wb) > 0) & (jaccard(wa, wb) >= threshold)
     present = (F.coalesce(a, F.lit("")) != "") & (F.coalesce(b, F.lit("")) != "")
-    na = strip_ws(F.regexp_replace(F.lower(a), r"[^\w\s]", ""))
-    nb = strip_ws(F.regexp_replace(F.lower(b), r"[^\w\s]", ""))
-    return F.coalesce(present & ((na == nb) | overlap), F.lit(False))
+    return present & let(bare_words(a), lambda x: let(bare_words(b), lambda y: same_words(x, y, threshold)))
+
+
+def letter_forms(text: Column) -> Column:
+    """Struct of a text in lower case, its letters and digits, and the set of them."""
+
+    def with_set(low_text: Column) -> Column:
+        flat = F.regexp_replace(low_text, "[^a-z0-9]", "")
+        letters = F.filter(F.array_distinct(F.split(flat, "")), lambda ch: ch != "")
+        return F.struct(low_text.alias("low"), flat.alias("flat"), letters.alias("letters"))
+
+    return let(F.lower(text), with_set)
+
+
+def similar_letters(a: Column, b: Column, threshold: float = 0.8) -> Column:
+    long_enough = (F.length(a["flat"]) > 5) & (F.length(b["flat"]) > 5)
+    return long_enough & F.coalesce(jaccard(a["letters"], b["letters"]) > threshold, F.lit(False))
 
 
 def fuzzy_chars(a: Column, b: Column, threshold: float = 0.8) -> Column:
     """Letter sets that overlap by more than ``threshold``, for names over five letters."""
-    ca, cb = (F.regexp_replace(F.lower(x), "[^a-z0-9]", "") for x in (a, b))
-    sets = [F.filter(F.array_distinct(F.split(x, "")), lambda ch: ch != "") for x in (ca, cb)]
-    return (F.length(ca) > 5) & (F.length(cb) > 5) & (jaccard(*sets) > threshold)
+    return let(letter_forms(a), lambda x: let(letter_forms(b), lambda y: similar_letters(x, y, threshold)))
 
 
 def names_item(entry: Column, item: Column) -> Column:
-    """Does a ranking entry name the item: contained either way, bare or normalised, or by letters?"""
-    le, li = F.lower(entry), F.lower(item)
-    ne, ni = F.regexp_replace(le, "[^a-z0-9]", ""), F.regexp_replace(li, "[^a-z0-9]", "")
-    return le.contains(li) | li.contains(le) | ne.contains(ni) | ni.contains(ne) | fuzzy_chars(entry, item)
+    """Does a ranking entry name the item: contained either way, bare or normalised, or by letters?
+
+    Both are ``letter_forms`` structs.
+    """
+    le, li, ne, ni = entry["low"], item["low"], entry["flat"], item["flat"]
+    inside = le.contains(li) | li.contains(le) | ne.contains(ni) | ni.contains(ne)
+    return F.coalesce(inside | similar_letters(entry, item), F.lit(False))
 
 
-def rank_of(rankings: Column, item: Column) -> Column:
+def rank_of(entries: Column, item: Column) -> Column:
     """1-based place of the first entry that names the item, null if none does."""
-    place = F.array_position(F.transform(rankings, lambda r: F.coalesce(names_item(r, item), F.lit(False))), True)
-    return F.when(place > 0, place).cast("int")
+    place = let(
+        letter_forms(item), lambda it: F.array_position(F.transform(entries, lambda e: names_item(e, it)), True)
+    )
+    return let(place, lambda n: F.when(n > 0, n)).cast("int")
 
 
 def score_ranking(rankings: Column, conjunction: Column, component_a: Column, component_b: Column) -> Column:
     """A conjunction ranked above one of its parts is the fallacy; avoiding it is correct."""
-    c, a, b = (rank_of(rankings, x) for x in (conjunction, component_a, component_b))
-    fallacy = F.coalesce(c < a, F.lit(False)) | F.coalesce(c < b, F.lit(False))
-    label = (
-        F.when(rankings.isNull(), "parse_error")
-        .when(F.size(rankings) == 0, "no_rankings")
-        .when(c.isNull(), "conjunction_not_found")
-        .when(a.isNull() & b.isNull(), "components_not_found")
-        .when(fallacy, "fallacy_detected")
-        .otherwise("no_fallacy")
-    )
-    right = label.isin("conjunction_not_found", "components_not_found", "no_fallacy")
-    return verdict(
-        right, label, fallacy_detected=fallacy, conjunction_rank=c, component_a_rank=a, component_b_rank=b
-    )
+
+    def ranks(entries: Column) -> Column:
+        items = {"c": conjunction, "a": component_a, "b": component_b}
+        return F.struct(*[rank_of(entries, item).alias(name) for name, item in items.items()])
+
+    def judged(r: Column) -> Column:
+        c, a, b = r["c"], r["a"], r["b"]
+        fallacy = F.coalesce(c < a, F.lit(False)) | F.coalesce(c < b, F.lit(False))
+        label = (
+            F.when(rankings.isNull(), "parse_error")
+            .when(F.size(rankings) == 0, "no_rankings")
+            .when(c.isNull(), "conjunction_not_found")
+            .when(a.isNull() & b.isNull(), "components_not_found")
+            .when(fallacy, "fallacy_detected")
+            .otherwise("no_fallacy")
+        )
+        right = label.isin("conjunction_not_found", "components_not_found", "no_fallacy")
+        return verdict(
+            right, label, fallacy_detected=fallacy, conjunction_rank=c, component_a_rank=a, component_b_rank=b
+        )
+
+    return let(let(F.transform(rankings, letter_forms), ranks), judged)
 
 
 def score_ranking_legacy(
     rankings: Column, conjunction: Column, component_a: Column, component_b: Column, num_options: Column
 ) -> Column:
     """The older polarity: showing the fallacy in a well parsed ranking counts as success."""
-    is_c = F.transform(rankings, lambda r: fuzzy_match(r, conjunction))
-    is_a = F.transform(rankings, lambda r: fuzzy_match(r, component_a) & ~fuzzy_match(r, conjunction))
-    is_b = F.transform(
-        rankings,
-        lambda r: fuzzy_match(r, component_b) & ~fuzzy_match(r, component_a) & ~fuzzy_match(r, conjunction),
-    )
+    items = F.array(*[bare_words(x) for x in (conjunction, component_a, component_b)])
+
+    def names(entries: Column) -> Column:
+        """Index of the first item each entry matches, 0 for none."""
+        return let(
+            items,
+            lambda its: F.transform(
+                entries, lambda e: F.array_position(F.transform(its, lambda it: same_words(e, it, 0.7)), True)
+            ),
+        )
 
-    def last_place(hits: Column) -> Column:
-        back = F.array_position(F.reverse(hits), True)
-        return F.when(back > 0, F.size(hits) - back + 1)
-
-    c, a, b = last_place(is_c), last_place(is_a), last_place(is_b)
-    # the fallacy must hold against every component that was found
-    fallacy = c.isNotNull() & (a.isNotNull() | b.isNotNull()) & F.coalesce(c < a, F.lit(True)) & F.coalesce(c < b, F.lit(True))
-    mean_part = F.when(a.isNotNull() & b.isNotNull(), (a + b) / 2).otherwise(F.coalesce(a, b).cast("double"))
-    confidence = F.when(fallacy, F.least(F.lit(1.0), (mean_part - c) / num_options)).otherwise(0.0)
-    quality = F.coalesce(F.least(F.lit(1.0), F.try_divide(F.size(rankings).cast("double"), num_options)), F.lit(0.0))
-    empty = rankings.isNull() | (F.size(rankings) == 0)
-    label = F.when(empty, "parse_error").when(fallacy, "fallacy_detected").otherwise("no_fallacy")
-    return verdict(
-        ~empty & fallacy & (quality > 0.5),
-        label,
-        F.when(empty, 0.0).otherwise(quality),
-        fallacy_detected=F.coalesce(~empty & fallacy, F.lit(False)),
-        confidence=F.when(empty, 0.0).otherwise(confidence),
-        ranking_quality=F.when(empty, 0.0).otherwise(quality),
-    )
+    def last_place(named: Column, item: int) -> Column:
+        back = F.array_position(F.reverse(named), F.lit(item).cast("bigint"))
+        return F.when(back > 0, F.size(named) - back + 1)
+
+    def ranks(named: Column) -> Column:
+        return F.struct(*[last_place(named, i + 1).alias(n) for i, n in enumerate("cab")])
+
+    def judged(r: Column) -> Column:
+        c, a, b = r["c"], r["a"], r["b"]
+        # the fallacy must hold against every component that was found
+        above = F.coalesce(c < a, F.lit(True)) & F.coalesce(c < b, F.lit(True))
+        empty = rankings.isNull() | (F.size(rankings) == 0)
+        fallacy = ~empty & c.isNotNull() & (a.isNotNull() | b.isNotNull()) & above
+        part = F.when(a.isNotNull() & b.isNotNull(), (a + b) / 2).otherwise(F.coalesce(a, b).cast("double"))
+        confidence = F.when(fallacy, F.least(F.lit(1.0), (part - c) / num_options)).otherwise(0.0)
+        found = F.coalesce(F.least(F.lit(1.0), F.try_divide(F.size(rankings).cast("double"), num_options)), F.lit(0.0))
+        quality = F.when(empty, 0.0).otherwise(found)
+        label = F.when(empty, "parse_error").when(fallacy, "fallacy_detected").otherwise("no_fallacy")
+        return verdict(
+            fallacy & (quality > 0.5),
+            label,
+            quality,
+            fallacy_detected=F.coalesce(fallacy, F.lit(False)),
+            confidence=confidence,
+            ranking_quality=quality,
+        )
+
+    return let(let(names(F.transform(rankings, bare_words)), ranks), judged)

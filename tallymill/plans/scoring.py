@@ -510,7 +510,7 @@ def _(spark, sf):
     m AS (SELECT *, CASE task
         WHEN 'arithmetic' THEN CASE WHEN value IS NULL THEN 'parse_error' WHEN value = expected THEN 'exact' ELSE 'mismatch' END
         WHEN 'family_relations' THEN CASE WHEN value IS NULL THEN 'parse_error' WHEN value = expected THEN 'correct' ELSE 'overcounting' END
-        WHEN 'carwash' THEN CASE WHEN value IS NULL THEN 'parse_error' ELSE 'wrong' END ELSE 'unknown' END AS label FROM t)
+        WHEN 'carwash' THEN CASE WHEN value IS NULL THEN 'parse_error' WHEN value = expected THEN 'correct' ELSE 'wrong' END ELSE 'unknown' END AS label FROM t)
     SELECT {KEY_SQL}, task, label AS match_type, label IN ('exact', 'correct') AS correct, CAST(CASE WHEN label IN ('exact', 'correct') THEN 1 ELSE 0 END AS DOUBLE) AS accuracy FROM m""",
 )
 def _(spark, sf):

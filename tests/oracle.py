@@ -79,8 +79,8 @@ def compare(spark, con, sf_dir: str, name: str, fn, sql: str | None) -> str | No
     if len(got) != len(want):
         return f"rows {len(got)} vs {len(want)}"
     if got != want:
-        bad = [(g, w) for g, w in zip(got, want) if g != w]
-        return f"{len(bad)} of {len(got)} rows differ, cols {cols}, first: {bad[0]}"
+        a, b = sorted(set(got) - set(want)), sorted(set(want) - set(got))
+        return f"{len(a)} of {len(got)} rows differ, cols {cols}, got {a[:1]} want {b[:1]}"
     return None
 
 
