@@ -1 +1,72 @@
-"""Registered queries."""
+"""User-supplied scorers."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from tallymill.fixtures import ANSWER_PAIRS_SQL, RESPONSES_SQL, answer_pairs, responses
+from tallymill.operators.aggregate import rounded
+from tallymill.operators.extension import DEFAULT_SCORERS, ScorerSpec, extract_and_score, pandas_scorer, score_by_task, task_metrics
+from tallymill.operators.extract import answer_struct
+from tallymill.operators.score import by_label
+from tallymill.plans.registry import query
+
+ROW_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+KEY_SQL = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
+
+
+def parity_score(answer, expected, params):
+    """A made-up task: is the answer even, as expected?"""
+    same = answer["value"].cast("double") % 2 == expected.cast("double") % 2
+    return by_label(F.when(answer["value"].isNull(), "parse_error").when(same, "same_parity").otherwise("other_parity"), ("same_parity",))
+
+
+@query(
+    "register_scorer",
+    f"""WITH {ANSWER_PAIRS_SQL} SELECT l_returnflag, count(*) AS total, count(*) FILTER (WHERE predicted_num % 2 = expected_num % 2) AS correct,
+      round(count(*) FILTER (WHERE predicted_num % 2 <> expected_num % 2) / count(*), 6) AS other_rate FROM answer_pairs GROUP BY l_returnflag""",
+)
+def _(spark, sf):
+    book = DEFAULT_SCORERS.copy()
+    other = rounded(F.count_if(F.col("match_type") == "other_parity") / F.count(F.lit(1)))
+    spec = book.register(ScorerSpec("parity", parity_score, {"other_rate": other}))
+    rows = answer_pairs(spark, sf).select(
+        "l_returnflag",
+        F.lit("parity").alias("task"),
+        answer_struct(value=F.col("predicted_num")).alias("answer"),
+        F.col("expected_num").cast("string").alias("expected"),
+    )
+    return task_metrics(score_by_task(rows, book, "task", "answer", "expected", {}), spec, ["l_returnflag"])
+
+
+def _length_rule(answer: pd.Series, expected: pd.Series) -> pd.DataFrame:
+    gap = (answer.str.len() - expected.str.len()).abs()
+    label = gap.map(lambda g: "same_length" if g == 0 else "near" if g <= 3 else "far")
+    return pd.DataFrame({"correct": gap == 0, "match_type": label, "accuracy": 1.0 / (1.0 + gap)})
+
+
+@query(
+    "pandas_scorer",
+    f"""WITH {ANSWER_PAIRS_SQL}, g AS (SELECT {KEY_SQL}, abs(length(predicted_txt) - length(expected_txt)) AS gap FROM answer_pairs)
+    SELECT {KEY_SQL}, gap = 0 AS correct, CASE WHEN gap = 0 THEN 'same_length' WHEN gap <= 3 THEN 'near' ELSE 'far' END AS match_type,
+      round(1.0 / (1.0 + gap), 6) AS accuracy FROM g""",
+)
+def _(spark, sf):
+    verdict = pandas_scorer(_length_rule)(F.col("predicted_txt"), F.col("expected_txt"))
+    rows = answer_pairs(spark, sf).select(*ROW_KEY, verdict.alias("v"))
+    return rows.select(*ROW_KEY, "v.correct", "v.match_type", rounded(F.col("v.accuracy")).alias("accuracy"))
+
+
+@query(
+    "extract_and_score",
+    f"""WITH {RESPONSES_SQL}, t AS (SELECT *, CASE WHEN l_partkey % 2 = 0 THEN 'arithmetic' ELSE 'family_relations' END AS task FROM responses)
+    SELECT task, count(*) AS total, count(*) FILTER (WHERE l_linenumber % 7 <= 2
+      OR (l_linenumber % 7 = 4 AND (task = 'family_relations' OR l_quantity = 12))) AS correct FROM t GROUP BY task""",
+)
+def _(spark, sf):
+    rows = responses(spark, sf).withColumn(
+        "task", F.expr("case when l_partkey % 2 = 0 then 'arithmetic' else 'family_relations' end")
+    )
+    out = extract_and_score(rows, DEFAULT_SCORERS, "task", "raw_response", "expected", {})
+    return out.groupBy("task").agg(F.count(F.lit(1)).alias("total"), F.count_if("verdict.correct").alias("correct"))

@@ -1 +1,37 @@
-"""Registered queries."""
+"""Streaming queries, run until nothing is left and compared with the batch result."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tallymill.fixtures import EVAL_ROWS_SQL
+from tallymill.plans.files import _PER_RUN, per_run, result_documents
+from tallymill.plans.registry import query
+from tallymill.session import scratch_path
+from tallymill.streaming import ingest, progress
+
+
+@query("stream_ingest", f"WITH {EVAL_ROWS_SQL} {_PER_RUN}")
+def _(spark, sf):
+    incoming = result_documents(spark, sf)
+    rows = ingest.stream_results(spark, incoming, "*.json.gz", one_per_file=False, files_per_batch=4)
+    out = scratch_path(spark, "stream-bronze")
+    ingest.append_new(rows, out, scratch_path(spark, "stream-state")).awaitTermination()
+    return per_run(spark.read.parquet(out))
+
+
+@query(
+    "progress_rollup",
+    """SELECT date_trunc('hour', ts) AS window_start, event_type AS job, count(*) AS done, count(*) FILTER (WHERE value > 5) AS correct,
+      round(count(*) FILTER (WHERE value > 5) / count(*), 6) AS accuracy, max(ts) AS latest FROM events GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    source = f"{sf}/events.parquet"
+    schema = spark.read.parquet(source).schema
+    folder, _, name = source.rpartition("/")
+    events = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    # the table holds a month of events in any order, so no event counts as late here
+    rollup = progress.progress_rollup(events, "ts", "event_type", F.col("value") > 5, "1 hour", "60 days")
+    out = scratch_path(spark, "progress")
+    progress.keep_updates(rollup, out, scratch_path(spark, "progress-state")).awaitTermination()
+    return progress.latest_updates(spark.read.parquet(out))
