@@ -21,7 +21,7 @@ SEPARATOR = "\u0001"
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` computed once however often ``use`` mentions it."""
-    return F.get(F.transform(F.array(value), use), 0)
+    return F.get(F.transform(F.array(value), lambda v: use(v)), 0)
 
 
 @dataclass(frozen=True)
