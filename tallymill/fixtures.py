@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymill.functions.identity import task_type_from_id
+from tallymill.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +32,7 @@ def _raw_task():
 
 def eval_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One scored response per line item (lineitem joined with part)."""
-    lines = table(spark, sf_dir, "lineitem")
+    lines = spread(table(spark, sf_dir, "lineitem"))
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand", "p_size")
     key = F.col("l_orderkey").cast("string")
     quantization = (
@@ -154,7 +155,7 @@ responses AS (
 
 def answer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted against expected, as numbers and as text."""
-    lines = table(spark, sf_dir, "lineitem")
+    lines = spread(table(spark, sf_dir, "lineitem"))
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand", "p_size")
     case = F.expr("l_linenumber % 4")
     return lines.join(parts, lines.l_partkey == parts.p_partkey).select(

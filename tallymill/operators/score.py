@@ -39,11 +39,16 @@ def low(value: Column) -> Column:
 
 
 def number(value: Column) -> Column:
-    return value.cast("string").try_cast("double")
+    """Number of a value, null if it is none.
+
+    A failed cast is slow, so only texts that start like a number are cast.
+    """
+    text = value.cast("string")
+    return F.when(text.rlike(r"^\s*[+-]?\.?\d"), text.try_cast("double"))
 
 
 def whole(value: Column) -> Column:
-    return value.cast("string").try_cast("double").try_cast("bigint")
+    return number(value).try_cast("bigint")
 
 
 def score_numeric(predicted: Column, expected: Column, tolerance: float = 1e-9) -> Column:
@@ -131,7 +136,7 @@ def score_integer(predicted: Column, expected: Column) -> Column:
 def score_graded_text(predicted: Column, expected: Column, tolerance: float = 0.1) -> Column:
     """Exact, then case, then numbers within tolerance, then containment either way."""
     p, e = text_of(predicted), text_of(expected)
-    pn, en = p.try_cast("double"), e.try_cast("double")
+    pn, en = number(p), number(e)
     numeric = pn.isNotNull() & en.isNotNull()
     label = (
         F.when(predicted.isNull(), "parse_error")
@@ -424,14 +429,18 @@ def evidence_ngram(response: Column, plaintext: Column, threshold: float = 0.4)
     Runs have ``max(3, threshold * n)`` words.  Runs that start near the end are
     cut short there, so the last word alone is proof as well.
     """
-    said = F.lower(response)
+
+    def shown(said: Column, tokens: Column) -> Column:
+        n = F.size(tokens)
+        k = F.greatest(F.lit(3), F.floor(n * threshold).cast("int"))
+        starts = F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1)))
+        runs = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, k), " "))
+        last_word = said.contains(F.element_at(tokens, -1))
+        run_found = F.exists(runs, lambda run: said.contains(run))
+        return F.when(n > 0, last_word | said.contains(F.lower(plaintext)) | run_found)
+
     tokens = F.filter(F.split(F.lower(plaintext), r"\s+"), lambda w: w != "")
-    n = F.size(tokens)
-    k = F.greatest(F.lit(3), F.floor(n * threshold).cast("int"))
-    starts = F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1)))
-    run_found = F.exists(starts, lambda i: said.contains(F.array_join(F.slice(tokens, i, k), " ")))
-    last_word = said.contains(F.element_at(tokens, -1))
-    return F.coalesce(F.when(n > 0, said.contains(F.lower(plaintext)) | last_word | run_found), F.lit(False))
+    return F.coalesce(let(F.lower(response), lambda said: let(tokens, lambda t: shown(said, t))), F.lit(False))
 
 
 def score_decoded(

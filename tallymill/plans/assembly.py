@@ -9,6 +9,7 @@ from tallymill.functions import rules, vocab
 from tallymill.operators import assemble
 from tallymill.operators.aggregate import rounded
 from tallymill.plans.registry import query
+from tallymill.session import spread
 
 ROW_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 KEY_SQL = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
@@ -65,7 +66,7 @@ def _(spark, sf):
         assemble.pick_template(_TEMPLATES, F.col("lang"), style), {"name": F.col("source"), "amount": F.col("n_chars")}
     )
     system = assemble.pick_template(_SYSTEM, F.col("lang"), tone)
-    prompts = table(spark, sf, "documents").select("doc_id", system.alias("system_prompt"), user.alias("user_prompt"))
+    prompts = spread(table(spark, sf, "documents")).select("doc_id", system.alias("system_prompt"), user.alias("user_prompt"))
     return prompts.withColumn("full_prompt", assemble.full_prompt(F.col("system_prompt"), F.col("user_prompt")))
 
 
@@ -145,7 +146,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     gone = assemble.missing_letters(F.col("text"))
-    docs = table(spark, sf, "documents").select("doc_id", "text", gone.alias("gone"))
+    docs = spread(table(spark, sf, "documents")).select("doc_id", "text", gone.alias("gone"))
     return docs.select(
         "doc_id",
         F.array_join("gone", "").alias("missing"),

@@ -17,6 +17,7 @@ from tallymill.functions import fields, identity, text
 from tallymill.operators.aggregate import run_summary, token_fallback
 from tallymill.operators.report import inventory_filter
 from tallymill.plans.registry import query
+from tallymill.session import spread
 
 _NAMES = "|".join(sorted([*identity.TASK_FAMILIES, *identity.TASK_ALIASES], key=len, reverse=True))
 _ALIAS_CASE = "CASE found " + " ".join(f"WHEN '{a}' THEN '{f}'" for a, f in identity.TASK_ALIASES.items()) + " WHEN '' THEN 'unknown' ELSE found END"
@@ -282,7 +283,7 @@ def _(spark, sf):
     FROM documents""",
 )
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(text.text_normalise(F.col("text"))).alias("normal_md5"))
+    return spread(table(spark, sf, "documents")).select("doc_id", F.md5(text.text_normalise(F.col("text"))).alias("normal_md5"))
 
 
 @query("json_param", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events")

@@ -10,6 +10,7 @@ from tallymill.functions.cascade import hit
 from tallymill.operators.extract import extract, extraction_report
 from tallymill.operators.compare import with_previous_turn
 from tallymill.plans.registry import query
+from tallymill.session import spread
 
 ROW_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 KEY_SQL = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
@@ -69,7 +70,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     last = text.last_sentences(F.col("text"), 3)
-    docs = table(spark, sf, "documents").select("doc_id", last.alias("s"))
+    docs = spread(table(spark, sf, "documents")).select("doc_id", last.alias("s"))
     return docs.select("doc_id", F.size("s").cast("bigint").alias("n"), F.md5(F.array_join("s", "|")).alias("sentences_md5"))
 
 
@@ -88,7 +89,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     found = text.last_keyword_position(F.col("text"), ["the", "and"])
-    return table(spark, sf, "documents").select("doc_id", found.alias("position"))
+    return spread(table(spark, sf, "documents")).select("doc_id", found.alias("position"))
 
 
 @query(
@@ -99,7 +100,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     signal = rules.last_signal_wins(F.col("text"), ["the"], ["and"], ("first", "second"))
-    return table(spark, sf, "documents").select("doc_id", signal.alias("signal"))
+    return spread(table(spark, sf, "documents")).select("doc_id", signal.alias("signal"))
 
 
 def cascade_rows(spark, sf):

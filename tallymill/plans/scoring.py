@@ -11,6 +11,7 @@ from tallymill.operators.aggregate import rounded
 from tallymill.operators.compare import with_previous_turn
 from tallymill.operators.extension import DEFAULT_SCORERS, score_by_task
 from tallymill.plans.registry import query
+from tallymill.session import spread
 
 ROW_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 KEY_SQL = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
@@ -407,7 +408,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     passages = table(spark, sf, "benchmark").withColumnRenamed("text", "passage")
-    pairs = table(spark, sf, "documents").withColumn("item_id", F.col("doc_id") % F.lit(passages.count()))
+    pairs = spread(table(spark, sf, "documents")).withColumn("item_id", F.col("doc_id") % F.lit(passages.count()))
     found = score.evidence_ngram(F.col("text"), F.col("passage"))
     return pairs.join(passages, "item_id").select("doc_id", found.alias("evidence"))
 
