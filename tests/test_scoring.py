@@ -66,8 +66,8 @@ def test_cells(one):
 
 
 def test_ranking_polarity(one):
-    rank = F.array(L("Linda is a bank teller and a feminist"), L("Linda is a bank teller"), L("Linda paints"))
-    items = [L("Linda is a bank teller and a feminist"), L("Linda is a bank teller"), L("Linda is a feminist")]
+    rank = F.array(L("Linda is a bank teller and active in the feminist movement"), L("Linda is a bank teller"), L("Linda paints"))
+    items = [L("Linda is a bank teller and active in the feminist movement"), L("Linda is a bank teller"), L("Linda is a feminist")]
     assert one(score.score_ranking(rank, *items))["conjunction_rank"] == 1
     legacy = one(score.score_ranking_legacy(rank, *items, L(3.0)))
     assert legacy["match_type"] == "fallacy_detected" and legacy["correct"]
