@@ -53,9 +53,6 @@ def main() -> None:
         spark__driver__memory="16g",
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
-        # the tables are one small file each; smaller splits give every core a part of it
-        spark__sql__files__maxPartitionBytes="2m",
-        spark__sql__files__openCostInBytes="64k",
     )
     spark.sparkContext.setLogLevel("ERROR")
     QUERIES["model_rollup"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # warm up

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -73,8 +75,21 @@ def _first_hit(cases: list[tuple[Column, str]], default: Column) -> Column:
     return chain.otherwise(default)
 
 
+def sql_literal(value: object) -> str:
+    """A Python value as a Spark SQL literal."""
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{value!r}D" if isinstance(value, float) else str(value)
+
+
 def literal_map(values: dict) -> Column:
-    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+    """A dictionary of fixed size as a map literal, made in one call."""
+    return F.expr("map(" + ", ".join(sql_literal(x) for pair in values.items() for x in pair) + ")")
+
+
+def one_of(value: Column, options: Iterable[str]) -> Column:
+    """Membership in a fixed list, made in one call."""
+    return F.array_contains(F.expr("array(" + ", ".join(sql_literal(x) for x in options) + ")"), value)
 
 
 def task_type_from_id(test_id: Column, legacy: bool = False) -> Column:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from tallymill.functions import vocab
 from tallymill.functions.cascade import let
-from tallymill.functions.identity import literal_map
-from tallymill.functions.text import collapse_ws, strip_chars, strip_ws
+from tallymill.functions.identity import literal_map, one_of
+from tallymill.functions.text import collapse_ws, says_any, strip_chars, strip_ws
 
 
 def verdict(correct: Column, match_type: Column, accuracy: Column | None = None, **extra: Column) -> Column:
@@ -110,7 +110,7 @@ def score_dimensions(predicted: Column, expected: Column) -> Column:
 
 def as_boolean(value: Column) -> Column:
     text = low(value)
-    return F.when(text.isin(*vocab.TRUE_TEXTS), True).when(text.isin(*vocab.FALSE_TEXTS), False)
+    return F.when(one_of(text, vocab.TRUE_TEXTS), True).when(one_of(text, vocab.FALSE_TEXTS), False)
 
 
 def score_boolean(predicted: Column, expected: Column) -> Column:
@@ -245,7 +245,7 @@ def score_synonym(predicted: Column, expected: Column, initial: Column | None =
 def same_container(a: Column, b: Column) -> Column:
     together = F.lit(False)
     for variants in vocab.CONTAINER_SYNONYMS.values():
-        together = together | (a.isin(*variants) & b.isin(*variants))
+        together = together | (one_of(a, variants) & one_of(b, variants))
     return a.contains(b) | b.contains(a) | together
 
 
@@ -395,10 +395,8 @@ def score_equal_incomparable(
     if alternate is not None:
         alt = collapse_ws(F.lower(alternate))
         same = same | F.coalesce((p == alt) | (tight_p == F.regexp_replace(alt, " ", "")), F.lit(False))
-    says_equal = p.isin(*vocab.EQUAL_ANSWERS)
-    says_apart = F.lit(False)
-    for phrase in vocab.INCOMPARABLE_PHRASES:
-        says_apart = says_apart | p.contains(phrase)
+    says_equal = one_of(p, vocab.EQUAL_ANSWERS)
+    says_apart = says_any(p, vocab.INCOMPARABLE_PHRASES)
     close = F.coalesce(F.abs(number(strip_ws(predicted)) - number(strip_ws(expected))) < 1e-9, F.lit(False))
     answered = predicted.isNotNull()
     label = (

@@ -51,10 +51,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt out to all cores if they sit in fewer files than there are cores.
+    """Rows dealt out to all cores if their source is read by fewer tasks than there are cores.
 
-    A gzip document, or a table that is one file, is otherwise read and worked on
-    by one task.  With as many files as cores, nothing is shuffled.
+    A gzip document, or a table that is one small file, is otherwise worked on
+    by a few tasks.  With at least as many read tasks as cores, nothing is shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.select(df.columns[0]).rdd.getNumPartitions() < cores else df
