@@ -12,6 +12,7 @@ from tallymill.functions.identity import fixed, literal_map
 from tallymill.functions.text import strip_ws
 from tallymill.session import checkpoint_root
 
+TOP_K_LIMIT = 100_000
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -38,13 +39,21 @@ def seeded_uniform(seed: str, *identity: Column) -> Column:
 
 
 def fill_to_count(rows: DataFrame, count: int, identity: Sequence[str], seed: str = "42") -> DataFrame:
-    """Exactly ``count`` rows: whole rounds of all rows, then the first of the shuffled rows."""
+    """Exactly ``count`` rows: whole rounds of all rows, then the first of the shuffled rows.
+
+    A small rest is a top-k; a large one is cut by running number, since a top-k
+    gathers its rows in one place.
+    """
     n = rows.count()
     drawn = rows.withColumn("draw", seeded_draw(seed, *[F.col(c) for c in identity]))
     if n == 0:
         return drawn.withColumn("round", F.lit(0))
     rounds, rest = divmod(count, n)
-    last = drawn.orderBy("draw", *identity).limit(rest).withColumn("round", F.lit(rounds))
+    if rest <= TOP_K_LIMIT:
+        first = drawn.orderBy("draw", *identity).limit(rest)
+    else:
+        first = number_rows(drawn, ["draw", *identity], "_place").filter(F.col("_place") <= rest).drop("_place")
+    last = first.withColumn("round", F.lit(rounds))
     if rounds == 0:
         return last
     whole = drawn.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
@@ -82,7 +91,8 @@ def number_rows(rows: DataFrame, order: Sequence[str], name: str = "number") ->
     sizes = laid_out.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     shifts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_shift"))
-    return laid_out.join(shifts, "_part").withColumn(name, F.col("_shift") + F.col("_row") + 1).drop(
+    # as many rows as partitions, so broadcasting them is safe
+    return laid_out.join(F.broadcast(shifts), "_part").withColumn(name, F.col("_shift") + F.col("_row") + 1).drop(
         "_part", "_row", "_shift"
     )
 

@@ -150,14 +150,14 @@ def _(spark, sf):
     "inventory_filter",
     f"""WITH {MODEL_INVENTORY_SQL}, m AS (SELECT model_id, name, size_bytes, {_FAMILY_CASE} AS family, {_QUANT_CASE} AS quantization FROM model_inventory)
     SELECT model_id, name, family, quantization FROM m
-    WHERE family IN ('qwen', 'llama') AND quantization IN ('Q4_K_M', 'Q8_0') AND size_bytes >= 9500000000 AND size_bytes <= 10500000000""",
+    WHERE family IN ('qwen', 'llama') AND quantization IN ('Q4_K_M', 'Q8_0') AND size_bytes >= 9050000000 AND size_bytes <= 10500000000""",
 )
 def _(spark, sf):
     kept = inventory_filter(
         model_inventory(spark, sf),
         families=["qwen", "llama"],
         quantizations=["Q4_K_M", "Q8_0"],
-        min_size=9_500_000_000,
+        min_size=9_050_000_000,
         max_size=10_500_000_000,
     )
     return kept.select("model_id", "name", "family", "quantization")

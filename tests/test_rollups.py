@@ -71,6 +71,14 @@ def test_fill_to_count(spark, count):
     assert not out or max(r["count"] for r in out) - (min(r["count"] for r in out) if len(out) == 7 else 0) <= 1
 
 
+def test_fill_to_count_with_a_large_rest(spark, monkeypatch):
+    monkeypatch.setattr(assemble, "TOP_K_LIMIT", 2)
+    df = spark.range(7).select(F.col("id"))
+    small = {r["id"] for r in assemble.fill_to_count(df, 5, ["id"]).collect()}
+    monkeypatch.setattr(assemble, "TOP_K_LIMIT", 100)
+    assert small == {r["id"] for r in assemble.fill_to_count(df, 5, ["id"]).collect()} and len(small) == 5
+
+
 def test_mismatch_pairs_against_brute_force(spark):
     items = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(9)], "i int, g string")
     pool = spark.createDataFrame([(j, "bcd"[j % 3]) for j in range(7)], "j int, h string")
