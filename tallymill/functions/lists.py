@@ -17,26 +17,31 @@ PROBABILITY_PHRASES = (
     "most probable|least probable|más probable|menos probable|plus probable|moins probable"
 )
 STATEMENT_PHRASES = "is a|works|trabaja|es |est |travaille"
-# Explanations cut off a ranking entry, applied in order.
+# Explanations cut off a ranking entry, in order; the colon is handled between the two lists.
 ENTRY_CUTS = (
-    (r"\*\*([^*]+)\*\*", "$1"),
-    (r"\*([^*]+)\*", "$1"),
-    (r"__([^_]+)__", "$1"),
-    (r"_([^_]+)_", "$1"),
+    (r"\*\*([^*]+)\*\*|\*([^*]+)\*|__([^_]+)__|_([^_]+)_", "$1$2$3$4"),
     (r"(?i)\s*[:\-–—]\s*(?:Most|Least|Very|Highly)?\s*(?:Likely|Unlikely|Probable|Improbable|Possible)\s*", ""),
     (r"(?i)\s*\([^)]*(?:likely|probable|fit|match|possible)[^)]*\)\s*", ""),
     (r"\s*\([^)]*\d+[^)]*\)\s*$", ""),
     (r"\s*\([^)]*\)\s*$", ""),
     (r"(?s)(?:–|—| - ).*$", ""),
-    (r"(?s)^((?:(?! and )[^:])*):.*$", "$1"),
-    (r"(?s)\. (?:This|It|He|She|Given|While).*$", ""),
 )
+ENTRY_TAIL = r"(?s)\. (?:This|It|He|She|Given|While).*$"
 
 
 def clean_entry(text: Column) -> Column:
+    """Entry without marks, likelihoods, brackets and explanations.
+
+    A colon ends the entry unless what stands before it joins two statements.
+    """
     for pattern, replacement in ENTRY_CUTS:
         text = F.regexp_replace(text, pattern, replacement)
-    return strip_ws(text)
+
+    def before_colon(entry: Column) -> Column:
+        head = F.substring_index(entry, ":", 1)
+        return F.when(head.contains(" and "), entry).otherwise(head)
+
+    return strip_ws(F.regexp_replace(let(text, before_colon), ENTRY_TAIL, ""))
 
 
 def numbered_entries(text: Column) -> Column:
@@ -157,18 +162,25 @@ def extract_grid(text: Column, height: Column, width: Column, live: Column | Non
     after = F.regexp_extract(F.lower(text), rf"(?s)^.*{marker}(.*)$", 1)
     after_digits = F.filter(F.transform(F.split(after, "\n"), lambda s: all_matches(s, "[01]", 0)), lambda r: F.size(r) > 0)
     marked = F.slice(after_digits, 1, F.greatest(height, F.lit(1)))
-    everything = all_matches(text, "[01]", 0)
     cells = height * width
-    tail = F.slice(everything, F.greatest(F.size(everything) - cells + 1, F.lit(1)), cells)
-    cut = F.transform(F.sequence(F.lit(0), height - 1), lambda i: F.slice(tail, i * width + 1, width))
+
+    def ending(everything: Column) -> Column:
+        """The last cells of the text cut into rows."""
+        start = F.size(everything) - cells
+        cut = F.transform(F.sequence(F.lit(0), height - 1), lambda i: F.slice(everything, start + i * width + 1, width))
+        return F.when(start >= 0, cut)
+
     shape_known = (height > 0) & (width > 0)
     return F.when(
         shape_known,
         F.coalesce(
-            found("line_scan_reverse", _last_block(apart, lambda r: F.size(r) == width, height)),
-            found("marker_search", F.when((F.size(marked) == height) & F.forall(marked, lambda r: F.size(r) == width), marked)),
-            found("digit_extraction", _last_block(digits, lambda r: F.size(r) >= width, height)),
-            found("last_resort", F.when(F.size(everything) >= cells, cut)),
+            found("line_scan_reverse", let(apart, lambda rs: _last_block(rs, lambda r: F.size(r) == width, height))),
+            found(
+                "marker_search",
+                let(marked, lambda m: F.when((F.size(m) == height) & F.forall(m, lambda r: F.size(r) == width), m)),
+            ),
+            found("digit_extraction", let(digits, lambda rs: _last_block(rs, lambda r: F.size(r) >= width, height))),
+            found("last_resort", let(all_matches(text, "[01]", 0), ending)),
         ),
     )
 

@@ -150,3 +150,14 @@ def test_ranking_needs_six_items(spark):
     full, short = [r["answer"] for r in extract(df, "linda_fallacy", "text").collect()]
     assert full["items"] == items[:6] and full["strategy"] == "explicit_ranking_section"
     assert short["items"] is None and short["error"]
+
+
+def test_very_long_texts(spark):
+    """Whole texts of thousands of words go through the rules of every task."""
+    word = "a word, 1 of {many} (it is: *so*) and \"quoted\" don't walk 5 kg. "
+    texts = [word * 300, "1. " + word * 300, "\n".join(["0 1 1 0"] * 3000)]
+    params = {k: F.lit(None).cast(t) for k, t in PARAMETERS.items()} | {"rows": F.lit(2), "cols": F.lit(4)}
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for task in sorted(EXTRACTIONS):
+        rows = extract(df, task, "text", params).select("answer").collect()
+        assert len(rows) == 3 and all(r["answer"]["strategy"] is not None or task == "game_of_life" for r in rows), task
