@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,21 +27,24 @@ def build_session(app: str = "tallymill", master: str | None = None, **conf: str
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``.
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where neither the setting nor a context checkpoint folder exists
-    (tests, a laptop) is a local folder made.
+    Where that is unset, a checkpoint folder already given to the context is used.  A single-JVM
+    session (``local[n]``, as in tests) without either gets a folder below its warehouse, which the
+    session names itself; on a cluster a folder of one machine would lose data, so that is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(configured)
-        return configured
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tallymill-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current
+    context = spark.sparkContext
+    if not configured:
+        configured = context.getCheckpointDir()
+        if configured:
+            return configured
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(configured)
+    return configured
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
