@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallymill.llm import bpe, decontaminate, licenses, matroska
+from tallymill.llm import bpe, decontaminate, licenses, matroska, neardup, toxicity, urls
 from tallymill.llm.registry import query, table
 
 
@@ -26,3 +27,20 @@ def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_suffix_automaton")
 def op3_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op5_minhash_bayes")
+def op5_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(table(spark, sf_dir, "documents"), words_per_shingle=4, percent=80)
+
+
+@query("op1_link_trust")
+def op1_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+@query("op2_factorization_machine")
+def op2_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (toxicity.fold_of(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
