@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm import bpe, decontaminate, licenses, matroska, neardup, toxicity, urls
+from tallymill.llm import bpe, decontaminate, licenses, matroska, neardup, quality, toxicity, urls
 from tallymill.llm.registry import query, table
+from tallymill.llm.sampling import fold_of
 
 
 @query("op7_byte_bpe")
@@ -43,4 +44,11 @@ def op1_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", (toxicity.fold_of(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op4_positive_unlabelled")
+def op4_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, *quality.learn(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

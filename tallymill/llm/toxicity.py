@@ -3,10 +3,10 @@
 The score of a text is sigmoid(bias + sum of weights + sum over pairs of factor products) of the hashed
 terms that stand in it, so a pair such as an insult with a group mention can weigh more than its parts.
 
-Learning: (1) one aggregation over all labelled learning rows counts, per hashed term, in how many toxic
-and other texts it stands, and the terms that tell the classes apart best are kept; (2) the machine is
-fitted by mini-batches on a bounded sample of learning rows reduced to those terms.  Scoring is one pass
-over the texts; the fitted numbers (a few hundred kilobytes) are broadcast.
+Learning uses a bounded sample of labelled rows: (1) one aggregation counts, per hashed term, in how
+many toxic and other texts it stands, and the terms that tell the classes apart best are kept; (2) the
+machine is fitted by mini-batches on the sample reduced to those terms.  Scoring is one pass over all
+whole texts; the fitted numbers (a few megabytes at most) are broadcast.
 """
 
 from __future__ import annotations
@@ -16,17 +16,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymill.llm.arrays import ALNUM, Slice, slices, words
+from tallymill.llm.sampling import chosen, labelled, texts
 
 #: Hashed terms: 2 ** BITS. Counts per term are at most so many rows.
 BITS = 20
-#: Terms that the machine sees.
-TERMS = 2048
-#: Bound of the learning sample (labelled rows, those of the smallest hashed ids) and of the rows of either label in it.
-SAMPLE = 20_000
+#: Most terms that the machine sees, and the least chi-squared gain of one.
+TERMS, GAIN = 1024, 15.0
+#: Bound of the learning sample: labelled rows, those of the smallest hashed ids.
+SAMPLE = 30_000
 FACTORS = 8
 
 
@@ -56,46 +57,38 @@ def terms(part: Slice, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (pairs >> np.uint64(bits)).astype(np.int64), (pairs & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
-def fold_of(key: Column) -> Column:
-    return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(5))
-
-
-def _term_rows(docs: DataFrame, bits: int) -> DataFrame:
-    """(doc, term, label) of (doc, label, _text): every distinct hashed term of every text."""
+def term_rows(rows: DataFrame, bits: int) -> DataFrame:
+    """(term, label) of (label, _text): every distinct hashed term of every text."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch.column(2)):
+            for part in slices(batch.column(1)):
                 doc, term = terms(part, bits)
-                take = pa.array(doc + part.first)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(term), batch.column(1).take(take)], ["doc", "term", "label"])
+                yield pa.RecordBatch.from_arrays([pa.array(term), batch.column(0).take(pa.array(doc + part.first))], ["term", "label"])
 
-    return docs.mapInArrow(listed, "doc long, term long, label int")
+    return rows.select("label", "_text").mapInArrow(listed, "term long, label int")
 
 
-def choose(rows: DataFrame, n_terms: int) -> np.ndarray:
-    """The terms whose presence differs most between labels, by the chi-squared statistic of their counts.
+def choose(rows: DataFrame, toxic: float, every: float, n_terms: int) -> np.ndarray:
+    """The terms whose presence differs most between labels, by a chi-squared statistic of their counts.
 
-    Counts over all learning rows, partially aggregated; the rows that reach the driver are the chosen ones.
+    ``rows`` are (term, label) of ``every`` texts, ``toxic`` of which have label 1.  Counts are
+    partially aggregated; the rows that reach the driver are the chosen ones.
     """
-    totals = rows.select("doc", "label").distinct().agg(F.sum("label").alias("toxic"), F.count("*").alias("all")).first()
-    toxic, every = float(totals.toxic or 0), float(totals.all or 0)
-    if not 0 < toxic < every:
-        return np.zeros(0, np.int64)
-    counts = rows.groupBy("term").agg(F.sum("label").alias("t"), F.count("*").alias("n"))
     expected = F.col("n") * toxic / every
-    best = counts.where("n >= 3").withColumn("gain", (F.col("t") - expected) ** 2 / (expected + 1.0)).orderBy(F.desc("gain"), "term").limit(n_terms)
-    return np.array(sorted(r.term for r in best.collect()), np.int64)
+    counts = rows.groupBy("term").agg(F.sum("label").alias("t"), F.count("*").alias("n"))
+    gains = counts.where("n >= 3").withColumn("gain", (F.col("t") - expected) ** 2 / (expected + 1.0)).where(F.col("gain") >= GAIN)
+    return np.array(sorted(r.term for r in gains.orderBy(F.desc("gain"), "term").limit(n_terms).collect()), np.int64)
 
 
-def fit(doc: np.ndarray, term: np.ndarray, labels: np.ndarray, place: np.ndarray, *, factors: int = FACTORS, epochs: int = 30, batch: int = 256, rate: float = 0.02, decay: float = 1e-4, seed: int = 7) -> Machine:
+def fit(doc: np.ndarray, term: np.ndarray, labels: np.ndarray, place: np.ndarray, *, factors: int = FACTORS, steps: int = 2500, batch: int = 256, rate: float = 0.02, decay: float = 2e-5, seed: int = 7) -> Machine:
     """Fits by Adam on the logistic loss. ``doc`` is sorted; ``labels`` has one entry per document."""
     random, size = np.random.default_rng(seed), int(place.max() + 1) if len(place) else 1
     share = float(np.clip(labels.mean() if len(labels) else 0.5, 1e-3, 1 - 1e-3))
     params = [np.array([np.log(share / (1 - share))]), np.zeros(size), random.normal(0, 0.01, (size, factors))]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     bounds, step = np.searchsorted(doc, np.arange(len(labels) + 1)), 0
-    for _ in range(epochs if len(labels) else 0):
+    while len(labels) and step < steps:
         order = random.permutation(len(labels))
         for k in range(0, len(order), batch):
             chosen = order[k : k + batch]
@@ -121,22 +114,21 @@ def fit(doc: np.ndarray, term: np.ndarray, labels: np.ndarray, place: np.ndarray
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", text: str = "text", key: str = "doc_id", bits: int = BITS, n_terms: int = TERMS, sample: int = SAMPLE) -> Machine:
-    """The machine learned from rows whose crc32 of the id modulo 5 is not 0.
+    """The machine learned from labelled rows of the learning folds.
 
-    Rows without id or label teach nothing; of an id labelled twice the larger label holds.  Without
-    rows of both labels the machine is constant: the share of label 1, or one half without any row.
+    Without rows of both labels, or without a term that tells them apart, the machine is constant:
+    the share of label 1, or one half without any row.
     """
-    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & (fold_of(F.col(key)) != 0)).groupBy(F.col(key).alias("_id")).agg(F.max(label).cast("int").alias("label"))
-    taught = docs.where(fold_of(F.col(key)) != 0).select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(known, "_id").select(F.col("_id").cast("long").alias("doc"), "label", "_text")
-    rows = _term_rows(taught, bits)
-    chosen = choose(rows, n_terms)
-    place = np.full(1 << bits, -1, np.int64)
-    place[chosen] = np.arange(len(chosen))
-    if not len(chosen):
-        share = known.agg(F.avg("label")).first()[0]
-        share = min(max(0.5 if share is None else float(share), 1e-6), 1 - 1e-6)
+    few = chosen(labelled(labels, label, key), sample)
+    toxic, every = few.agg(F.sum("label"), F.count("*")).first()
+    toxic, every = float(toxic or 0), float(every)
+    taught = texts(docs, few, text, key)
+    best = choose(term_rows(taught, bits), toxic, every, n_terms) if 0 < toxic < every else np.zeros(0, np.int64)
+    place = np.full(1 << bits, -1, np.int32)
+    place[best] = np.arange(len(best))
+    if not len(best):
+        share = min(max(toxic / every if every else 0.5, 1e-6), 1 - 1e-6)
         return Machine(place, float(np.log(share / (1 - share))), np.zeros(1), np.zeros((1, FACTORS)))
-    few = taught.orderBy(F.xxhash64("doc"), "doc").limit(sample)
     wanted = docs.sparkSession.sparkContext.broadcast(place)
 
     def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,9 +139,12 @@ def learn(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", text: str
                 doc, at = doc[at >= 0], at[at >= 0]
                 size = part.last - part.first
                 ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=size))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(part.first, size), pa.ListArray.from_arrays(pa.array(ends), pa.array(at.astype(np.int32)))], ["label", "terms"])
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(at))
+                yield pa.RecordBatch.from_arrays([*(c.slice(part.first, size) for c in batch.columns[:2]), lists], ["id", "label", "terms"])
 
-    table = few.mapInArrow(reduced, "label int, terms array<int>").toArrow()
+    kind = taught.schema["id"].dataType.simpleString()
+    rows = taught.select("id", "label", "_text").mapInArrow(reduced, f"id {kind}, label int, terms array<int>")
+    table = rows.orderBy(F.xxhash64("id"), "terms").limit(sample).select("label", "terms").toArrow()
     lists = table["terms"].combine_chunks()
     counts = np.diff(lists.offsets.to_numpy())
     return fit(np.repeat(np.arange(len(counts)), counts), lists.values.to_numpy().astype(np.int64), table["label"].to_numpy().astype(float), place)
