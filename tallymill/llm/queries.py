@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm import bpe, decontaminate, licenses, matroska, neardup, quality, toxicity, urls
+from tallymill.llm import bpe, decontaminate, licenses, matroska, neardup, pii, quality, secrets, toxicity, urls
 from tallymill.llm.registry import query, table
 from tallymill.llm.sampling import fold_of
 
@@ -52,3 +52,13 @@ def op4_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = quality.score(docs, *quality.learn(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op6_randomness_battery")
+def op6_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(table(spark, sf_dir, "documents"))
+
+
+@query("op8_disclosure")
+def op8_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(table(spark, sf_dir, "documents"))
