@@ -48,8 +48,8 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...]) -> C
 
 def host_edges(pages: DataFrame, *, html: str = "html", site_weight: float = 0.1) -> DataFrame:
     """(src, dst, weight): pages of src that link to dst, and each host with the host above it, both ways."""
-    target = F.translate(F.explode(F.array_distinct(F.regexp_extract_all(F.col(html), F.lit(LINK), F.lit(1)))), UPPER, LOWER)
-    links = pages.select(F.col("host").alias("src"), target.alias("dst")).where("src <> dst and src <> '' and dst <> ''")
+    targets = F.transform(F.regexp_extract_all(F.col(html), F.lit(LINK), F.lit(1)), lambda h: F.translate(h, UPPER, LOWER))
+    links = pages.select(F.col("host").alias("src"), F.explode(F.array_distinct(targets)).alias("dst")).where("src <> dst and src <> '' and dst <> ''")
     links = links.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
     above = F.regexp_extract(F.col("host"), r"^[^.]+\.([^.]+\..+)$", 1)
     hosts = pages.where("host <> ''").groupBy("host").agg(F.count("*").alias("n"))
