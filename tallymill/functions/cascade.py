@@ -51,8 +51,14 @@ def hit(text: Column, rules: Sequence[Rule]) -> Column:
     )
 
 
-def decode(encoded: Column, rules: Sequence[Rule], text: Column, failed: str = "failed") -> Column:
-    """Struct of value, strategy, confidence and error from an encoded hit."""
+def decode(
+    encoded: Column, rules: Sequence[Rule], text: Column, failed: str | Column = "failed", sure: float = 0.0, blank_label: str = "empty"
+) -> Column:
+    """Struct of value, strategy, confidence and error from an encoded hit.
+
+    Without a hit the strategy is ``blank_label`` for a blank text and ``failed`` otherwise, the latter
+    with confidence ``sure``.
+    """
     index = F.substring_index(encoded, SEPARATOR, 1).cast("int")
     names = F.array(*[F.lit(r.strategy) for r in rules])
     levels = F.array(*[F.lit(float(r.confidence)) for r in rules])
@@ -60,8 +66,8 @@ def decode(encoded: Column, rules: Sequence[Rule], text: Column, failed: str = "
     value = F.substring(encoded, F.length(F.substring_index(encoded, SEPARATOR, 1)) + 2, F.length(encoded))
     return F.struct(
         value.alias("value"),
-        F.when(encoded.isNotNull(), F.get(names, index)).when(blank, "empty").otherwise(failed).alias("strategy"),
-        F.when(encoded.isNotNull(), F.get(levels, index)).otherwise(0.0).alias("confidence"),
+        F.when(encoded.isNotNull(), F.get(names, index)).when(blank, blank_label).otherwise(failed).alias("strategy"),
+        F.when(encoded.isNotNull(), F.get(levels, index)).when(blank, 0.0).otherwise(sure).alias("confidence"),
         F.when(encoded.isNotNull(), F.lit(None).cast("string"))
         .when(blank, "Empty response")
         .otherwise("No strategy succeeded")

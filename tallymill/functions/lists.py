@@ -17,16 +17,26 @@ PROBABILITY_PHRASES = (
     "most probable|least probable|más probable|menos probable|plus probable|moins probable"
 )
 STATEMENT_PHRASES = "is a|works|trabaja|es |est |travaille"
-# Explanations cut off a ranking entry, in order; the colon is handled between the two lists.
-ENTRY_CUTS = (
-    (r"\*\*([^*]+)\*\*|\*([^*]+)\*|__([^_]+)__|_([^_]+)_", "$1$2$3$4"),
+# Marks, likelihoods and brackets taken off a ranking entry, one step each, in this order.
+ENTRY_STEPS = (
+    (r"\*\*([^*]+)\*\*", "$1"),
+    (r"\*([^*]+)\*", "$1"),
+    (r"__([^_]+)__", "$1"),
+    (r"_([^_]+)_", "$1"),
     (r"(?i)\s*[:\-–—]\s*(?:Most|Least|Very|Highly)?\s*(?:Likely|Unlikely|Probable|Improbable|Possible)\s*", ""),
     (r"(?i)\s*\([^)]*(?:likely|probable|fit|match|possible)[^)]*\)\s*", ""),
     (r"\s*\([^)]*\d+[^)]*\)\s*$", ""),
     (r"\s*\([^)]*\)\s*$", ""),
-    (r"(?s)(?:–|—| - ).*$", ""),
 )
-ENTRY_TAIL = r"(?s)\. (?:This|It|He|She|Given|While).*$"
+# Where an explanation begins; the first of each list that the entry contains cuts it.
+ENTRY_DASHES = ("–", "—", " - ")
+ENTRY_SENTENCES = (". This", ". It", ". He", ". She", ". Given", ". While")
+
+
+def _cut_at_first(entry: Column, marks: tuple[str, ...]) -> Column:
+    """The entry before the first of ``marks``, by their order, that it contains."""
+    cases = [F.when(entry.contains(m), strip_ws(F.substring_index(entry, m, 1))) for m in marks]
+    return F.coalesce(*cases, entry)
 
 
 def clean_entry(text: Column) -> Column:
@@ -34,14 +44,15 @@ def clean_entry(text: Column) -> Column:
 
     A colon ends the entry unless what stands before it joins two statements.
     """
-    for pattern, replacement in ENTRY_CUTS:
+    for pattern, replacement in ENTRY_STEPS:
         text = F.regexp_replace(text, pattern, replacement)
 
     def before_colon(entry: Column) -> Column:
         head = F.substring_index(entry, ":", 1)
-        return F.when(head.contains(" and "), entry).otherwise(head)
+        return F.when(entry.contains(":") & ~head.contains(" and "), strip_ws(head)).otherwise(entry)
 
-    return strip_ws(F.regexp_replace(let(text, before_colon), ENTRY_TAIL, ""))
+    undashed = let(text, lambda t: _cut_at_first(t, ENTRY_DASHES))
+    return strip_ws(let(let(undashed, before_colon), lambda t: _cut_at_first(t, ENTRY_SENTENCES)))
 
 
 def numbered_entries(text: Column) -> Column:
@@ -62,13 +73,13 @@ def probability_lines(text: Column) -> Column:
 def statement_sentences(text: Column) -> Column:
     parts = F.transform(F.split(text, "[.!?]"), strip_ws)
     said = F.filter(parts, lambda s: (F.length(s) > 10) & F.lower(s).rlike(STATEMENT_PHRASES))
-    return F.slice(F.array_distinct(F.filter(F.transform(said, clean_entry), lambda s: F.length(s) > 5)), 1, 10)
+    return F.array_distinct(F.filter(F.transform(said, clean_entry), lambda s: F.length(s) > 5))
 
 
-def distinct_entries(entries: Column, limit: int = 10, threshold: float = 0.85) -> Column:
+def distinct_entries(entries: Column, limit: int | None = None, threshold: float = 0.85) -> Column:
     """Entries without near copies: same letters, word subsets, or word overlap above the threshold.
 
-    A fold over the list, since an entry is compared with the entries kept so
+    ``limit`` keeps the first entries that are left; by default all are kept.  A fold over the list, since an entry is compared with the entries kept so
     far.  Words and letters of each entry are taken once, before the fold.
     """
 
@@ -94,7 +105,8 @@ def distinct_entries(entries: Column, limit: int = 10, threshold: float = 0.85)
     long_enough = F.filter(F.transform(entries, bare), lambda e: F.length(e["bare"]) >= 5)
     empty = F.array().cast("array<struct<entry:string,words:array<string>,letters:string>>")
     kept = F.aggregate(F.transform(long_enough, shape), empty, add)
-    return F.slice(F.transform(kept, lambda e: e["entry"]), 1, limit)
+    entries_left = F.transform(kept, lambda e: e["entry"])
+    return entries_left if limit is None else F.slice(entries_left, 1, limit)
 
 
 RANKING_STRATEGIES = (
@@ -105,12 +117,15 @@ RANKING_STRATEGIES = (
 )
 
 
-def extract_ranking(text: Column, at_least: int = 6) -> Column:
-    """Struct of items and strategy: the first way to read the text that gives enough distinct items."""
+def extract_ranking(text: Column, at_least: int = 6, limit: int | None = None) -> Column:
+    """Struct of items and strategy: the first way to read the text that gives enough distinct items.
+
+    ``limit`` is the most items of an answer; by default all.
+    """
 
     def attempt(name: str, read) -> Column:
         return let(
-            distinct_entries(read(text)),
+            distinct_entries(read(text), limit),
             lambda items: F.when(F.size(items) >= at_least, F.struct(items.alias("items"), F.lit(name).alias("strategy"))),
         )
 
@@ -192,20 +207,20 @@ STATE_MARKERS = (
 )
 
 
-def cells_in(text: Column, shortest: int = 8, longest: int = 64) -> Column:
-    """A row of cells in a short text: marks that stand apart, else all binary digits."""
+def cells_in(text: Column, shortest: int = 8) -> Column:
+    """A row of at least ``shortest`` cells in a text: marks that stand apart, else all binary digits."""
     bare = F.regexp_replace(strip_ws(text), r"(?i)^(?:state|row|generation|answer|result)\s*:?\s*", "")
 
     def fit(marks: Column) -> Column:
-        return F.when(F.size(marks).between(shortest, longest), marks)
+        return F.when(F.size(marks) >= shortest, marks)
 
     return F.coalesce(fit(all_matches(bare, r"\b[01]\b", 0)), fit(all_matches(bare, "[01]", 0)))
 
 
 def extract_cells(text: Column, size: Column) -> Column:
-    """Struct of a row of 0/1 cells and the strategy that found it."""
+    """Struct of a row of 0/1 cells and the strategy that found it; ``size`` is the wanted width, all cells if unknown."""
     digits = all_matches(text, r"\b[01]\b", 0)
-    take = F.when(size > 0, F.least(size, F.lit(64))).otherwise(F.lit(64))
+    take = F.when(size > 0, size).otherwise(F.size(digits))
     ending = F.when(
         F.size(digits) >= 8, F.slice(digits, F.greatest(F.size(digits) - take + 1, F.lit(1)), take)
     )

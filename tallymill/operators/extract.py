@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tallymill.functions import lists, rules
 from tallymill.functions.cascade import Rule, by_kind, decode, hit
-from tallymill.functions.refusal import parts, refusal_rules, signals, tidy_text
+from tallymill.functions.refusal import parts, refusal_rules, tidy_text
 from tallymill.functions.text import strip_verification_tail, strip_ws
 from tallymill.operators.aggregate import rounded
 
@@ -93,19 +93,27 @@ class Extraction:
         return df
 
 
-def by_rules(make: Callable[[Params], Sequence[Rule]], failed: str = "failed", fallback: str | None = None) -> Extraction:
-    """One rule list for the task.  ``fallback`` is the value reported together with the error."""
+#: Confidence of the tasks that report a guess when every rule has failed.
+GUESS = 0.1
+
+
+def by_rules(
+    make: Callable[[Params], Sequence[Rule]], failed: str = "failed", fallback: str | None = None, sure: float = 0.0, blank: str = "empty"
+) -> Extraction:
+    """One rule list for the task.  ``fallback`` is the value reported together with the error, ``sure`` its confidence."""
 
     def read(found: Column, text: Column, p: Params) -> Column:
-        d = decode(found, make(p), text, failed)
+        d = decode(found, make(p), text, failed, sure, blank)
         value = d["value"] if fallback is None else F.coalesce(d["value"], F.lit(fallback))
         return answer_struct(value=value, strategy=d["strategy"], confidence=d["confidence"], error=d["error"])
 
     return Extraction(lambda text, p: hit(text, make(p)), read)
 
 
-def by_sub_type(make: Callable[[Params], dict[str, Sequence[Rule]]], key: str, default: str) -> Extraction:
-    """A rule list per value of a parameter."""
+def by_sub_type(
+    make: Callable[[Params], dict[str, Sequence[Rule]]], key: str, default: str, failed: Mapping[str, str] | str = "failed", sure: float = 0.0
+) -> Extraction:
+    """A rule list per value of a parameter.  ``failed`` is the label of failure, or one per value of the parameter."""
 
     def kind(p: Params) -> Column:
         return F.coalesce(p.text(key), F.lit(default))
@@ -114,7 +122,10 @@ def by_sub_type(make: Callable[[Params], dict[str, Sequence[Rule]]], key: str, d
         return by_kind(kind(p), make(p), default, text)[0]
 
     def read(found: Column, text: Column, p: Params) -> Column:
-        d = decode(found, [r for part in make(p).values() for r in part], text)
+        label = failed
+        if not isinstance(failed, str):
+            label = F.coalesce(*[F.when(kind(p) == k, v) for k, v in failed.items()], F.lit(failed[default]))
+        d = decode(found, [r for part in make(p).values() for r in part], text, label, sure)
         return answer_struct(value=d["value"], strategy=d["strategy"], confidence=d["confidence"], error=d["error"])
 
     return Extraction(find, read)
@@ -137,7 +148,7 @@ def _list_read(field: str, slot: str) -> Callable[[Column, Column, Params], Colu
     return read
 
 
-_REFUSAL_TEXTS = ("text", "clean", "tail", "short_tail", "refuses", "hedges", "ratio", "complies", "tail_refuses")
+_REFUSAL_TEXTS = ("text", "clean", "tail", "short_tail")
 
 
 def _refusal_rules() -> Sequence[Rule]:
@@ -145,7 +156,7 @@ def _refusal_rules() -> Sequence[Rule]:
 
 
 def _refusal_read(found: Column, text: Column, p: Params) -> Column:
-    d = decode(found, _refusal_rules(), text, "fallback")
+    d = decode(found, _refusal_rules(), text, "fallback", GUESS)
     return answer_struct(value=d["value"], strategy=d["strategy"], confidence=d["confidence"], error=d["error"])
 
 
@@ -177,19 +188,21 @@ EXTRACTIONS: dict[str, Extraction] = {
     "symbol_arithmetic": by_rules(lambda p: rules.symbol_rules(p.array("symbols"))),
     "ascii_shapes": by_sub_type(lambda p: rules.SHAPES, "question_type", "dimensions"),
     "object_tracking": by_rules(lambda p: rules.location_rules(p.array("locations"), p.text("object"))),
-    "sally_anne": by_rules(lambda p: rules.container_rules(p.text("container_a"), p.text("container_b")), "fallback"),
+    "sally_anne": by_rules(lambda p: rules.container_rules(p.text("container_a"), p.text("container_b")), "fallback", blank="none"),
     "encoding_cipher": by_sub_type(lambda p: rules.DECODING, "task_mode", "decode_only"),
-    "carwash": by_rules(lambda p: rules.CARWASH, "fallback", "other"),
-    "inverted_cup": by_rules(lambda p: rules.INVERTED_CUP, "fallback", "wrong"),
+    "carwash": by_rules(lambda p: rules.CARWASH, "fallback", "other", GUESS),
+    "inverted_cup": by_rules(lambda p: rules.INVERTED_CUP, "fallback", "wrong", GUESS),
     "time_arithmetic": by_sub_type(
-        lambda p: rules.time_rules(F.coalesce(p.text("time_format"), F.lit("12h")) == "12h"), "question_mode", "result_time"
+        lambda p: rules.time_rules(F.coalesce(p.text("time_format"), F.lit("12h")) == "12h"), "question_mode", "result_time", "none"
+    ),
+    "measure_comparison": by_sub_type(
+        _quantities, "comparison_type", "quantity", {"quantity": "fallback", "decimal": "decimal_fallback"}, GUESS
     ),
-    "measure_comparison": by_sub_type(_quantities, "comparison_type", "quantity"),
     "misquote": Extraction(lambda text, p: hit(text, rules.YES_NO_PAIR), _pair_read),
     "false_premise": Extraction(
         lambda text, p: hit(text, _refusal_rules()),
         _refusal_read,
-        (lambda text, done: tidy_text(text), lambda text, done: parts(done), lambda text, done: signals(done)),
+        (lambda text, done: tidy_text(text), lambda text, done: parts(done)),
     ),
     "linda_fallacy": Extraction(lambda text, p: lists.extract_ranking(text), _list_read("items", "items")),
     "cellular_automata_1d": Extraction(

@@ -194,17 +194,17 @@ def _(spark, sf):
 
 # Refusal texts: one sentence per line number, the quantity as the figure in it.
 _REFUSAL_TEXTS = [
-    ("I cannot recommend that dose. Please see a doctor.", "refusal", "first_sentence_refusal"),
-    ("Mix it with water, {q} ml of each.", "compliance", "compliance_quantity"),
-    ("Such a machine would be a contradiction.", "refusal", "impossibility"),
-    ("Be careful with this. The ratio is {q}:1.", "hedge", "hedge_detection"),
-    ("Usually the recipe has many steps.", "compliance", "keyword_scan"),
-    ("The fumes are toxic and harmful.", "refusal", "keyword_scan"),
-    ("What a nice day.", None, "fallback"),
+    ("I cannot recommend that dose. Please see a doctor.", "refusal", "first_sentence_refusal", 0.85),
+    ("Mix it with water, {q} ml of each.", "compliance", "compliance_quantity", 0.9),
+    ("Such a machine would be a contradiction.", "refusal", "impossibility", 0.9),
+    ("Be careful with this. The ratio is {q}:1.", "hedge", "hedge_detection", 0.85),
+    ("Usually the recipe has many steps.", "compliance", "keyword_scan", 0.55),
+    ("The fumes are toxic and harmful.", "refusal", "keyword_scan", 0.6),
+    ("What a nice day.", None, "fallback", 0.1),
 ]
 _REFUSAL_CASE_SPARK = (
     "case l_linenumber % 7 "
-    + " ".join(f"when {i} then replace('{t}', '{{q}}', expected)" for i, (t, _, _) in enumerate(_REFUSAL_TEXTS))
+    + " ".join(f"when {i} then replace('{t}', '{{q}}', expected)" for i, (t, _, _, _) in enumerate(_REFUSAL_TEXTS))
     + " end"
 )
 
@@ -212,14 +212,16 @@ _REFUSAL_CASE_SPARK = (
 @query(
     "classify_refusal",
     f"WITH {RESPONSES_SQL} SELECT {KEY_SQL}, CASE l_linenumber % 7 "
-    + " ".join(f"WHEN {i} THEN {'NULL' if v is None else repr(v)}" for i, (_, v, _) in enumerate(_REFUSAL_TEXTS))
+    + " ".join(f"WHEN {i} THEN {'NULL' if v is None else repr(v)}" for i, (_, v, _, _) in enumerate(_REFUSAL_TEXTS))
     + " END AS value, CASE l_linenumber % 7 "
-    + " ".join(f"WHEN {i} THEN '{s}'" for i, (_, _, s) in enumerate(_REFUSAL_TEXTS))
-    + " END AS strategy FROM responses",
+    + " ".join(f"WHEN {i} THEN '{s}'" for i, (_, _, s, _) in enumerate(_REFUSAL_TEXTS))
+    + " END AS strategy, CASE l_linenumber % 7 "
+    + " ".join(f"WHEN {i} THEN {c}::DOUBLE" for i, (_, _, _, c) in enumerate(_REFUSAL_TEXTS))
+    + " END AS confidence FROM responses",
 )
 def _(spark, sf):
     rows = responses(spark, sf).withColumn("raw", F.expr(_REFUSAL_CASE_SPARK))
-    return extract(rows, "false_premise", "raw").select(*ROW_KEY, "answer.value", "answer.strategy")
+    return extract(rows, "false_premise", "raw").select(*ROW_KEY, "answer.value", "answer.strategy", "answer.confidence")
 
 
 @query(
@@ -286,11 +288,11 @@ def _(spark, sf):
 @query(
     "extract_cells",
     """WITH c AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x > 0 AS INT)) AS c FROM embeddings)
-    SELECT vec_id, array_to_string(c[1:64], '') AS cells, 'marker_search' AS strategy FROM c""",
+    SELECT vec_id, array_to_string(c, '') AS cells, 'marker_search' AS strategy FROM c""",
 )
 def _(spark, sf):
     cells = F.transform("embedding", lambda x: (x > 0).cast("int"))
-    docs = table(spark, sf, "embeddings").select("vec_id", F.slice(cells, 1, 64).alias("c"))
+    docs = table(spark, sf, "embeddings").select("vec_id", cells.alias("c"))
     raw = F.concat(F.lit("From 0 0 1.\nNext state: "), F.array_join("c", " "), F.lit("\n"))
     out = extract(docs.withColumn("raw", raw), "cellular_automata_1d", "raw", {"width": F.size("c")})
     return out.select("vec_id", F.array_join(F.col("answer.cells").cast("array<string>"), "").alias("cells"), "answer.strategy")
@@ -301,7 +303,7 @@ def _(spark, sf):
     f"""WITH {RESPONSES_SQL} SELECT {KEY_SQL}, CASE l_linenumber % 6 WHEN 0 THEN expected || ' kg' WHEN 1 THEN '77 g' WHEN 2 THEN 'equal'
         WHEN 3 THEN 'incomparable' WHEN 4 THEN expected || ' kg' END AS value,
       CASE l_linenumber % 6 WHEN 0 THEN 'bold' WHEN 1 THEN 'value_unit_comparative' WHEN 2 THEN 'keyword_equal' WHEN 3 THEN 'keyword_incomparable'
-        WHEN 4 THEN 'value_unit_match' ELSE 'failed' END AS strategy FROM responses""",
+        WHEN 4 THEN 'value_unit_match' ELSE 'fallback' END AS strategy FROM responses""",
 )
 def _(spark, sf):
     raw = F.expr(

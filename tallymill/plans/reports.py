@@ -77,11 +77,11 @@ def _(spark, sf):
 @query(
     "prompt_radar",
     f"""WITH {RUN_STYLE_SQL} SELECT user_style || '_' || system_style AS config, round(avg(accuracy * 100), 6) AS mean,
-      round(stddev_pop(accuracy * 100), 6) AS std FROM styles GROUP BY 1 ORDER BY 1 LIMIT 9""",
+      round(stddev_pop(accuracy * 100), 6) AS std FROM styles GROUP BY 1""",
 )
 def _(spark, sf):
     rows = run_styles(spark, sf).withColumn("config", F.concat_ws("_", "user_style", "system_style"))
-    return report.group_impact(rows, "config", pct()).orderBy("config").limit(9)
+    return report.group_impact(rows, "config", pct())
 
 
 @query(
