@@ -27,6 +27,7 @@ HEADLINE = (
     "head_sample",
     "join_testset",
     "rescore_diff",
+    "extract_and_score",
     "extract_cascade",
     "extraction_report",
     "score_graded_text",
@@ -51,6 +52,8 @@ def main() -> None:
         f"local[{cpus}]",
         spark__sql__shuffle__partitions=cpus,
         spark__driver__memory="16g",
+        spark__checkpoint__dir=os.environ.get("BENCH_SHARED_DIR", "/tmp/tallymill-bench"),
+        spark__tallymill__spread="true",
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
     )

@@ -37,10 +37,10 @@ def positive_mean(value: Column) -> Column:
 
 
 def response_counts() -> list[Column]:
-    """The additive measures from which all rates follow."""
+    """The additive measures from which all rates follow; a run without results counts no row."""
     ok = F.col("status") == SUCCESS
     return [
-        F.count(F.lit(1)).alias("total_tests"),
+        F.count("status").alias("total_tests"),
         F.count_if(ok).alias("successful_tests"),
         F.count_if(~ok).alias("failed_tests"),
         F.count_if(F.col("correct")).alias("correct_responses"),
@@ -95,11 +95,11 @@ def run_summary(rows: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame
 def task_breakdown(rows: DataFrame, keys: Sequence[str] = ("run_id", "task_type")) -> DataFrame:
     """Per run and task over all rows, failed ones included."""
     return rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("total"),
+        F.count("status").alias("total"),
         F.count_if("correct").alias("correct"),
         F.count_if(F.col("match_type") == "parse_error").alias("parse_errors"),
-        ratio(F.count_if("correct"), F.count(F.lit(1))).alias("accuracy"),
-        ratio(F.count_if(F.col("match_type") == "parse_error"), F.count(F.lit(1))).alias("parse_error_rate"),
+        ratio(F.count_if("correct"), F.count("status")).alias("accuracy"),
+        ratio(F.count_if(F.col("match_type") == "parse_error"), F.count("status")).alias("parse_error_rate"),
     )
 
 

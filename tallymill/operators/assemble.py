@@ -12,7 +12,6 @@ from tallymill.functions.identity import fixed, literal_map
 from tallymill.functions.text import strip_ws
 from tallymill.session import checkpoint_root
 
-TOP_K_LIMIT = 100_000
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -38,26 +37,19 @@ def seeded_uniform(seed: str, *identity: Column) -> Column:
     return F.conv(digits, 16, 10).cast("bigint") / F.lit(float(2**52))
 
 
-def fill_to_count(rows: DataFrame, count: int, identity: Sequence[str], seed: str = "42") -> DataFrame:
+def fill_to_count(rows: DataFrame, count: int | Column, identity: Sequence[str], seed: str = "42") -> DataFrame:
     """Exactly ``count`` rows: whole rounds of all rows, then the first of the shuffled rows.
 
-    A small rest is a top-k; a large one is cut by running number, since a top-k
-    gathers its rows in one place.
+    One way for every size: rows are numbered in the order of their draw, and those up to the rest get
+    one round more.  ``count`` may be a scalar subquery; the number of rows is one itself.
     """
-    n = rows.count()
+    n = rows.agg(F.count(F.lit(1))).scalar()
     drawn = rows.withColumn("draw", seeded_draw(seed, *[F.col(c) for c in identity]))
-    if n == 0:
-        return drawn.withColumn("round", F.lit(0))
-    rounds, rest = divmod(count, n)
-    if rest <= TOP_K_LIMIT:
-        first = drawn.orderBy("draw", *identity).limit(rest)
-    else:
-        first = number_rows(drawn, ["draw", *identity], "_place").filter(F.col("_place") <= rest).drop("_place")
-    last = first.withColumn("round", F.lit(rounds))
-    if rounds == 0:
-        return last
-    whole = drawn.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    return whole.unionByName(last) if rest else whole
+    wanted = F.lit(count) if isinstance(count, int) else count
+    placed = number_rows(drawn, ["draw", *identity], "_place").withColumns({"_wanted": wanted, "_all": n})
+    rounds = F.floor(F.col("_wanted") / F.col("_all")) + (F.col("_place") <= F.col("_wanted") % F.col("_all")).cast("int")
+    turns = F.when(rounds > 0, F.sequence(F.lit(0), rounds.cast("int") - 1))
+    return placed.withColumn("round", F.explode(turns)).drop("_place", "_wanted", "_all")
 
 
 def weighted_pick(weights: Mapping[str, float], seed: str, *identity: Column) -> Column:

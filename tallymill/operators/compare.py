@@ -17,6 +17,19 @@ def join_testset(results: DataFrame, cases: DataFrame, keys: Sequence[str]) -> D
     return results.join(cases, list(keys), "left")
 
 
+def with_styles(results: DataFrame, cases: DataFrame) -> DataFrame:
+    """Result rows with the styles and language of their test case, joined by configuration and test.
+
+    Producers write styles into the test set only; a style that a row already has stays.
+    """
+    said = lambda key: F.try_element_at("prompt_metadata", F.lit(key)).alias(f"_{key}")
+    named = cases.select(F.col("config_hash").alias("_config"), F.col("test_id").alias("_test"), *map(said, ("user_style", "system_style", "language")))
+    same = F.equal_null("config_hash", "_config") & (F.col("test_id") == F.col("_test"))
+    joined = results.join(named.dropDuplicates(["_config", "_test"]), same, "left")
+    columns = {x: F.coalesce(x, f"_{x}") for x in ("user_style", "system_style")} | {"language": F.col("_language")}
+    return joined.withColumns(columns).drop("_config", "_test", "_user_style", "_system_style", "_language")
+
+
 def lookup_join(rows: DataFrame, lookup: DataFrame, key: str, lookup_key: str) -> DataFrame:
     """Left join with a dictionary table, unhinted for the same reason."""
     return rows.join(lookup, rows[key] == lookup[lookup_key], "left")

@@ -39,7 +39,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     customers = table(spark, sf, "customer").select("c_custkey")
-    return assemble.fill_to_count(customers, customers.count() * 5 // 2, ["c_custkey"]).select("c_custkey", "round")
+    wanted = customers.agg(F.floor(F.count(F.lit(1)) * 5 / 2)).scalar()
+    return assemble.fill_to_count(customers, wanted, ["c_custkey"]).select("c_custkey", "round")
 
 
 # Prompt texts by language and style.

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallymill.fixtures import EVAL_ROWS_SQL, RESPONSES_SQL, eval_rows, responses, table
 from tallymill.operators import aggregate as agg
+from tallymill.operators import compare
 from tallymill.operators.aggregate import rounded
 from tallymill.plans.aggregates import GOOD, OK
 from tallymill.plans.registry import query
@@ -85,26 +86,50 @@ def _(spark, sf):
 
 @query(
     "read_tolerant",
-    "SELECT 'broken' AS kind, count(*) AS files FROM (SELECT DISTINCT p_brand FROM part) UNION ALL SELECT 'good', count(DISTINCT p_type) FROM part",
+    """SELECT 'good' AS kind, count(DISTINCT p_type) AS n FROM part UNION ALL SELECT 'broken document', count(DISTINCT p_brand) FROM part
+    UNION ALL SELECT 'truncated gzip', 1""",
 )
 def _(spark, sf):
     parts = table(spark, sf, "part")
 
     def write(path: str) -> None:
-        good = parts.groupBy("p_type").agg(F.count(F.lit(1)).alias("n")).select(
-            F.to_json(F.struct(F.struct(F.col("p_type").alias("model_name")).alias("model_info"))).alias("value"),
-            F.concat(F.lit("good-"), "p_type").alias("f"),
-        )
-        bad = parts.select("p_brand").distinct().select(
-            F.concat(F.lit('{"model_info": {"model_name": "'), "p_brand").alias("value"),
-            F.concat(F.lit("bad-"), F.regexp_replace("p_brand", "#", "")).alias("f"),
-        )
-        good.unionByName(bad).write.partitionBy("f").option("compression", "gzip").text(path)
+        # good and broken lines share their files; one more file is cut off in the middle of its first block
+        good = parts.groupBy("p_type").agg(F.count(F.lit(1)).alias("n"))
+        good = good.select(F.to_json(F.struct(F.struct(F.col("p_type").alias("model_name")).alias("model_info"))).alias("value"))
+        bad = parts.select(F.concat(F.lit('{"model_info": {"model_name": "'), "p_brand").alias("value")).distinct()
+        good.unionByName(bad).repartition(3).write.option("compression", "gzip").text(f"{path}/whole")
+        good.coalesce(1).write.option("compression", "gzip").text(f"{path}/source")
+        jvm = spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/source")
+        fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        whole = next(x.getPath() for x in fs.listStatus(folder) if x.getPath().getName().endswith(".gz"))
+        target = jvm.org.apache.hadoop.fs.Path(f"{path}/cut/part-0.txt.gz")
+        source, cut = fs.open(whole), fs.create(target)
+        for _ in range(40):
+            cut.write(source.read())
+        source.close()
+        cut.close()
+        fs.delete(folder, True)
 
     folder = written(spark, sf, "mixed", write)
-    readable, broken = documents.split_readable(spark, folder, "*.gz")
-    good = readable.agg(F.count(F.lit(1)).alias("files")).withColumn("kind", F.lit("good"))
-    return good.unionByName(broken.agg(F.count(F.lit(1)).alias("files")).withColumn("kind", F.lit("broken")))
+    readable, bad = documents.split_readable(spark, folder, "*.gz", one_per_file=False)
+    good = readable.select(F.lit("good").alias("kind"), F.col("model_info.model_name").alias("what"))
+    lost = bad.select(F.col("cause").alias("kind"), F.coalesce("document", "file_path").alias("what"))
+    return good.unionByName(lost).groupBy("kind").agg(F.count("what").alias("n"))
+
+
+@query(
+    "run_headers",
+    f"""WITH {EVAL_ROWS_SQL} SELECT CAST(run_id AS VARCHAR) AS run_id, model_name, 'local' AS provider, 'derived' AS testset_name, CAST(count(*) AS BIGINT) AS n_results,
+      CAST(sum(input_tokens) AS BIGINT) AS total_input_tokens, round(sum(duration), 4) AS duration
+    FROM eval_rows GROUP BY run_id, model_name""",
+)
+def _(spark, sf):
+    headers = documents.run_headers(read_back(spark, sf))
+    per_run = headers.groupBy("run_id", "model_name", "provider", "testset_name")
+    return per_run.agg(
+        F.sum("n_results").cast("bigint").alias("n_results"), F.sum("total_input_tokens").alias("total_input_tokens"), rounded(F.sum("duration_seconds"), 4).alias("duration")
+    )
 
 
 @query(
@@ -289,11 +314,51 @@ def _(spark, sf):
 
 @query(
     "write_bronze",
-    f"WITH {EVAL_ROWS_SQL} SELECT model_name, count(*) AS total, {GOOD} AS correct FROM eval_rows WHERE model_name = 'model3' GROUP BY ALL",
+    f"WITH {EVAL_ROWS_SQL} SELECT model_name, count(*) AS total, {GOOD} AS correct FROM eval_rows GROUP BY ALL",
 )
 def _(spark, sf):
     def write(path: str) -> None:
-        sinks.write_bronze(documents.explode_results(read_back(spark, sf)), path)
+        rows = documents.explode_results(read_back(spark, sf))
+        for _ in range(2):  # a job that is run again doubles nothing
+            sinks.write_bronze(rows, path)
 
-    bronze = spark.read.parquet(written(spark, sf, "bronze", write)).filter("model_name = 'model3'")
+    bronze = spark.read.parquet(written(spark, sf, "bronze", write))
     return bronze.groupBy("model_name").agg(F.count(F.lit(1)).alias("total"), F.count_if("correct").alias("correct"))
+
+
+def _styled_documents(spark: SparkSession, sf: str) -> str:
+    """Result documents without styles, as producers write them, beside the test sets that have them."""
+
+    def write(path: str) -> None:
+        rows = eval_rows(spark, sf).withColumns(
+            {
+                "config_hash": F.concat(F.lit("set-"), F.pmod("run_id", F.lit(7)).cast("string")),
+                "test_id": F.concat_ws("_", "test_id", "run_id", "l_linenumber", "l_partkey"),
+            }
+        )
+        style = F.create_map(F.lit("user_style"), F.col("user_style"), F.lit("system_style"), F.col("system_style"), F.lit("language"), F.lit("en"))
+        case = F.struct("test_id", "task_type", style.alias("prompt_metadata"))
+        once = rows.dropDuplicates(["config_hash", "test_id"])
+        sizes = once.groupBy(F.col("config_hash").alias("_c")).agg(F.ceil(F.count(F.lit(1)) / 5000).cast("int").alias("_shards"))
+        keyed = once.join(sizes, F.col("config_hash") == F.col("_c")).withColumn("_shard", F.pmod(F.xxhash64("test_id"), F.col("_shards")))
+        sets = keyed.groupBy("config_hash", "_shard").agg(F.collect_list(case).alias("test_cases"))
+        sets.select(F.struct("config_hash").alias("metadata"), "test_cases").write.option("compression", "gzip").json(f"{path}/sets")
+        bare = rows.withColumns({x: F.lit(None).cast("string") for x in ("user_style", "system_style", "task_params", "raw_response")})
+        run = ["run_id", "model_name", "quantization", "user_style", "system_style", "config_hash"]
+        keep = [*run, "test_id", "status", "duration", "task_params", "raw_response", "input_tokens", "output_tokens", "correct", "match_type"]
+        documents.write_documents(bare.select(*keep), f"{path}/results", run, per_document=2000)
+
+    return written(spark, sf, "styled", write)
+
+
+@query(
+    "styles_from_testset",
+    f"""WITH {EVAL_ROWS_SQL} SELECT user_style, system_style, 'en' AS language, count(*) AS total, {OK} AS successful, {GOOD} AS correct
+    FROM eval_rows GROUP BY ALL""",
+)
+def _(spark, sf):
+    folder = _styled_documents(spark, sf)
+    rows = documents.explode_results(documents.read_results(spark, f"{folder}/results", "*.json.gz", one_per_file=False))
+    _, cases = documents.read_testsets(spark, f"{folder}/sets", one_per_file=False)
+    styled = compare.with_styles(rows, cases).groupBy("user_style", "system_style", "language")
+    return styled.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "success").alias("successful"), F.count_if("correct").alias("correct"))

@@ -53,10 +53,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt out to all cores if their source is read by fewer tasks than there are cores.
+    """Rows dealt out to all cores where the session asks for it with ``spark.tallymill.spread``.
 
-    A gzip document, or a table that is one small file, is otherwise worked on
-    by a few tasks.  With at least as many read tasks as cores, nothing is shuffled.
+    For sources that few tasks can read, such as gzip documents or a table that is one row group.
+    Otherwise file-split settings decide, and nothing is shuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.select(df.columns[0]).rdd.getNumPartitions() < cores else df
+    spark = df.sparkSession
+    wanted = spark.conf.get("spark.tallymill.spread", "false") == "true"
+    return df.repartition(spark.sparkContext.defaultParallelism) if wanted else df

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import zlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,38 +34,115 @@ def read_results(
 
     A gzip file is one task, so parallelism is over files.  ``one_per_file`` is
     the layout of single (possibly indented) documents; turn it off for files
-    with a document per line.  Unreadable documents are left out; see
-    ``split_readable``.
+    with a document per line.  What cannot be read is in ``bad_documents``.
     """
-    raw = _documents(spark, paths, RESULT_DOCUMENT, glob, one_per_file)
+    return _readable(_documents(spark, paths, RESULT_DOCUMENT, glob, one_per_file), "model_info.model_name")
+
+
+def _readable(raw: DataFrame, field: str) -> DataFrame:
     # the second test is always true; it keeps a data column in the scan, which a scan of the corrupt column needs
-    readable = F.col(CORRUPT).isNull() & (F.coalesce("model_info.model_name", F.lit("")) != "\u0000")
-    return raw.filter(readable).drop(CORRUPT).select("*", F.col("_metadata.file_path").alias("file_path"))
+    kept = F.col(CORRUPT).isNull() & (F.coalesce(field, F.lit("")) != "\u0000")
+    return raw.filter(kept).drop(CORRUPT).select("*", F.col("_metadata.file_path").alias("file_path"))
 
 
-def split_readable(
-    spark: SparkSession, paths: str | Sequence[str], glob: str = RESULT_GLOB, one_per_file: bool = True
-) -> tuple[DataFrame, DataFrame]:
-    """Readable documents, and the files that hold none with their size.
+def damaged_files(spark: SparkSession, paths: str | Sequence[str], glob: str = RESULT_GLOB) -> DataFrame:
+    """Gzip files (file_path, cause) that end early or are no gzip: their readable part is read, the rest is lost.
 
-    Files are listed without their content; broken gzip and broken JSON both
-    end in the second table, and the job goes on.
+    A task unpacks one file at a time in small pieces and keeps nothing of it.
     """
-    good = read_results(spark, paths, glob, one_per_file)
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", glob)
         .load(paths if isinstance(paths, str) else list(paths))
-        .select(F.col("path").alias("file_path"), F.col("length").alias("size_bytes"))
+        .filter(F.col("path").endswith(".gz"))
+        .select("path", "content")
+    )
+
+    def cause(raw: bytes) -> str | None:
+        left = memoryview(raw)
+        while left:
+            unpack = zlib.decompressobj(wbits=31)
+            try:
+                unpack.decompress(left, 1 << 20)
+                while not unpack.eof and unpack.unconsumed_tail:
+                    unpack.decompress(unpack.unconsumed_tail, 1 << 20)
+            except zlib.error:
+                return "no gzip"
+            if not unpack.eof:
+                return "truncated gzip"
+            left = unpack.unused_data.lstrip(b"\0")  # a file may hold several members
+        return None
+
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(*batch.columns):
+                if found := cause(content.as_buffer().to_pybytes()):
+                    yield pa.RecordBatch.from_arrays([pa.array([path.as_py()]), pa.array([found])], ["file_path", "cause"])
+
+    return files.mapInArrow(checked, "file_path string, cause string")
+
+
+def bad_documents(
+    spark: SparkSession,
+    paths: str | Sequence[str],
+    glob: str = RESULT_GLOB,
+    one_per_file: bool = True,
+    schema: str = RESULT_DOCUMENT,
+    field: str = "model_info.model_name",
+) -> DataFrame:
+    """What ``read_results`` or ``read_testsets`` leaves out: file_path, document (its text) and cause.
+
+    Causes are ``broken document`` (one row each), ``truncated gzip`` and ``no gzip`` (a row per file, whose
+    readable documents are read all the same) and ``no document`` (files with neither a readable nor a broken
+    one).  Every document is in one of the two tables or lies in the lost part of a reported file.
+    """
+    raw = _documents(spark, paths, schema, glob, one_per_file)
+    marked = raw.select(F.col("_metadata.file_path").alias("file_path"), F.col(CORRUPT).alias("document"), F.coalesce(field, F.lit("")).alias("_field"))
+    broken = marked.filter(F.col("document").isNotNull() & (F.col("_field") != "\u0000"))
+    broken = broken.select("file_path", "document", F.lit("broken document").alias("cause"))
+    damaged = damaged_files(spark, paths, glob).select("file_path", F.lit(None).cast("string").alias("document"), "cause")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+    listed = files.load(paths if isinstance(paths, str) else list(paths)).select(F.col("path").alias("file_path"))
+    plain = F.regexp_replace("file_path", "^file:/+", "/").alias("_p")
+    seen = marked.select(plain).union(damaged.select(plain)).distinct()
+    silent = listed.withColumn("_p", plain).join(seen, "_p", "left_anti").select("file_path", F.lit(None).cast("string").alias("document"), F.lit("no document").alias("cause"))
+    return broken.unionByName(damaged).unionByName(silent)
+
+
+def split_readable(
+    spark: SparkSession, paths: str | Sequence[str], glob: str = RESULT_GLOB, one_per_file: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """Readable documents, and what could not be read with its cause; the job goes on."""
+    return read_results(spark, paths, glob, one_per_file), bad_documents(spark, paths, glob, one_per_file)
+
+
+def run_headers(documents: DataFrame) -> DataFrame:
+    """One row per document with what its header declares; runs without results are here too."""
+    s = "summary_statistics"
+    return documents.select(
+        F.col("metadata.result_id").alias("run_id"),
+        F.coalesce("model_info.model_name", F.lit("unknown")).alias("model_name"),
+        "model_info.provider",
+        "model_info.quantization",
+        F.coalesce("testset_metadata.testset_name", "testset_metadata.name").alias("testset_name"),
+        F.col("testset_metadata.config_hash").alias("config_hash"),
+        F.coalesce("metadata.created_at", "metadata.timestamp").alias("created_at"),
+        F.col("metadata.hostname").alias("hostname"),
+        F.col("execution_info.duration_seconds").alias("duration_seconds"),
+        F.col(f"{s}.accuracy").alias("declared_accuracy"),
+        F.col(f"{s}.average_cell_accuracy").alias("declared_cell_accuracy"),
+        F.col(f"{s}.total_input_tokens").alias("total_input_tokens"),
+        F.col(f"{s}.total_output_tokens").alias("total_output_tokens"),
+        F.coalesce(F.size("results"), F.lit(0)).alias("n_results"),
     )
-    plain = F.regexp_replace("file_path", "^file:/+", "/")
-    bad = files.withColumn("_p", plain).join(good.select(plain.alias("_p")).distinct(), "_p", "left_anti").drop("_p")
-    return good, bad
 
 
 def explode_results(documents: DataFrame) -> DataFrame:
-    """One row per result entry, run columns attached; both producers' field names are read."""
+    """One row per result entry, run columns attached; both producers' field names are read.
+
+    A run without results stays as one row whose status is null; counts are over rows with a status.
+    """
     run = documents.select(
         F.col("metadata.result_id").alias("run_id"),
         F.coalesce("model_info.model_name", F.lit("unknown")).alias("model_name"),
@@ -73,7 +152,8 @@ def explode_results(documents: DataFrame) -> DataFrame:
         F.col("testset_metadata.config_hash").alias("config_hash"),
         F.coalesce("test_config.user_prompt_style", "test_config.prompt_style").alias("user_style"),
         F.col("test_config.system_prompt_style").alias("system_style"),
-        F.explode("results").alias("r"),
+        F.coalesce("metadata.created_at", "metadata.timestamp").alias("created_at"),
+        F.explode_outer("results").alias("r"),
     )
     return run.select(
         "run_id",
@@ -84,6 +164,7 @@ def explode_results(documents: DataFrame) -> DataFrame:
         "config_hash",
         "user_style",
         "system_style",
+        "created_at",
         F.col("r.test_id").alias("test_id"),
         F.col("r.status").alias("status"),
         F.col("r.error").alias("error"),
@@ -119,10 +200,11 @@ def union_runs(*frames: DataFrame) -> DataFrame:
 def read_testsets(
     spark: SparkSession, paths: str | Sequence[str], glob: str = "*.json.gz", one_per_file: bool = True
 ) -> tuple[DataFrame, DataFrame]:
-    """Test-set headers (one row per document) and their cases (one row each)."""
-    readable = F.col(CORRUPT).isNull() & (F.coalesce("metadata.name", F.lit("")) != "\u0000")
-    raw = _documents(spark, paths, TESTSET_DOCUMENT, glob, one_per_file).filter(readable).drop(CORRUPT)
-    located = raw.select("*", F.col("_metadata.file_path").alias("file_path"))
+    """Test-set headers (one row per document) and their cases (one row each).
+
+    What cannot be read is in ``bad_documents`` with the test-set schema.
+    """
+    located = _readable(_documents(spark, paths, TESTSET_DOCUMENT, glob, one_per_file), "metadata.name")
     headers = located.select(
         "file_path", "format_version", "metadata", "generation_params", "sampling_params", "execution_params", "statistics"
     )
@@ -169,7 +251,7 @@ def write_documents(rows: DataFrame, path: str, run: Sequence[str], per_document
             F.struct(c("run_id").cast("string").alias("result_id")).alias("metadata"),
             F.struct(c("user_style").alias("user_prompt_style"), c("system_style").alias("system_prompt_style")).alias("test_config"),
             F.struct(c("model_name"), F.lit("local").alias("provider"), c("quantization")).alias("model_info"),
-            F.struct(F.lit("derived").alias("name")).alias("testset_metadata"),
+            F.struct(F.lit("derived").alias("name"), (c("config_hash") if "config_hash" in run else F.lit(None).cast("string")).alias("config_hash")).alias("testset_metadata"),
             F.struct(c("ok").alias("successful_tests"), c("failed").alias("failed_tests"), c("seconds").alias("duration_seconds")).alias("execution_info"),
             F.struct(
                 F.try_divide(c("right").cast("double"), c("ok").cast("double")).alias("accuracy"),

@@ -38,6 +38,11 @@ def write_failures_jsonl(rows: DataFrame, path: str) -> None:
     wrong_rows(rows).write.mode("overwrite").partitionBy("family").json(path)
 
 
-def write_bronze(rows: DataFrame, path: str) -> None:
-    """Flat response rows as Parquet by model: the table all later queries should read."""
-    rows.write.mode("append").partitionBy("model_name").parquet(path)
+def write_bronze(rows: DataFrame, path: str, created: str = "created_at") -> None:
+    """Flat response rows as Parquet by run date and model: the table all later queries should read.
+
+    Partitions that the rows belong to are replaced and others stay, so a job that is run again for the
+    same runs doubles nothing.  Rows of one date must therefore come together.
+    """
+    dated = rows.withColumn("run_date", F.try_to_date(F.substring(F.col(created), 1, 10)))
+    dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_date", "model_name").parquet(path)

@@ -102,7 +102,7 @@ def main() -> int:
     sf_dir = sys.argv[1]
     only = sys.argv[2:]
     spark = build_session(
-        "oracle", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__driver__memory="8g", spark__ui__showConsoleProgress="false"
+        "oracle", "local[8]", spark__checkpoint__dir="/tmp/tallymill-oracle", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__driver__memory="8g", spark__ui__showConsoleProgress="false"
     )
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
