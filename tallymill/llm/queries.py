@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm import bpe, decontaminate, licenses, matroska, neardup, pii, quality, secrets, toxicity, urls
+from tallymill.llm import bpe, decontaminate, licenses, matroska, neardup, oracles, pii, quality, secrets, toxicity, urls
 from tallymill.llm.registry import query, table
 from tallymill.llm.sampling import fold_of
 
@@ -25,12 +25,12 @@ def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-@query("op3_suffix_automaton")
+@query("op3_suffix_automaton", oracles.DECONTAMINATION)
 def op3_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@query("op5_minhash_bayes")
+@query("op5_minhash_bayes", oracles.NEAR_DUPLICATES)
 def op5_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(table(spark, sf_dir, "documents"), words_per_shingle=4, percent=80)
 
