@@ -207,8 +207,12 @@ def cell_accuracy(scored: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def taxonomy_rates(rows: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Conditional rates of the failure taxonomies, each over its own base."""
+def taxonomy() -> dict[str, Column]:
+    """Conditional rates of the failure taxonomies by name, each over its own base.
+
+    Each is an aggregate column; it reads ``match_type`` and ``correct`` and, where its name says so,
+    ``error``, ``is_impossible`` or ``is_decimal_trap``.
+    """
     mt = F.col("match_type")
     everything = F.lit(True)
     failed = ~F.col("correct")
@@ -233,9 +237,12 @@ def taxonomy_rates(rows: DataFrame, by: Sequence[str]) -> DataFrame:
         "reality_trap_rate": (mt == "reality_trap", everything),
         "decimal_trap_accuracy": (F.col("correct"), trap),
     }
-    return rows.groupBy(*by).agg(
-        *[rounded(share_where(num, den)).alias(name) for name, (num, den) in rates.items()]
-    )
+    return {name: rounded(share_where(num, den)) for name, (num, den) in rates.items()}
+
+
+def taxonomy_rates(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """All taxonomy rates per group."""
+    return rows.groupBy(*by).agg(*[rate.alias(name) for name, rate in taxonomy().items()])
 
 
 def position_bias(rows: DataFrame, by: Sequence[str]) -> DataFrame:

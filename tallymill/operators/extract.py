@@ -236,27 +236,37 @@ def extract(
 
 
 def extract_by_task(
-    responses: DataFrame, task_column: str, text: str, params: Mapping[str, Column] | None = None, output: str = "answer"
+    responses: DataFrame,
+    task_column: str,
+    text: str,
+    params: Mapping[str, Column] | None = None,
+    output: str = "answer",
+    tasks: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Responses of all tasks in one pass: each row runs only the rules of its own task."""
+    """Responses of all tasks in one pass: each row runs only the rules of its own task.
+
+    With ``tasks`` only the rules of those are built and compiled.
+    """
     p = Params(params or {})
+    steps = {t: e for t, e in EXTRACTIONS.items() if tasks is None or t in tasks}
     source = F.coalesce(F.col(text), F.lit(""))
     ready = responses.withColumn("_text", source)
-    for task, step in EXTRACTIONS.items():
+    for task, step in steps.items():
         ready = step.prepared(ready, F.col("_text"), f"_{task}_", F.col(task_column) == task)
     hits = ready.withColumns(
         {
             f"_hit_{task}": F.when(F.col(task_column) == task, step.find(F.col("_text"), p))
-            for task, step in EXTRACTIONS.items()
+            for task, step in steps.items()
         }
     )
     chosen = None
-    for task, step in EXTRACTIONS.items():
+    for task, step in steps.items():
         answer = step.read(F.col(f"_hit_{task}"), F.col("_text"), p)
         is_task = F.col(task_column) == task
         chosen = F.when(is_task, answer) if chosen is None else chosen.when(is_task, answer)
     unknown = answer_struct(strategy=F.lit("failed"), confidence=F.lit(0.0), error=F.lit("Unknown task"))
-    return hits.withColumn(output, chosen.otherwise(unknown)).select(*responses.columns, output)
+    answered = unknown if chosen is None else chosen.otherwise(unknown)
+    return hits.withColumn(output, answered).select(*responses.columns, output)
 
 
 def extraction_report(extracted: DataFrame, by: Sequence[str], answer: str = "answer") -> DataFrame:
