@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymill.operators.aggregate import ratio, rounded, totals_row
+from tallymill.operators.assemble import number_rows, seeded_draw, seeded_uniform
 from tallymill.operators.score import jaccard
 
 
@@ -85,16 +86,28 @@ def rescore_diff(rows: DataFrame, by: str = "task_type") -> DataFrame:
     )
 
 
-def mismatch_pairs(items: DataFrame, pool: DataFrame, item_group: str, pool_group: str) -> DataFrame:
-    """Items paired with every pool member of a different group.
+def mismatch_pairs(items: DataFrame, pool: DataFrame, item_group: str, pool_group: str, identity: str, member: str, partners: int = 3, seed: str = "42") -> DataFrame:
+    """Items paired with ``partners`` pool members of other groups, drawn by seed and item identity.
 
-    Each item lists the other groups (a scalar subquery over the distinct group
-    names) and then joins on the group name, so the pairs come out of a
-    partitioned equi-join.
+    Members are numbered group by group, each group in the order of its members' draws, so a group is a
+    range of numbers.  An item draws a place outside its own group's range and takes the next places too
+    (going round), which are different members.  The pairs come out of an equi-join on the number, which
+    is unique: no group name, however hot, decides where a pair is made.  With fewer other members than
+    ``partners`` an item gets them all; rows of ``items`` without a group may get any member.
     """
-    groups = pool.select(F.col(pool_group).alias("g")).distinct().agg(F.collect_set("g").alias("gs"))
-    wanted = items.withColumn("_g", F.explode(groups.scalar())).filter(F.col("_g") != F.col(item_group))
-    return wanted.join(pool, wanted["_g"] == pool[pool_group]).drop("_g")
+    draw = seeded_draw(seed, F.col(member))
+    members = number_rows(pool.withColumn("_draw", draw), [pool_group, "_draw", member], "_number").drop("_draw").withColumn("_number", F.col("_number") - 1)
+    ranges = members.groupBy(F.col(pool_group).alias("_g")).agg(F.min("_number").alias("_low"), F.count(F.lit(1)).alias("_size"))
+    total = pool.agg(F.count(F.lit(1))).scalar()
+    placed = items.join(ranges, items[item_group] == F.col("_g"), "left").withColumns(
+        {"_low": F.coalesce("_low", F.lit(0)), "_size": F.coalesce("_size", F.lit(0)), "_total": total}
+    )
+    others = F.col("_total") - F.col("_size")
+    first = F.floor(seeded_uniform(seed, F.col(identity)) * others)
+    turns = F.when(others > 0, F.sequence(F.lit(0), F.least(F.lit(partners), others) - 1))
+    drawn = placed.withColumn("_turn", F.explode(turns)).withColumn("_at", (first + F.col("_turn")) % others)
+    number = F.when(F.col("_at") < F.col("_low"), F.col("_at")).otherwise(F.col("_at") + F.col("_size"))
+    return drawn.withColumn("_n", number).join(members, F.col("_n") == F.col("_number")).drop("_g", "_low", "_size", "_total", "_turn", "_at", "_n", "_number")
 
 
 def empty_prompt_check(cases: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -83,15 +83,20 @@ def _(spark, sf):
 
 @query(
     "mismatch_pairs",
-    """SELECT c_custkey, n2.n_nationkey FROM customer JOIN nation n1 ON c_nationkey = n1.n_nationkey
-    JOIN nation n2 ON n2.n_regionkey <> n1.n_regionkey""",
+    """WITH m AS (SELECT n_nationkey, n_regionkey AS g, row_number() OVER (ORDER BY n_regionkey, md5('42|' || n_nationkey), n_nationkey) - 1 AS n FROM nation),
+    r AS (SELECT g, min(n) AS low, count(*) AS size FROM m GROUP BY g),
+    d AS (SELECT c_custkey, low, size, (SELECT count(*) FROM nation) - size AS others,
+      CAST('0x' || substr(md5('42|' || c_custkey), 1, 13) AS BIGINT) / 4503599627370496.0 AS u, unnest(range(0, 3)) AS t
+      FROM customer JOIN nation ON c_nationkey = nation.n_nationkey JOIN r ON r.g = n_regionkey),
+    p AS (SELECT c_custkey, low, size, (CAST(floor(u * others) AS BIGINT) + t) % others AS slot FROM d)
+    SELECT c_custkey, n_nationkey FROM p JOIN m ON m.n = CASE WHEN slot < low THEN slot ELSE slot + size END""",
 )
 def _(spark, sf):
     nations = table(spark, sf, "nation")
     items = compare.lookup_join(table(spark, sf, "customer"), nations, "c_nationkey", "n_nationkey")
     items = items.select("c_custkey", F.col("n_regionkey").alias("item_region"))
     pool = nations.select("n_nationkey", F.col("n_regionkey").alias("pool_region"))
-    return compare.mismatch_pairs(items, pool, "item_region", "pool_region").select("c_custkey", "n_nationkey")
+    return compare.mismatch_pairs(items, pool, "item_region", "pool_region", "c_custkey", "n_nationkey").select("c_custkey", "n_nationkey")
 
 
 @query(

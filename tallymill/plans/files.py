@@ -148,7 +148,6 @@ def _(spark, sf):
 
 def _testsets(spark: SparkSession, sf: str) -> str:
     def write(path: str) -> None:
-        shard = F.pmod("o_orderkey", F.lit(97))
         case = F.struct(
             F.concat(F.lit("multi_"), "o_orderkey").alias("test_id"),
             F.lower("o_orderstatus").alias("task_type"),
@@ -156,7 +155,11 @@ def _testsets(spark: SparkSession, sf: str) -> str:
             F.struct(F.lit("").alias("system"), F.col("o_orderpriority").alias("user")).alias("prompts"),
             F.to_json(F.struct("o_custkey")).alias("task_params"),
         )
-        docs = table(spark, sf, "orders").groupBy(F.col("o_orderstatus"), F.year("o_orderdate").alias("y"), shard.alias("s"))
+        # documents of some 2,000 cases each, however large the table
+        orders = table(spark, sf, "orders").withColumn("y", F.year("o_orderdate"))
+        sizes = orders.groupBy(F.col("o_orderstatus").alias("_s"), F.col("y").alias("_y")).agg(F.ceil(F.count(F.lit(1)) / 2000).cast("bigint").alias("shards"))
+        keyed = orders.join(sizes, (F.col("o_orderstatus") == F.col("_s")) & (F.col("y") == F.col("_y")))
+        docs = keyed.groupBy("o_orderstatus", "y", F.pmod(F.col("o_orderkey"), F.col("shards")).alias("s"))
         docs.agg(F.collect_list(case).alias("test_cases")).select(
             F.struct(F.concat_ws("-", "o_orderstatus", "y", "s").alias("config_hash"), F.col("o_orderstatus").alias("name")).alias("metadata"),
             "test_cases",
@@ -168,7 +171,8 @@ def _testsets(spark: SparkSession, sf: str) -> str:
 @query(
     "read_testsets",
     """SELECT 'multi_' || o_orderkey AS test_id, lower(o_orderstatus) AS task_type, o_orderpriority AS user_prompt,
-      o_orderstatus || '-' || year(o_orderdate) || '-' || (o_orderkey % 97) AS config_hash, CAST(o_custkey AS VARCHAR) AS customer FROM orders""",
+      o_orderstatus || '-' || year(o_orderdate) || '-' || (o_orderkey % CAST(ceil(count(*) OVER (PARTITION BY o_orderstatus, year(o_orderdate)) / 2000.0) AS BIGINT)) AS config_hash,
+      CAST(o_custkey AS VARCHAR) AS customer FROM orders""",
 )
 def _(spark, sf):
     _, cases = documents.read_testsets(spark, _testsets(spark, sf), one_per_file=False)
@@ -183,7 +187,8 @@ def _(spark, sf):
 
 @query(
     "read_testset_headers",
-    """SELECT o_orderstatus || '-' || year(o_orderdate) || '-' || (o_orderkey % 97) AS config_hash, o_orderstatus AS name FROM orders GROUP BY ALL""",
+    """SELECT DISTINCT o_orderstatus || '-' || year(o_orderdate) || '-' || (o_orderkey % CAST(ceil(count(*) OVER (PARTITION BY o_orderstatus, year(o_orderdate)) / 2000.0) AS BIGINT)) AS config_hash,
+      o_orderstatus AS name FROM orders""",
 )
 def _(spark, sf):
     headers, _ = documents.read_testsets(spark, _testsets(spark, sf), one_per_file=False)

@@ -408,7 +408,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     passages = table(spark, sf, "benchmark").withColumnRenamed("text", "passage")
-    pairs = spread(table(spark, sf, "documents")).withColumn("item_id", F.col("doc_id") % F.lit(passages.count()))
+    pairs = spread(table(spark, sf, "documents")).withColumn("item_id", F.col("doc_id") % passages.agg(F.count(F.lit(1))).scalar())
     found = score.evidence_ngram(F.col("text"), F.col("passage"))
     return pairs.join(passages, "item_id").select("doc_id", found.alias("evidence"))
 

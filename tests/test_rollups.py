@@ -71,19 +71,25 @@ def test_fill_to_count(spark, count):
     assert not out or max(r["count"] for r in out) - (min(r["count"] for r in out) if len(out) == 7 else 0) <= 1
 
 
-def test_fill_to_count_with_a_large_rest(spark, monkeypatch):
-    monkeypatch.setattr(assemble, "TOP_K_LIMIT", 2)
-    df = spark.range(7).select(F.col("id"))
-    small = {r["id"] for r in assemble.fill_to_count(df, 5, ["id"]).collect()}
-    monkeypatch.setattr(assemble, "TOP_K_LIMIT", 100)
-    assert small == {r["id"] for r in assemble.fill_to_count(df, 5, ["id"]).collect()} and len(small) == 5
-
-
-def test_mismatch_pairs_against_brute_force(spark):
-    items = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(9)], "i int, g string")
-    pool = spark.createDataFrame([(j, "bcd"[j % 3]) for j in range(7)], "j int, h string")
-    got = {(r["i"], r["j"]) for r in compare.mismatch_pairs(items, pool, "g", "h").collect()}
-    assert got == {(i, j) for i in range(9) for j in range(7) if "abc"[i % 3] != "bcd"[j % 3]}
+def test_fill_to_count_takes_whole_rounds(spark):
+    df = spark.createDataFrame([(i,) for i in range(23)], "id int")
+    for wanted in (0, 5, 23, 57):
+        rows = [(r["id"], r["round"]) for r in assemble.fill_to_count(df, wanted, ["id"]).collect()]
+        assert len(rows) == len(set(rows)) == wanted
+        assert all(sum(1 for _, k in rows if k == n) == 23 for n in range(wanted // 23))
+    assert assemble.fill_to_count(df.limit(0), 5, ["id"]).count() == 0
+
+
+def test_mismatch_pairs(spark):
+    items = spark.createDataFrame([(k, "abz"[k % 3]) for k in range(60)] + [(99, None)], "i int, g string")
+    pool = spark.createDataFrame([(k, "aaabc"[k % 5]) for k in range(20)], "j int, h string")
+    rows = compare.mismatch_pairs(items, pool, "g", "h", "i", "j", partners=4).collect()
+    again = compare.mismatch_pairs(items.repartition(3), pool.repartition(2), "g", "h", "i", "j", partners=4).collect()
+    assert sorted((r.i, r.j) for r in rows) == sorted((r.i, r.j) for r in again)
+    assert all(r.g != r.h for r in rows)
+    assert len({(r.i, r.j) for r in rows}) == len(rows) == 61 * 4
+    few = compare.mismatch_pairs(items.limit(1), pool.where("h = 'b'"), "g", "h", "i", "j", partners=9).collect()
+    assert len(few) == (0 if few and few[0].g == "b" else 4)
 
 
 def test_rescore_net_equals_change(rows):
