@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymill.functions.identity import model_key
+from tallymill.operators.assemble import number_rows
 
 SUCCESS = "success"
 
@@ -430,23 +431,31 @@ def model_means(summary: DataFrame, by: Sequence[str] = ("model_name",)) -> Data
     )
 
 
-def quartiles(summary: DataFrame, by: str, value: Column, approximate: bool = False) -> DataFrame:
-    """Five-number summary per group.
+def quartiles(summary: DataFrame, by: str, value: Column) -> DataFrame:
+    """Five-number summary per group, by linear interpolation between neighbours.
 
-    The exact form keeps one counter per distinct value; ``approximate`` bounds
-    that state for groups with very many distinct values.
+    Values are numbered in the order of group and value, range-partitioned, so a group of any size
+    lies over many tasks; a quartile is then the rows at one or two known places of the group's range.
+    Null values are left out; a group of nulls only has none.
     """
-    points = F.lit([0.0, 0.25, 0.5, 0.75, 1.0])
-    q = F.percentile_approx(value, [0.0, 0.25, 0.5, 0.75, 1.0], 10000) if approximate else F.percentile(value, points)
-    return (
-        summary.groupBy(by)
-        .agg(q.alias("q"))
-        .select(
-            by,
-            *[rounded(F.col("q")[i]).alias(n) for i, n in enumerate(("min", "q1", "median", "q3", "max"))],
-            rounded(F.col("q")[3] - F.col("q")[1]).alias("iqr"),
-        )
-    )
+    points = {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0}
+    rows = summary.select(F.col(by), value.alias("_v"))
+    placed = number_rows(rows.filter(F.col("_v").isNotNull()), [by, "_v"], "_n")
+    ranges = placed.groupBy(F.col(by).alias("_by")).agg(F.min("_n").alias("_low"), F.count(F.lit(1)).alias("_size"))
+    inside = placed.join(ranges, F.equal_null(by, "_by")).withColumn("_at", F.col("_n") - F.col("_low"))
+
+    def value_at(p: float, side) -> Column:
+        return F.max(F.when(F.col("_at") == side((F.col("_size") - 1) * p), F.col("_v")))
+
+    ends = [value_at(p, side).alias(f"{name}_{end}") for name, p in points.items() for end, side in (("low", F.floor), ("high", F.ceil))]
+    found = inside.groupBy(by).agg(F.max("_size").alias("_size"), *ends)
+
+    def between(name: str, p: float) -> Column:
+        place = (F.col("_size") - 1) * p
+        return F.col(f"{name}_low") + (place - F.floor(place)) * (F.col(f"{name}_high") - F.col(f"{name}_low"))
+
+    values = {name: between(name, p) for name, p in points.items()}
+    return found.select(by, *[rounded(v).alias(n) for n, v in values.items()], rounded(values["q3"] - values["q1"]).alias("iqr"))
 
 
 def totals_row(rows: DataFrame, by: str, aggregates: Sequence[Column], label: str = "TOTAL") -> DataFrame:

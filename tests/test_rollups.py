@@ -150,3 +150,14 @@ def test_scorer_book():
     with pytest.raises(ValueError):
         book.register(ScorerSpec("carwash", lambda a, e, p: a))
     book.register(ScorerSpec("carwash", lambda a, e, p: a), replace=True)
+
+
+def test_quartiles_of_groups_of_any_size(spark):
+    values = {"a": [3.0], "b": [1.0, 2.0], "c": [float(k * 7919 % 101) for k in range(101)], None: [5.0, 5.0, 9.0]}
+    rows = [(g, v) for g, vs in values.items() for v in vs] + [("d", None)]
+    got = {r.g: r for r in agg.quartiles(spark.createDataFrame(rows, "g string, v double"), "g", F.col("v")).collect()}
+    assert set(got) == set(values)
+    assert (got["a"].min, got["a"].median, got["a"].max, got["a"].iqr) == (3.0, 3.0, 3.0, 0.0)
+    assert (got["b"].q1, got["b"].median, got["b"].q3) == (1.25, 1.5, 1.75)
+    assert (got["c"].q1, got["c"].median, got["c"].q3, got["c"].max) == (25.0, 50.0, 75.0, 100.0)
+    assert (got[None].median, got[None].q3) == (5.0, 7.0)
