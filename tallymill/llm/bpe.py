@@ -29,7 +29,7 @@ NO_RANK = np.int32(2**31 - 1)
 #: Pieces of more bytes are merged one by one with a heap: a row of n tokens takes n rounds of n steps.
 LONGEST_ROW = 512
 #: Pieces remembered between slices of one task; the memory starts anew when it is full.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 
 
 def read_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
@@ -279,7 +279,7 @@ def encode(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc
         sha = lambda raw: hashlib.sha256(raw).hexdigest()
         for batch in batches:
             column = batch.column(0)
-            for part in slices(column, 1 << 21):
+            for part in slices(column, 1 << 20):
                 ids, bounds = codec.encode([x or "" for x in column.slice(part.first, part.last - part.first).to_pylist()])
                 if digests:
                     each = [ids[a:b] for a, b in zip(bounds, bounds[1:])]

@@ -163,7 +163,10 @@ def score(docs: DataFrame, machine: Machine, *, text: str = "text", keep: tuple[
                 at = fitted.value.place[term]
                 margin = fitted.value.margins(doc[at >= 0], at[at >= 0], size)
                 chance = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
-                yield pa.RecordBatch.from_arrays([*(c.slice(part.first, size) for c in batch.columns[1:]), pa.array(chance)], names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(part.first, size) for k in places), pa.array(chance)], names)
 
+    # a kept text column goes to the tasks once
+    columns = [text, *(c for c in keep if c != text)]
+    places = [columns.index(c) for c in keep]
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(F.col(text).alias("_text"), *(F.col(c) for c in keep)).mapInArrow(scored, f"{kinds}, score double")
+    return docs.select(*columns).mapInArrow(scored, f"{kinds}, score double")
