@@ -1,12 +1,14 @@
 """PII: fixed patterns for protected values, and terms that give such a value away; native columns only.
 
-Protected values are e-mail addresses, IP addresses, card and phone numbers.  A term (a word near one
-of them) discloses a value if seeing the term makes the value likely: over the corpus, the share of the
-documents with the term in which it stands near that value, and how many bits it adds over the value's
-own frequency.  Terms beyond both thresholds are generalised like the value itself.
-
-A value's context is a bounded stretch of text, so contexts grow with the mentions and not with pairs.
-Counts are partial aggregations over all documents; joins are on (value, term) or on the document.
+Protected values are e-mail addresses, IP addresses, card and phone numbers.  A term (a word outside
+every one of them) discloses a value if seeing the term makes the value likely: over the corpus, the
+share of the documents with the term in which that value stands, and how many bits it adds over the
+value's own frequency.  Terms beyond both thresholds are generalised like the value itself, at all
+their places in every document, whether the value stands there or not.
+
+A document is an id and a text; a repeated row counts once.  Pairs are made only of values that can
+still reach the thresholds: those of at least SUPPORT documents and not too many for BITS.  Counts are
+partial aggregations over all documents; joins are on the value, the term or the document.
 """
 
 from __future__ import annotations
@@ -28,9 +30,7 @@ GENERAL = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]
 
 LETTER = r"A-Za-z0-9\x{80}-\x{10FFFF}"
 TERM = rf"(?<![{LETTER}])[{LETTER}]{{4,}}+(?![{LETTER}])"
-#: Code points on either side of a value that are its context.
-REACH = 60
-#: A term needs so many documents with the value near it, such a share of its documents, and so many bits.
+#: A term needs so many documents with the value, such a share of its documents, and so many bits.
 SUPPORT, SHARE, BITS = 2, 0.5, 3.0
 
 
@@ -59,25 +59,27 @@ def base_spans(text: Column) -> Column:
     )
 
 
-def _contexts(text: Column, base: Column) -> Column:
-    """(value, term, start, end) of every term near a protected value that touches none itself."""
-    size = F.length(text)
-    values = F.concat(*(F.transform(base[k], lambda s, k=k: F.struct(s.start.alias("start"), s.end.alias("end"), F.concat(F.lit(f"{k}:"), F.lower(s.value)).alias("value"))) for k in KINDS[:4]))
+def _values(base: Column) -> Column:
+    """The distinct protected values, each with its kind."""
+    return F.array_distinct(F.concat(*(F.transform(base[k], lambda s, k=k: F.concat(F.lit(f"{k}:"), F.lower(s.value))) for k in KINDS[:4])))
+
+
+def _masked(text: Column, base: Column) -> Column:
+    """The text with a blank for each code point of the spans ``base`` (sorted by start): places stay, terms touch no value."""
+    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def side(start: Column, end: Column, value: Column) -> Column:
-        """Terms between two places; a blank stands in for what lies beyond the text's ends."""
-        left = F.when(start <= 0, F.lit(" ")).otherwise(F.lit(""))
-        right = F.when(end >= size, F.lit(" ")).otherwise(F.lit(""))
-        found = matches(F.concat(left, F.substring(text, start + 1, end - start), right), F.lit(TERM))
-        shift = start - F.length(left)
-        return F.transform(found, lambda t: F.struct(value.alias("value"), F.lower(t.value).alias("term"), (t.start + shift).alias("start"), (t.end + shift).alias("end")))
+    def step(a: Column, s: Column) -> Column:
+        first = F.greatest(a.at, s.start)
+        blank = F.repeat(F.lit(" "), F.greatest(s.end - first, F.lit(0)))
+        return F.struct(F.greatest(a.at, s.end).alias("at"), F.concat(a.out, F.array(F.substring(text, a.at + 1, first - a.at), blank)).alias("out"))
 
-    def near(v: Column) -> Column:
-        before, after = F.greatest(v.start - REACH, F.lit(0)), F.least(v.end + REACH, size)
-        return F.concat(side(before, v.start, v.value), side(v.end, after, v.value))
+    finish = lambda a: F.concat(F.array_join(a.out, ""), F.substring(text, a.at + 1, F.length(text)))
+    return F.when(F.size(base) > 0, F.aggregate(base, state, step, finish)).otherwise(text)
 
-    free = lambda t: ~F.exists(values, lambda v: (v.start < t.end) & (t.start < v.end))
-    return F.filter(F.flatten(F.transform(values, near)), free)
+
+def _terms(masked: Column) -> Column:
+    """The distinct terms of a masked text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(masked, F.lit(TERM), F.lit(0)), F.lower))
 
 
 def _rows(docs: DataFrame, text: str, keep: tuple[str, ...], key: str) -> DataFrame:
@@ -85,47 +87,72 @@ def _rows(docs: DataFrame, text: str, keep: tuple[str, ...], key: str) -> DataFr
     return docs.select(*(docs[c] for c in keep), docs[key].alias("_id"), body.alias("_text"))
 
 
-def disclosing(contexts: DataFrame, docs: DataFrame, n_docs: Column, *, text: str) -> DataFrame:
-    """(value, term) of terms beyond the thresholds; ``contexts`` are (_id, _hash, value, term)."""
-    near = contexts.select("_id", "_hash", "value", "term").distinct()
-    mentions = contexts.select("_id", "_hash", "value").distinct().groupBy("value").agg(F.count("*").alias("n_value"))
-    together = near.groupBy("value", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= SUPPORT)
-    terms = together.select("term").distinct()
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(docs[text]), F.lit(TERM), F.lit(0)))).alias("term"))
-    counted = words.groupBy("term").agg(F.count("*").alias("n_term")).join(terms, "term")
-    joined_ = together.join(counted, "term").join(mentions, "value")
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written to the shared folder and read again: used twice, computed once."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _of(left: DataFrame, right: DataFrame) -> Column:
+    """Same document: id, null or not, and content; ``right`` has them as _i and _h."""
+    return left["_hash"].eqNullSafe(right["_h"]) & left["_id"].eqNullSafe(right["_i"])
+
+
+def disclosing(found: DataFrame) -> DataFrame:
+    """Terms beyond the thresholds for some value.
+
+    ``found`` has _id, _hash, _values and _terms of every row.  All counts are of distinct documents.
+    """
+    rows, n_docs = found.agg(F.count("*"), F.count_distinct(F.struct("_id", "_hash"))).first()
+    terms = found.select("_id", "_hash", F.explode("_terms").alias("term"))
+    if n_docs < rows:
+        terms = terms.distinct()
+    n_terms = terms.groupBy("term").agg(F.count("*").alias("n_term"))
+    mentions = found.where(F.size("_values") > 0).select("_id", "_hash", F.explode("_values").alias("value")).distinct()
+    n_values = mentions.groupBy("value").agg(F.count("*").alias("n_value"))
+    # no term can disclose any other value: its share is at most 1, its documents are at most the value's
+    able = _kept(n_values.where((F.col("n_value") >= SUPPORT) & (F.log2(n_docs / F.col("n_value")) >= BITS)), "pii-values")
+    bearing = found.where(F.size("_values") > 0).select(F.col("_id").alias("_i"), F.col("_hash").alias("_h"), "_terms").dropDuplicates(["_i", "_h"])
+    wanted = mentions.join(able.select("value"), "value")
+    pairs = wanted.join(bearing, _of(wanted, bearing)).select("value", F.explode("_terms").alias("term"))
+    together = pairs.groupBy("value", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= SUPPORT)
+    counted = together.join(n_terms, "term").join(able, "value")
     share = F.col("n_both") / F.col("n_term")
-    return joined_.where((share >= SHARE) & (F.log2(share * n_docs / F.col("n_value")) >= BITS)).select("value", "term")
+    return counted.where((share >= SHARE) & (F.log2(share * n_docs / F.col("n_value")) >= BITS)).select("term").distinct()
 
 
 def scan(docs: DataFrame, *, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, _id, _hash, n_email, n_ip, n_card, n_phone, base and added spans as arrays of (start, end, kind).
 
-    Null and empty texts have none.  Every row is answered, repeated rows each; rows without an id get
-    no added spans, for they cannot be told apart.  Documents count with their copies.
+    Null and empty texts have none.  Every row is answered, repeated rows each; rows without an id are
+    told apart by their text.
     """
-    spark = docs.sparkSession
     rows = _rows(docs, text, keep, key).withColumn("_hash", F.xxhash64("_text")).withColumn("_base", base_spans(F.col("_text")))
     base = F.concat(*(named(k, F.col(f"_base.{k}")) for k in KINDS[:4]))
-    some = F.size(base) > 0
-    path = scratch_path(spark, "pii")
-    found = rows.select(
-        *keep,
-        "_id",
-        "_hash",
-        *(F.size(f"_base.{k}").cast("long").alias(f"n_{k}") for k in KINDS[:4]),
-        base.alias("base"),
-        F.when(some, _contexts(F.col("_text"), F.col("_base"))).alias("_near"),
+    masked = rows.withColumn("base", base).withColumn("_masked", _masked(F.col("_text"), F.array_sort("base")))
+    values = _values(F.col("_base"))
+    found = _kept(
+        masked.select(
+            *keep,
+            "_id",
+            "_hash",
+            *(F.size(f"_base.{k}").cast("long").alias(f"n_{k}") for k in KINDS[:4]),
+            "base",
+            values.alias("_values"),
+            _terms(F.col("_masked")).alias("_terms"),
+        ),
+        "pii",
     )
-    found.write.parquet(path)
-    found = spark.read.schema(found.schema).parquet(path)
-    contexts = found.where(F.col("_id").isNotNull()).select("_id", "_hash", F.explode("_near").alias("c")).select("_id", "_hash", "c.*")
-    n_docs = F.lit(float(max(found.count(), 1)))
-    reveal = disclosing(contexts, docs, n_docs, text=text)
-    spans = contexts.join(reveal, ["value", "term"]).select("_id", "_hash", F.struct("start", "end", F.lit("term").alias("kind")).alias("span"))
-    added = spans.groupBy("_id", "_hash").agg(F.array_sort(F.collect_set("span")).alias("added"))
+    reveal = _kept(disclosing(found), "pii-terms")
+    hits = found.select("_id", "_hash", "base", F.explode("_terms").alias("term")).join(reveal, "term")
+    holders = hits.groupBy(F.col("_id").alias("_i"), F.col("_hash").alias("_h")).agg(F.first("base").alias("base"), F.collect_set("term").alias("terms"))
+    whole = rows.select("_id", "_hash", "_text")
+    held = whole.join(holders, _of(whole, holders))
+    places = F.filter(matches(_masked(F.col("_text"), F.array_sort("base")), F.lit(TERM)), lambda t: F.array_contains(F.col("terms"), F.lower(t.value)))
+    added = held.select("_i", "_h", named("term", places).alias("added")).dropDuplicates(["_i", "_h"])
     none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
-    return found.drop("_near").join(added, ["_id", "_hash"], "left").withColumn("added", F.coalesce("added", none))
+    return found.join(added, _of(found, added), "left").drop("_values", "_terms", "_i", "_h").withColumn("added", F.coalesce("added", none))
 
 
 def digests(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -168,6 +168,19 @@ def test_terms_that_disclose(make_docs):
     assert clean[1] == "the [TERM] of 1 writes to [EMAIL] every day" and clean[64] is None
 
 
+def test_terms_that_disclose_stand_anywhere(make_docs):
+    filler = "some words that everybody writes every other day "
+    texts = [f"zorblax {k} " + filler * 3 + f"anna@firm.org is here and {filler * 2} the Zorblax" for k in range(4)]
+    texts += ["the zorblax without an address", "zorblaxes are another matter, +1 (499) 555-6503 too"] + [f"{k} here " + filler for k in range(60)]
+    rows = [(k % 70, text) for k, text in enumerate(texts)] * 3 + [(None, "zorblax")]  # repeated rows count once
+    docs = make_docs(rows)
+    got = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert got[0] == f"[TERM] 0 {filler * 3}[EMAIL] is here and {filler * 2} the [TERM]"
+    assert got[4] == "the [TERM] without an address" and got[None] == "[TERM]"
+    assert got[5] == "zorblaxes are another matter, [PHONE] too" and got[6] == texts[6]
+    assert pii.sanitise(docs).count() == len(rows)
+
+
 def test_empty_tables_and_clashing_columns(spark, make_docs):
     none = make_docs([])
     for scan in (pii.digests, secrets.digests, licenses.scan):
