@@ -95,6 +95,15 @@ def test_posterior_bounds():
     assert all(m >= 0.5 * n for m, n in zip(needed[1:], range(2 * neardup.BATCH, 281, neardup.BATCH)))
 
 
+def test_the_rule_loses_no_more_than_the_bands():
+    """At the wanted similarity the default rule drops about as many pairs as the bands miss (8e-5)."""
+    needed, random, lost = neardup.least_matches(80, neardup.MISS), np.random.default_rng(2), 0
+    for _ in range(8):
+        hits = (random.random((25_000, neardup.BANDS * neardup.ROWS), np.float32) < 0.8).reshape(25_000, -1, neardup.BATCH).sum(axis=2)
+        lost += int((np.cumsum(hits, axis=1) < np.array(needed)).any(axis=1).sum())
+    assert lost < 60  # of 200,000
+
+
 def labelled_docs(make_docs, spark, n=600):
     rng = random.Random(2)
     plain = [f"word{k}" for k in range(200)]
