@@ -39,7 +39,8 @@ class Family:
 #: Hand-written names; versions are written with blanks, as their digits are words of their own.
 FAMILIES = (
     Family("apache", "apache", r"apache(?: software)?", ("2 0", "1 1", "1 0")),
-    Family("mit", "mit", r"(?:mit|expat|mit x11)"),
+    Family("mit", "mit", r"(?:mit|mit x11)"),
+    Family("mit", "expat", r"expat"),
     Family("gpl", "gpl", r"(?:gnu )?gpl", ("3 0", "2 0", "1 0", "3", "2", "1")),
     Family("lgpl", "lgpl", r"(?:gnu )?lgpl", ("3 0", "2 1", "2 0", "3", "2")),
     Family("agpl", "agpl", r"(?:gnu )?agpl", ("3 0", "3", "1 0")),
@@ -66,7 +67,8 @@ FAMILIES = (
     Family("busl", "business", r"business source", ("1 1", "1 0")),
     Family("isc", "isc", r"isc"),
     Family("zlib", "zlib", r"zlib(?: libpng)?"),
-    Family("libpng", "libpng", r"(?:png reference library|libpng)", ("2",)),
+    Family("libpng", "libpng", r"libpng", ("2",)),
+    Family("libpng", "png", r"png reference library", ("2",)),
     Family("python", "python", r"python software foundation", ("2 0", "2")),
     Family("php", "php", r"php", ("3 01", "3 0")),
     Family("postgresql", "postgresql", r"postgresql"),
@@ -150,6 +152,12 @@ def rules() -> list[tuple[str, str, str, int]]:
     return out
 
 
+def gate(of: list[tuple[str, str, str, int]]) -> str:
+    """Pattern of a keyword (group 1) as a whole word, or with a version glued to it, as in GPLv3; longer keywords first."""
+    keywords = sorted({"cc", "general", "reserved"} | {r[0] for r in of}, key=lambda k: (-len(k), k))
+    return rf"(?i)(?<!{WORD})({'|'.join(keywords)})(?:v?[0-9]+)?(?!{WORD})"
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -211,8 +219,6 @@ def scan(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_i
     answered, repeated rows each; other columns of the input are dropped.
     """
     of = rules() if of is None else of
-    keywords = sorted({"cc", "general", "reserved"} | {r[0] for r in of})
-    pattern = rf"(?i)(?<!{WORD})(?:{'|'.join(keywords)})(?!{WORD})"
     rows = docs.select(*(docs[c] for c in keep), F.coalesce(docs[text], F.lit("")).alias("_text"))
     body = F.col("_text")
 
@@ -244,7 +250,7 @@ def scan(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_i
         )
 
     norm = F.concat(F.lit(" "), F.trim(F.translate(F.regexp_replace(body, NO_WORD + "+", " "), UPPER, LOWER)), F.lit(" "))
-    counted = rows.withColumn("n_words", F.regexp_count(body, F.lit(WORD + "+")).cast("long")).withColumn("_found", F.regexp_extract_all(body, F.lit(pattern), F.lit(0)))
+    counted = rows.withColumn("n_words", F.regexp_count(body, F.lit(WORD + "+")).cast("long")).withColumn("_found", F.regexp_extract_all(body, F.lit(gate(of)), F.lit(1)))
     scanned = counted.withColumn("_scan", F.when(F.size("_found") > 0, let(norm, read)))
     s = F.col("_scan")
     nothing = F.array().cast("array<string>")

@@ -119,6 +119,41 @@ def test_license_rules(make_docs):
     assert [got[k] for k in range(len(cases))] == list(cases.values())
 
 
+def spelled(tokens):
+    """Texts that a parsed pattern matches: every alternative, and each optional part with and without."""
+    out = [""]
+    for op, arg in tokens:
+        if str(op) == "BRANCH":
+            more = [x for branch in arg[1] for x in spelled(branch)]
+        elif str(op) == "SUBPATTERN":
+            more = spelled(arg[3])
+        elif str(op) == "MAX_REPEAT":
+            more = ([""] if arg[0] == 0 else []) + spelled(arg[2])
+        else:
+            more = [chr(arg if str(op) == "LITERAL" else arg[0][1] if str(arg[0][0]) == "LITERAL" else arg[0][1][0])]
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_every_rule_passes_its_gate():
+    opened = lambda text: {lower(k) for k in re.findall(licenses.gate(licenses.rules()), text)}
+    for _, keyword, pattern in licenses.SIGNATURES:
+        for text in spelled(re._parser.parse(pattern)):
+            assert keyword in opened(text), text
+    for family in licenses.FAMILIES:
+        for name in spelled(re._parser.parse(family.name)):
+            ends = [""] + [glue + v for v in family.versions for glue in (" ", "v", " v", "")]
+            for text in [name + end for end in ends if re.fullmatch(family.name, name)]:
+                assert family.keyword in opened(text) or text != name and text[len(name)] != " " and not name.endswith(family.keyword), text
+
+
+def test_glued_versions_and_other_names(make_docs):
+    cases = {"Licensed under GPLv3": "gpl-3", "licensed under GPLv2.": "gpl-2", "LGPLv3": "lgpl-3", "under AGPLv3": "agpl-3", "GPL3": "gpl-3", "the Expat License": "mit", "PNG Reference Library License": "libpng", "CC0": None}
+    got = {r.doc_id: r.labels for r in licenses.scan(make_docs(list(cases))).collect()}
+    for k, label in enumerate(cases.values()):
+        assert label is None or label in got[k].split(","), got[k]
+
+
 def test_contained_detections_are_suppressed(spark):
     rows = [(0, 10, 3, "out"), (0, 5, 3, "in-same"), (2, 6, 1, "better"), (3, 5, 2, "in-better"), (8, 12, 3, "across")]
     found = F.array_sort(F.array(*(F.struct(F.lit(a).alias("start"), F.lit(-b).alias("stop"), F.lit(r).alias("rank"), F.lit(x).alias("label")) for a, b, r, x in rows)))
