@@ -8,6 +8,8 @@ host pairs by partial aggregation before anything is shuffled, so a hub or a hot
 
 from __future__ import annotations
 
+from math import ceil, log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,12 +61,14 @@ def host_edges(pages: DataFrame, *, html: str = "html", site_weight: float = 0.1
     return links.union(both).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds: int = 10, cut_every: int = 5) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds: int | None = None, cut_every: int = 5, tolerance: float = 1e-10) -> DataFrame:
     """(host, kind, score) from seeds (host, kind, score); kind ``trust`` follows edges, ``distrust`` runs against them.
 
     A host hands on ``damping`` of its score in proportion to the weights of its edges and takes back
-    the rest from its seed.  Both kinds go in one join and one aggregation a round; the error left
-    after ``rounds`` is below damping ** rounds of a seed.
+    the rest from its seed.  Both kinds go in one join and one aggregation a round.  Without ``rounds`` it
+    goes on until the scores of all hosts together change by less than ``tolerance`` between two
+    checkpoints; what is left is less than that, and the rounds are bounded, as each leaves ``damping``
+    of the difference.
     """
     checkpoint_root(edges.sparkSession)
     turned = edges.select(F.col("dst").alias("host"), F.col("src").alias("to"), "weight", F.lit("distrust").alias("kind"))
@@ -73,12 +77,20 @@ def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, roun
     moves = moves.join(total, ["host", "kind"]).select("host", "kind", "to", (F.col("weight") / F.col("total")).alias("share")).checkpoint()
     seeds = seeds.select("host", "kind", "score").checkpoint()
     start = seeds.select("host", "kind", (F.col("score") * (1 - damping)).alias("score"))
-    scores = seeds
-    for k in range(1, rounds + 1):
+    scores = before = seeds
+    mass = seeds.agg(F.sum("score")).first()[0] or 0.0
+    most = rounds if rounds is not None else ceil(log(tolerance / max(2 * mass, tolerance)) / log(damping))
+    for k in range(1, most + 1):
         handed = moves.join(scores, ["host", "kind"]).select(F.col("to").alias("host"), "kind", (F.col("score") * F.col("share") * damping).alias("score"))
         scores = handed.union(start).groupBy("host", "kind").agg(F.sum("score").alias("score"))
         if k % cut_every == 0:
             scores = scores.checkpoint()
+            if rounds is None:
+                both = scores.union(before.select("host", "kind", -F.col("score")))
+                change = both.groupBy("host", "kind").agg(F.abs(F.sum("score")).alias("d")).agg(F.sum("d")).first()[0] or 0.0
+                if change < tolerance:
+                    break
+                before = scores
     return scores
 
 

@@ -231,6 +231,22 @@ def test_propagation_matches_a_matrix(spark):
     assert got == pytest.approx(want)
 
 
+def test_distrust_reaches_along_a_long_chain(spark):
+    hosts = ["spam.net"] + [f"h{k}.org" for k in range(14)]
+    rows = [("http://spam.net/es/", "")] + [(f"http://{h}/", f'<a href="http://{to}/">x</a>') for to, h in zip(hosts, hosts[1:])]
+    pages = spark.createDataFrame([(k, u, h) for k, (u, h) in enumerate(rows)], "page_id long, url string, html string")
+    assert {r.verdict for r in urls.judge(pages).collect()} == {"block"}
+
+
+def test_propagation_converges(spark):
+    edges = [("a", "b", 1.0), ("b", "a", 1.0), ("b", "c", 1.0), ("c", "b", 2.0)]
+    start = spark.createDataFrame([("a", "trust", 1.0)], "host string, kind string, score double")
+    got = {r.host: r.score for r in urls.propagate(spark.createDataFrame(edges, "src string, dst string, weight double"), start).collect()}
+    step = np.array([[0, 0.5, 0], [1, 0, 1], [0, 0.5, 0]])
+    want = np.linalg.solve(np.eye(3) - 0.85 * step, [0.15, 0, 0])
+    assert [got[h] for h in "abc"] == pytest.approx(list(want), abs=1e-9)
+
+
 def test_every_operator_has_its_query():
     assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 11)) and queries
 
