@@ -125,16 +125,16 @@ def _tokens(text: Column) -> Column:
 def thresholds(docs: DataFrame, *, text: str = "text", rate: float = 0.02) -> list[float]:
     """Per length class the least score at which the estimated false-discovery rate is at most ``rate``.
 
-    One decoy of every text that has ordinary words stands for ordinary text.  Above a score, the share
+    Every run of ordinary words in a text is a decoy and stands for ordinary text.  Above a score, the share
     of decoys times the number of tokens, over the tokens found there, is the rate.  A length class
     without decoys takes the next shorter one's threshold; without any the middle of the scores.
     All rows are counted; what reaches the driver is a count per class, kind and bin.
     """
     body = F.col("_text")
-    decoy = F.replace(F.regexp_extract(body, WORDS, 0), F.lit(" "), F.lit(""))
-    decoys = F.when(F.length(decoy) >= LENGTHS[0], F.array(F.struct(length_class(F.length(decoy)).alias("length"), battery(decoy).alias("score"), F.lit(True).alias("decoy"))))
+    runs = F.filter(F.transform(F.regexp_extract_all(body, F.lit(WORDS), F.lit(0)), lambda w: F.replace(w, F.lit(" "), F.lit(""))), lambda w: F.length(w) >= LENGTHS[0])
+    decoys = F.transform(runs, lambda w: F.struct(length_class(F.length(w)).alias("length"), battery(w).alias("score"), F.lit(True).alias("decoy")))
     tokens = F.transform(_tokens(body), lambda t: F.struct(t.length.alias("length"), t.score.alias("score"), F.lit(False).alias("decoy")))
-    both = F.concat(tokens, F.coalesce(decoys, F.array().cast("array<struct<length:int,score:double,decoy:boolean>>")))
+    both = F.concat(tokens, decoys)
     found = _rows(docs, text, ()).select(F.explode(both).alias("t")).select("t.*")
     binned = found.groupBy("length", "decoy", F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n")).collect()
     out: list[float] = []
@@ -157,7 +157,7 @@ def ordered(spans: Column) -> Column:
 def scan(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), rate: float = 0.02) -> DataFrame:
     """``keep``, _text, base (spans of the fixed patterns) and random (added spans), as arrays of (start, end, kind).
 
-    Null and empty texts have none.  A random token that overlaps a base span is not added.  Every row
+    Null and empty texts have none.  A random token that lies inside a base span is not added.  Every row
     is answered, repeated rows each; other columns are dropped.
     """
     least = thresholds(docs, text=text, rate=rate)
@@ -165,7 +165,7 @@ def scan(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_i
     rows = _rows(docs, text, keep).withColumn("_base", base_spans(body))
     base = ordered(F.concat(*(named(k, F.col(f"_base.{k}")) for k in KINDS[:3])))
     passes = lambda t: t.score >= F.element_at(F.array(*map(F.lit, least)), t.length + 1)
-    free = lambda t: ~F.exists(F.col("base"), lambda b: (b.start < t.end) & (t.start < b.end))
+    free = lambda t: ~F.exists(F.col("base"), lambda b: (b.start <= t.start) & (t.end <= b.end))
     return rows.withColumn("base", base).select(
         *keep,
         "_text",
