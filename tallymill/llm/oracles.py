@@ -30,3 +30,25 @@ sides AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach AS (SELECT doc_id, doc_id AS r FROM sets UNION SELECT doc_id, sides.b FROM reach JOIN sides ON reach.r = sides.a),
 least_of AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least_of USING (doc_id)"""
+
+
+_SMALL = "translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: crc32 with the table of its polynomial, over the UTF-8 bytes of ``<doc_id>:<run>`` (code points below U+0100 only).
+VARIANTS = f"""
+WITH RECURSIVE crc AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+  lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{{7,}}')) AS run FROM documents),
+small AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, {_SMALL} AS run, count(*) AS k FROM runs GROUP BY ALL),
+bytes AS (SELECT run, k, flatten(list_transform(string_split(id || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [195, unicode(c) - 64] END)) AS b FROM small),
+hashed AS (SELECT run, k, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, steps[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM bytes, crc),
+made AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, k FROM hashed),
+words AS MATERIALIZED (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM made GROUP BY word HAVING length(word) >= 7 AND sum(k) >= 2),
+cuts AS (SELECT word, n, p, substr(word, 1, p - 1) || substr(word, p + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM words)),
+near AS (SELECT DISTINCT a.word, b.word AS other, a.n, b.n AS other_n FROM cuts a JOIN cuts b ON a.p = b.p AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT w.word, c.word, w.n, c.n FROM words w JOIN cuts c ON c.rest = w.word UNION SELECT c.word, w.word, c.n, w.n FROM words w JOIN cuts c ON c.rest = w.word),
+best AS (SELECT word, n, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM near GROUP BY word, n),
+formed AS (SELECT word, other AS form, other_n AS form_n FROM best WHERE other_n >= 10 * n),
+reach AS (SELECT word, form AS root, 1 AS d FROM formed UNION ALL SELECT reach.word, formed.form, d + 1 FROM reach JOIN formed ON formed.word = reach.root),
+ends AS (SELECT word, arg_max(root, d) AS root FROM reach GROUP BY word)
+SELECT word, form, coalesce(root, word) AS root, words.n, coalesce(n_near, 0) AS n_near, form_n
+FROM words LEFT JOIN (SELECT word, n_near FROM best) USING (word) LEFT JOIN formed USING (word) LEFT JOIN ends USING (word)"""
