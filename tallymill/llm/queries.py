@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm import bpe, decontaminate, licenses, matroska, neardup, oracles, pii, quality, secrets, toxicity, urls, variants
+from tallymill.llm import alignment, bpe, decontaminate, licenses, matroska, neardup, oracles, pii, quality, secrets, toxicity, urls, variants
 from tallymill.llm.registry import query, table
 from tallymill.llm.sampling import fold_of
 
@@ -67,3 +67,8 @@ def op8_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_pivotal_grams", oracles.VARIANTS)
 def op12_pivotal_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.group(table(spark, sf_dir, "documents"))
+
+
+@query("op13_pair_bitmaps")
+def op13_pair_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.report(table(spark, sf_dir, "documents"))
