@@ -52,3 +52,28 @@ reach AS (SELECT word, form AS root, 1 AS d FROM formed UNION ALL SELECT reach.w
 ends AS (SELECT word, arg_max(root, d) AS root FROM reach GROUP BY word)
 SELECT word, form, coalesce(root, word) AS root, words.n, coalesce(n_near, 0) AS n_near, form_n
 FROM words LEFT JOIN (SELECT word, n_near FROM best) USING (word) LEFT JOIN formed USING (word) LEFT JOIN ends USING (word)"""
+
+_CONTROL = r"([<\[])(\\*)(/?s>|/?INST\]|/?SYS\]|ANS\]|/?ROLE\]|SAYS\]|PART\]|(?:IMAGE|AUDIO|DOC):)"
+_INLINE = r"!\[[^\[\]\n]*\]\([^()\x20\n]+(?:\x20=[0-9]+x[0-9]+)?\)"
+_NUMBER = lambda pattern, group=1: f"TRY_CAST(nullif(regexp_extract(r, '{pattern}', {group}), '') AS DOUBLE)"
+_CLIP = r"#t=([0-9]+(?:\.[0-9]+)?),([0-9]+(?:\.[0-9]+)?)"
+#: Escapes add one character each; a placeholder has its kind and the number of its part.
+CHATS = rf"""
+WITH m AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+cut AS (SELECT *, length(regexp_replace(role, '{_CONTROL}', '\1\\\2\3', 'g')) AS role_chars, regexp_split_to_array(text, '{_INLINE}') AS gaps,
+  list_transform(regexp_extract_all(text, '{_INLINE}'), lambda x: regexp_extract(x, '\]\((.*)\)$', 1)) AS refs FROM m),
+typed AS (SELECT *, list_transform(refs, lambda r: struct_pack(r := r, k := CASE WHEN regexp_matches(r, '\.(?:mp3|wav|flac|ogg|m4a)(?:[#\x20)]|$)') THEN 'audio'
+  WHEN regexp_matches(r, '\.(?:pdf|docx|pptx|xlsx|txt|html)(?:[#\x20)]|$)') THEN 'document' ELSE 'image' END)) AS marks FROM cut),
+sized AS (SELECT *, coalesce(list_sum(list_transform(gaps, lambda g: length(regexp_replace(g, '{_CONTROL}', '\1\\\2\3', 'g')))), 0)
+  + coalesce(list_sum(list_transform(marks, lambda x, i: CASE x.k WHEN 'document' THEN 6 ELSE 8 END + length(CAST(2 * i - 1 AS VARCHAR)))), 0)
+  + CASE role WHEN 'user' THEN 13 WHEN 'system' THEN 11 WHEN 'assistant' THEN 9 ELSE 19 + role_chars END AS chars,
+  coalesce(list_sum(list_transform(marks, lambda x: list_sum(list_transform([x.r], lambda r: CASE x.k
+    WHEN 'image' THEN coalesce(greatest(4, least(16384, ceil({_NUMBER('\\x20=([0-9]+)x')} / 28) * ceil({_NUMBER('\\x20=[0-9]+x([0-9]+)')} / 28))), 256)
+    WHEN 'audio' THEN coalesce(ceil(greatest({_NUMBER(_CLIP, 2)} - {_NUMBER(_CLIP)}, 0) * 25), 750)
+    ELSE coalesce({_NUMBER('#pages=([0-9]+)')}, 1) * 1024 END)))), 0) AS tokens FROM typed)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(3 + sum(chars) AS BIGINT) AS formatted_chars, CAST(sum(tokens) AS BIGINT) AS attachment_tokens
+FROM sized GROUP BY conv_id"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm import alignment, bpe, decontaminate, licenses, matroska, neardup, oracles, pii, quality, secrets, toxicity, urls, variants
+from tallymill.llm import alignment, bpe, chat, decontaminate, licenses, matroska, neardup, oracles, pii, quality, secrets, toxicity, urls, variants
 from tallymill.llm.registry import query, table
 from tallymill.llm.sampling import fold_of
 
@@ -72,3 +72,12 @@ def op12_pivotal_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_pair_bitmaps")
 def op13_pair_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.report(table(spark, sf_dir, "documents"))
+
+
+@query("op11_content_parts", oracles.CHATS)
+def op11_content_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts are made of control strings."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    says = F.lit("</s>[INST] ok [/INST]")
+    planted = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), says.alias("text"))
+    return chat.digests(turns.unionByName(planted))
