@@ -19,20 +19,22 @@ from tallymill.llm.spans import cut, empty, joined, let, matches, named
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{16,}"
-#: Tokens that the tests look at.
-TOKEN = r"[A-Za-z0-9+/_-]{20,}+={0,2}"
+#: Tokens that the tests look at. They begin where a run of their characters does, so shorter runs are tried once.
+TOKEN_START = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20}"
+TOKEN = TOKEN_START + r"[A-Za-z0-9+/_-]*+={0,2}"
 #: Ordinary words in a row; without their blanks they are a decoy.
 WORDS = r"(?<![A-Za-z])[a-z]{2,14}+(?: [a-z]{2,14}+){4,11}+"
 KINDS = ("assign", "access", "hex", "random")
 
 DIGITS = "0123456789"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+LETTERS = UPPER.lower()
 ALPHABETS = (
     (r"^[0-9]+$", DIGITS),
     (r"^[0-9a-f]+$", DIGITS + "abcdef"),
     (r"^[0-9A-F]+$", DIGITS + "ABCDEF"),
     (r"^[A-Z2-7]+$", UPPER + "234567"),
-    (r"", UPPER + UPPER.lower() + DIGITS + "+/"),
+    (r"", UPPER + LETTERS + DIGITS + "+/"),
 )
 #: Lengths from which tokens are judged together: thresholds are learned for each.
 LENGTHS = (20, 32, 48, 96)
@@ -51,46 +53,74 @@ def upper_tail(z: Column) -> Column:
     return F.when(z >= 0, tail(F.abs(z))).otherwise(1.0 - tail(F.abs(z)))
 
 
+def _occurrences(v: Column, c: Column) -> Column:
+    """How often a symbol stands in a text: what the text loses without it."""
+    return (F.length(v) - F.length(F.replace(v, c, F.lit("")))).cast("double")
+
+
+def _chi_tail(n: Column, squares: Column, k: float) -> Column:
+    """Chance of a chi-squared as large as that of n symbols of k with this sum of squared counts (Wilson and Hilferty)."""
+    chi = F.greatest(squares * k / n - n, F.lit(0.0))
+    spread = 2.0 / (9.0 * (k - 1.0))
+    return let((F.pow(chi / (k - 1.0), F.lit(1 / 3)) - (1.0 - spread)) / spread**0.5, upper_tail)
+
+
+def _uniform(v: Column, k: float) -> Column:
+    """Chi-squared of the symbol counts against equal shares."""
+    counts = F.transform(F.array_distinct(F.filter(F.split(v, ""), lambda c: c != "")), lambda c: _occurrences(v, c))
+    return _chi_tail(F.length(v).cast("double"), F.aggregate(counts, F.lit(0.0), lambda t, c: t + c * c), k)
+
+
+def _runs(v: Column, high: str) -> Column:
+    """Runs of symbols of the upper and the lower half of the alphabet, counted as matches of the two classes."""
+    halves = F.struct(
+        F.length(v).cast("double").alias("n"),
+        (F.length(v) - F.length(F.regexp_replace(v, f"[{high}]+", ""))).cast("double").alias("high"),
+        (F.regexp_count(v, F.lit(f"[{high}]+")) + F.regexp_count(v, F.lit(f"[^{high}]+"))).cast("double").alias("runs"),
+    )
+
+    def p(s: Column) -> Column:
+        both = 2.0 * s.high * (s.n - s.high)
+        wide = F.sqrt(F.greatest(both * (both - s.n) / (s.n * s.n * (s.n - 1.0)), F.lit(0.0)))
+        return F.when(wide > 0, 2.0 * tail(F.abs(s.runs - both / s.n - 1.0) / wide)).otherwise(0.0)
+
+    return let(halves, p)
+
+
+def _serial(v: Column, alphabet: str) -> Column:
+    """Correlation of each symbol's number with the next one's, the first following the last."""
+
+    def p(x: Column) -> Column:
+        n = F.size(x).cast("double")
+        add = lambda values: F.aggregate(values, F.lit(0.0), lambda a, y: a + y)
+        sums = F.struct(add(x).alias("sum"), add(F.transform(x, lambda y: y * y)).alias("squares"), add(F.transform(x, lambda y, i: y * F.get(x, F.pmod(i + 1, F.size(x))))).alias("around"))
+
+        def of(s: Column) -> Column:
+            variance = n * s.squares - s["sum"] * s["sum"]
+            serial = (n * s.around - s["sum"] * s["sum"]) / F.when(variance > 0, variance)
+            return F.coalesce(2.0 * tail(F.abs(serial + 1.0 / (n - 1.0)) * (n - 1.0) * F.sqrt(n - 2.0) / n), F.lit(0.0))
+
+        return let(sums, of)
+
+    return let(F.transform(F.filter(F.split(v, ""), lambda c: c != ""), lambda c: (F.position(c, F.lit(alphabet)) - 1).cast("double")), p)
+
+
 def battery(token: Column) -> Column:
-    """Score of a token in [0, 1]: small where uniform independent symbols are implausible."""
-
-    def tested(s: Column) -> Column:
-        k, n = F.length(s.alphabet).cast("double"), F.size(s.symbols).cast("double")
-        zero = F.lit(0.0)
-        start = F.struct(F.lit(-1).alias("before"), *(zero.alias(x) for x in ("high", "runs", "sum", "squares", "products")))
-
-        def step(a: Column, x: Column) -> Column:
-            above, was = x * 2 >= k, a.before * 2 >= k
-            return F.struct(
-                x.alias("before"),
-                (a.high + F.when(above, 1.0).otherwise(0.0)).alias("high"),
-                (a.runs + F.when((a.before < 0) | (above != was), 1.0).otherwise(0.0)).alias("runs"),
-                (a["sum"] + x).alias("sum"),
-                (a.squares + x * x).alias("squares"),
-                (a.products + F.when(a.before >= 0, a.before * x).otherwise(0)).alias("products"),
-            )
-
-        def combined(a: Column) -> Column:
-            counts = F.transform(F.array_distinct(s.symbols), lambda v: F.size(F.filter(s.symbols, lambda x: x == v)).cast("double"))
-            chi = F.aggregate(counts, zero, lambda t, c: t + c * c) * k / n - n
-            spread = 2.0 / (9.0 * (k - 1.0))
-            uniform = upper_tail((F.pow(F.greatest(chi, zero) / (k - 1.0), F.lit(1 / 3)) - (1.0 - spread)) / F.sqrt(spread))
-            both = 2.0 * a.high * (n - a.high)
-            wide = F.sqrt(F.greatest(both * (both - n) / (n * n * (n - 1.0)), zero))
-            runs = F.when(wide > 0, 2.0 * tail(F.abs(a.runs - both / n - 1.0) / wide)).otherwise(0.0)
-            around = a.products + F.get(s.symbols, F.lit(0)) * F.element_at(s.symbols, -1)
-            variance = n * a.squares - a["sum"] * a["sum"]
-            serial = (n * around - a["sum"] * a["sum"]) / F.when(variance > 0, variance)
-            correlated = 2.0 * tail(F.abs(serial + 1.0 / (n - 1.0)) * (n - 1.0) * F.sqrt(n - 2.0) / n)
-            return F.least(F.lit(1.0), 3.0 * F.least(uniform, runs, F.coalesce(correlated, zero)))
-
-        return let(F.aggregate(s.symbols, start, step), combined)
-
-    def read(v: Column) -> Column:
-        alphabet = F.coalesce(*(F.when(F.rlike(v, F.lit(p)), F.lit(a)) for p, a in ALPHABETS))
-        return let(alphabet, lambda a: F.struct(a.alias("alphabet"), F.transform(F.filter(F.split(v, ""), lambda c: c != ""), lambda c: F.position(c, a) - 1).alias("symbols")))
-
-    return let(let(F.translate(token, "-_=", "+/"), read), tested)
+    """Score of a token in [0, 1]: small where uniform independent symbols are implausible.
+
+    The score is three times the least of three p-values.  Tests are made in turn: once one gives less than
+    the lowest threshold there can be (one bin), the token can no longer pass, and what stands is its score.
+    """
+
+    def tested(v: Column, alphabet: str) -> Column:
+        high = alphabet[(len(alphabet) + 1) // 2 :]
+        below = lambda p: 3.0 * p < 1.0 / BINS
+        rest = lambda u: let(
+            F.least(u, _runs(v, high)), lambda r: F.when(below(r), 3.0 * r).otherwise(F.least(F.lit(1.0), 3.0 * F.least(r, _serial(v, alphabet))))
+        )
+        return let(_uniform(v, float(len(alphabet))), lambda u: F.when(below(u), 3.0 * u).otherwise(rest(u)))
+
+    return let(F.translate(token, "-_=", "+/"), lambda v: F.coalesce(*(F.when(F.rlike(v, F.lit(p)), tested(v, a)) for p, a in ALPHABETS)))
 
 
 def length_class(n: Column) -> Column:
@@ -119,7 +149,7 @@ def _tokens(text: Column) -> Column:
         matches(text, F.lit(TOKEN)),
         lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), length_class(F.length(s.value)).alias("length"), battery(s.value).alias("score")),
     )
-    return F.when(F.rlike(text, F.lit("[A-Za-z0-9+/_-]{20}")), scored).otherwise(F.array().cast("array<struct<start:int,end:int,length:int,score:double>>"))
+    return F.when(F.rlike(text, F.lit(TOKEN_START)), scored).otherwise(F.array().cast("array<struct<start:int,end:int,length:int,score:double>>"))
 
 
 def thresholds(docs: DataFrame, *, text: str = "text", rate: float = 0.02) -> list[float]:
@@ -131,11 +161,16 @@ def thresholds(docs: DataFrame, *, text: str = "text", rate: float = 0.02) -> li
     All rows are counted; what reaches the driver is a count per class, kind and bin.
     """
     body = F.col("_text")
-    runs = F.filter(F.transform(F.regexp_extract_all(body, F.lit(WORDS), F.lit(0)), lambda w: F.replace(w, F.lit(" "), F.lit(""))), lambda w: F.length(w) >= LENGTHS[0])
-    decoys = F.transform(runs, lambda w: F.struct(length_class(F.length(w)).alias("length"), battery(w).alias("score"), F.lit(True).alias("decoy")))
-    tokens = F.transform(_tokens(body), lambda t: F.struct(t.length.alias("length"), t.score.alias("score"), F.lit(False).alias("decoy")))
-    both = F.concat(tokens, decoys)
-    found = _rows(docs, text, ()).select(F.explode(both).alias("t")).select("t.*")
+    marked = lambda values, decoy: F.transform(values, lambda v: F.struct(v.alias("v"), F.lit(decoy).alias("decoy")))
+    runs = F.transform(F.regexp_extract_all(body, F.lit(WORDS), F.lit(0)), lambda w: F.replace(w, F.lit(" "), F.lit("")))
+    both = F.concat(marked(F.regexp_extract_all(body, F.lit(TOKEN), F.lit(0)), False), marked(runs, True))
+    rows = _rows(docs, text, ()).select(F.explode(both).alias("t")).select("t.v", "t.decoy", F.length("t.v").alias("n")).where(F.col("n") >= LENGTHS[0])
+    # A decoy has the letters a to z only, so its symbols are counted one by one in compiled code; hardly any gets beyond the first test.
+    letters = sum((F.pow(_occurrences(F.col("v"), F.lit(c)), F.lit(2.0)) for c in LETTERS), F.lit(0.0))
+    counted = rows.withColumn("squares", F.when(F.col("decoy") & F.rlike("v", F.lit("[g-z]")), letters))
+    first = counted.withColumn("first", 3.0 * _chi_tail(F.col("n").cast("double"), F.col("squares"), float(len(ALPHABETS[-1][1]))))
+    score = F.when(F.col("first") < 1.0 / BINS, F.col("first")).otherwise(battery(F.col("v")))
+    found = first.select(length_class(F.col("n")).alias("length"), "decoy", score.alias("score"))
     binned = found.groupBy("length", "decoy", F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n")).collect()
     out: list[float] = []
     for length in range(len(LENGTHS)):
