@@ -13,7 +13,7 @@ from math import ceil, log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymill.session import checkpoint_root
+from tallymill.session import remove, scratch_path
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -25,6 +25,9 @@ RULES = (
     ("net/es/", "block"),
     ("net/fr/", "block"),
 )
+SCORES = "host string, kind string, score double"
+#: Rounds after which the change is measured.
+CHECK_EVERY = 10
 LINK = r"""(?i)\bhref\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""
 
 
@@ -61,36 +64,57 @@ def host_edges(pages: DataFrame, *, html: str = "html", site_weight: float = 0.1
     return links.union(both).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds: int | None = None, cut_every: int = 5, tolerance: float = 1e-10) -> DataFrame:
+def _bucketed(df: DataFrame, keys: list[str], rows_a_bucket: int) -> tuple[DataFrame, str, str]:
+    """The table written once, dealt and sorted by ``keys`` so that joins on them need not shuffle it; with its name and path."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "moves")
+    df.write.parquet(f"{path}/rows")
+    rows = spark.read.parquet(f"{path}/rows")
+    n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + rows.count() // rows_a_bucket)
+    name = path.rsplit("/", 1)[-1].replace("-", "_")
+    dealt = rows.repartition(n, *keys) if n > 1 else rows.coalesce(1)
+    dealt.write.bucketBy(n, *keys).sortBy(*keys).option("path", f"{path}/buckets").saveAsTable(name)
+    return spark.table(name), name, path
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-10, rows_a_bucket: int = 1_000_000) -> DataFrame:
     """(host, kind, score) from seeds (host, kind, score); kind ``trust`` follows edges, ``distrust`` runs against them.
 
     A host hands on ``damping`` of its score in proportion to the weights of its edges and takes back
-    the rest from its seed.  Both kinds go in one join and one aggregation a round.  Without ``rounds`` it
-    goes on until the scores of all hosts together change by less than ``tolerance`` between two
-    checkpoints; what is left is less than that, and the rounds are bounded, as each leaves ``damping``
-    of the difference.
+    the rest from its seed.  Both kinds go in one join and one aggregation a round, which reads the table of
+    the round before and writes its own, so no plan grows; edges lie bucketed by where they start, so only
+    scores and what is handed on are shuffled.  Without ``rounds`` it goes on until the scores of all hosts
+    together change by less than ``tolerance`` in a round; each round leaves ``damping`` of the change, so the
+    number of rounds is bounded.  Without seeds the result is empty; hosts without edges keep what their seed gives.
     """
-    checkpoint_root(edges.sparkSession)
+    spark = edges.sparkSession
     turned = edges.select(F.col("dst").alias("host"), F.col("src").alias("to"), "weight", F.lit("distrust").alias("kind"))
     moves = edges.select(F.col("src").alias("host"), F.col("dst").alias("to"), "weight", F.lit("trust").alias("kind")).union(turned)
     total = moves.groupBy("host", "kind").agg(F.sum("weight").alias("total"))
-    moves = moves.join(total, ["host", "kind"]).select("host", "kind", "to", (F.col("weight") / F.col("total")).alias("share")).checkpoint()
-    seeds = seeds.select("host", "kind", "score").checkpoint()
-    start = seeds.select("host", "kind", (F.col("score") * (1 - damping)).alias("score"))
-    scores = before = seeds
-    mass = seeds.agg(F.sum("score")).first()[0] or 0.0
-    most = rounds if rounds is not None else ceil(log(tolerance / max(2 * mass, tolerance)) / log(damping))
+    shares = moves.join(total, ["host", "kind"]).select("host", "kind", "to", (F.col("weight") / F.col("total")).alias("share"))
+    moves, name, path = _bucketed(shares, ["host", "kind"], rows_a_bucket)
+
+    def written(df: DataFrame, k: int) -> DataFrame:
+        df.write.parquet(f"{path}/round-{k}")
+        return spark.read.schema(SCORES).parquet(f"{path}/round-{k}")
+
+    start = scores = written(seeds.select(F.col("host").cast("string"), F.col("kind").cast("string"), F.col("score").cast("double")), 0)
+    mass = start.agg(F.sum("score")).first()[0] or 0.0
+    most = rounds if rounds is not None else max(0, ceil(log(tolerance / max(2 * mass, tolerance)) / log(damping)))
+    change = 2 * mass
     for k in range(1, most + 1):
         handed = moves.join(scores, ["host", "kind"]).select(F.col("to").alias("host"), "kind", (F.col("score") * F.col("share") * damping).alias("score"))
-        scores = handed.union(start).groupBy("host", "kind").agg(F.sum("score").alias("score"))
-        if k % cut_every == 0:
-            scores = scores.checkpoint()
-            if rounds is None:
-                both = scores.union(before.select("host", "kind", -F.col("score")))
-                change = both.groupBy("host", "kind").agg(F.abs(F.sum("score")).alias("d")).agg(F.sum("d")).first()[0] or 0.0
-                if change < tolerance:
-                    break
-                before = scores
+        before, scores = scores, written(handed.union(start.select("host", "kind", (F.col("score") * (1 - damping)).alias("score"))).groupBy("host", "kind").agg(F.sum("score").alias("score")), k)
+        if rounds is None and (k % CHECK_EVERY == 0 or k == most):
+            both = scores.union(before.select("host", "kind", -F.col("score")))
+            change = both.groupBy("host", "kind").agg(F.abs(F.sum("score")).alias("d")).agg(F.sum("d")).first()[0] or 0.0
+        if k > 1:
+            remove(spark, f"{path}/round-{k - 1}")
+        if rounds is None and change < tolerance:
+            break
+    spark.sql(f"DROP TABLE {name}")
+    remove(spark, f"{path}/rows")
+    remove(spark, f"{path}/buckets")
     return scores
 
 

@@ -223,7 +223,7 @@ def test_propagation_matches_a_matrix(spark):
     seeds = {"a": 1.0, "c": 0.5}
     df = spark.createDataFrame(edges, "src string, dst string, weight double")
     start = spark.createDataFrame([(h, "trust", s) for h, s in seeds.items()], "host string, kind string, score double")
-    got = {r.host: r.score for r in urls.propagate(df, start, rounds=7, cut_every=3).collect()}
+    got = {r.host: r.score for r in urls.propagate(df, start, rounds=7).collect()}
     names, out = "abc", {"a": 4.0, "b": 1.0, "c": 2.0}
     want = dict(seeds)
     for _ in range(7):
