@@ -64,8 +64,8 @@ def host_edges(pages: DataFrame, *, html: str = "html", site_weight: float = 0.1
     return links.union(both).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def _bucketed(df: DataFrame, keys: list[str], rows_a_bucket: int) -> tuple[DataFrame, str, str]:
-    """The table written once, dealt and sorted by ``keys`` so that joins on them need not shuffle it; with its name and path."""
+def _bucketed(df: DataFrame, keys: list[str], rows_a_bucket: int) -> tuple[DataFrame, int, str, str]:
+    """The table written once, dealt and sorted by ``keys`` so that joins on them need not shuffle it; with its number of buckets, name and path."""
     spark = df.sparkSession
     path = scratch_path(spark, "moves")
     df.write.parquet(f"{path}/rows")
@@ -74,7 +74,7 @@ def _bucketed(df: DataFrame, keys: list[str], rows_a_bucket: int) -> tuple[DataF
     name = path.rsplit("/", 1)[-1].replace("-", "_")
     dealt = rows.repartition(n, *keys) if n > 1 else rows.coalesce(1)
     dealt.write.bucketBy(n, *keys).sortBy(*keys).option("path", f"{path}/buckets").saveAsTable(name)
-    return spark.table(name), name, path
+    return spark.table(name), n, name, path
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-10, rows_a_bucket: int = 1_000_000) -> DataFrame:
@@ -83,7 +83,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, roun
     A host hands on ``damping`` of its score in proportion to the weights of its edges and takes back
     the rest from its seed.  Both kinds go in one join and one aggregation a round, which reads the table of
     the round before and writes its own, so no plan grows; edges lie bucketed by where they start, so only
-    scores and what is handed on are shuffled.  Without ``rounds`` it goes on until the scores of all hosts
+    scores and what is handed on are shuffled, and a round has as many tasks as the edges need.  Without ``rounds`` it goes on until the scores of all hosts
     together change by less than ``tolerance`` in a round; each round leaves ``damping`` of the change, so the
     number of rounds is bounded.  Without seeds the result is empty; hosts without edges keep what their seed gives.
     """
@@ -92,10 +92,10 @@ def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, roun
     moves = edges.select(F.col("src").alias("host"), F.col("dst").alias("to"), "weight", F.lit("trust").alias("kind")).union(turned)
     total = moves.groupBy("host", "kind").agg(F.sum("weight").alias("total"))
     shares = moves.join(total, ["host", "kind"]).select("host", "kind", "to", (F.col("weight") / F.col("total")).alias("share"))
-    moves, name, path = _bucketed(shares, ["host", "kind"], rows_a_bucket)
+    moves, parts, name, path = _bucketed(shares, ["host", "kind"], rows_a_bucket)
 
     def written(df: DataFrame, k: int) -> DataFrame:
-        df.write.parquet(f"{path}/round-{k}")
+        df.coalesce(parts).write.parquet(f"{path}/round-{k}")
         return spark.read.schema(SCORES).parquet(f"{path}/round-{k}")
 
     start = scores = written(seeds.select(F.col("host").cast("string"), F.col("kind").cast("string"), F.col("score").cast("double")), 0)
