@@ -12,12 +12,14 @@ postings return each document's scores.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +37,7 @@ DENSE = BLOCK_DOCS // 16
 #: Bits of a B id in a key of pair and document.
 B_BITS = 24
 SLICE = 1 << 18
+NONE = np.zeros(0, np.int64)
 
 
 @dataclass
@@ -55,10 +58,10 @@ class Vocabulary:
         self.begin = np.cumsum(self.length) - self.length
         self.data = np.frombuffer(b"".join(pieces), np.uint8)
 
-    def read(self, lists: list[list[int]]) -> Tokens:
+    def read(self, lists: list[np.ndarray]) -> Tokens:
         bounds = np.zeros(len(lists) + 1, np.int64)
         np.cumsum([len(x) for x in lists], out=bounds[1:])
-        ids = np.fromiter((k for x in lists for k in x), np.int64, int(bounds[-1]))
+        ids = np.concatenate([NONE, *lists]).astype(np.int64)
         length = self.length[ids]
         ends = np.cumsum(length)
         at = np.arange(int(length.sum())) + np.repeat(self.begin[ids] - (ends - length), length)
@@ -73,7 +76,11 @@ def _byte_letters() -> dict[str, int]:
 
 
 class Pair:
-    """Both tokenizers; A encodes space and text, B the text, to which it adds a space itself."""
+    """Both tokenizers; A encodes space and text, B the text, to which it adds a space itself.
+
+    Where A's merges stand in the order of the ids they make, merging by least rank gives the same ids as
+    merging by the list, and the faster library does it from the same file; else the file's own library.
+    """
 
     def __init__(self, byte_level: str, pieces: str):
         import sentencepiece
@@ -89,29 +96,36 @@ class Pair:
         piece = lambda k: bytes([int(self.b.id_to_piece(k)[3:-1], 16)]) if self.b.is_byte(k) else self.b.id_to_piece(k).replace("▁", " ").encode()
         self.bytes_b = Vocabulary([piece(k) for k in range(self.b.get_piece_size())])
 
+        self.ranked = None
+        with open(byte_level) as file:
+            model = json.load(file)["model"]
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        if all(model["vocab"].get(x + y) == 256 + k for k, (x, y) in enumerate(merges)) and len(model["vocab"]) - len(merges) in (256, 257):
+            ranks = {bytes(letters[c] for c in x): k for x, k in model["vocab"].items() if k < 256 + len(merges)}
+            self.ranked = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode_a(self, texts: list[str]) -> list[np.ndarray]:
+        if self.ranked is not None:
+            return [self.ranked.encode_to_numpy(" " + t) if t else NONE for t in texts]
+        made = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+        return [np.array(x.ids if t else [], np.int64) for t, x in zip(texts, made)]
+
     def encode(self, texts: list[str]) -> tuple[Tokens, Tokens]:
         """Tokens of both; a text whose bytes do not come out of both has none."""
-        a = [x.ids if t else [] for t, x in zip(texts, self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False))]
-        b = self.b.encode(texts, num_threads=1)
-        for _ in range(2):
-            made = self.bytes_a.read(a), self.bytes_b.read(b)
-            wrong = [k for k, t in enumerate(texts) if (a[k] or b[k]) and not self._whole(t, k, made)]
-            if not wrong:
-                break
-            for k in wrong:
-                a[k], b[k] = [], []
-        return made
+        lists = [self.encode_a(texts), [np.array(x if t else [], np.int64) for t, x in zip(texts, self.b.encode(texts, num_threads=1))]]
+        want = [b" " + t.encode() if t else b"" for t in texts]
+        made = [v.read(x) for v, x in zip((self.bytes_a, self.bytes_b), lists)]
+        if wrong := {k for side in made for k in self._wrong(side, want)}:
+            made = [v.read([NONE if k in wrong else y for k, y in enumerate(x)]) for v, x in zip((self.bytes_a, self.bytes_b), lists)]
+        return made[0], made[1]
 
     @staticmethod
-    def _whole(text: str, k: int, made: tuple[Tokens, Tokens]) -> bool:
-        """Whether both tokenizers' bytes of text k are space and text."""
-        want = b" " + text.encode()
-        for side in made:
-            first, last = side.bounds[k], side.bounds[k + 1]
-            begin, end = (side.ends[first - 1] if first else 0), (side.ends[last - 1] if last else 0)
-            if side.data[begin:end].tobytes() != want:
-                return False
-        return True
+    def _wrong(side: Tokens, want: list[bytes]) -> list[int]:
+        """Texts whose tokens' bytes are not those wanted."""
+        data, ends = side.data.tobytes(), np.concatenate([[0], side.ends])[side.bounds]
+        if data == b"".join(want) and np.array_equal(np.diff(ends), [len(w) for w in want]):
+            return []
+        return [k for k, w in enumerate(want) if data[ends[k] : ends[k + 1]] != w]
 
 
 _pairs: dict[tuple[str, str], Pair] = {}
@@ -142,13 +156,16 @@ def link(a: Tokens, b: Tokens) -> Links:
     Both tokenizers cut the same bytes, so between two neighbouring cuts of either lies one token of
     each: the pieces between all cuts are the links, and cuts of both end the groups.
     """
-    cuts = np.union1d(a.ends, b.ends)
-    shared = np.intersect1d(a.ends, b.ends, assume_unique=False)
-    of_a, of_b = np.searchsorted(a.ends, cuts), np.searchsorted(b.ends, cuts)
+    total = int(a.ends[-1]) if len(a.ends) else 0
+    cut_a, cut_b = np.zeros(total + 1, bool), np.zeros(total + 1, bool)
+    cut_a[a.ends], cut_b[b.ends] = True, True
+    cuts, shared = np.flatnonzero(cut_a | cut_b), np.flatnonzero(cut_a & cut_b)
+    before = lambda marks, at: np.cumsum(marks, dtype=np.int64)[at] - marks[at]
+    of_a, of_b = before(cut_a, cuts), before(cut_b, cuts)
     text = np.searchsorted(a.bounds, of_a, "right") - 1
-    of_group = lambda side: np.searchsorted(shared, side.ends)
-    groups = np.bincount(np.searchsorted(a.bounds, np.searchsorted(a.ends, shared), "right") - 1, minlength=len(a.bounds) - 1)
-    return Links(text, a.ids[of_a], b.ids[of_b], of_group(a), of_group(b), groups)
+    both = cut_a & cut_b
+    groups = np.bincount(np.searchsorted(a.bounds, before(cut_a, shared), "right") - 1, minlength=len(a.bounds) - 1)
+    return Links(text, a.ids[of_a], b.ids[of_b], before(both, a.ends), before(both, b.ends), groups)
 
 
 def group_texts(a: Tokens, b: Tokens, links: Links) -> list[bytes]:

@@ -121,3 +121,14 @@ def test_small_blocks_and_dense_planes(make_docs, brute, monkeypatch):
 def test_empty_table(make_docs):
     assert alignment.report(make_docs([])).collect() == []
     assert answers(alignment.report(make_docs([(1, None)]))) == [(1, 0, 0, 0, 0, 0, 0, "")]
+
+
+def test_ranks_and_merge_lists_agree(rng):
+    """The tokenizer by ranks gives the ids of the file's own library, on every entry and on mixed ones."""
+    pair = alignment.Pair(alignment.BYTE_LEVEL, alignment.PIECES)
+    assert pair.ranked is not None
+    entries = [pair.a.decode([k]) for k in range(pair.a.get_vocab_size())]
+    texts = entries + ["".join(rng.choices(entries, k=6)) for _ in range(20_000)] + [t for _, t in ROWS if t]
+    ranked = [x.tolist() for x in pair.encode_a(texts)]
+    pair.ranked = None
+    assert ranked == [x.tolist() for x in pair.encode_a(texts)]

@@ -248,7 +248,7 @@ def test_propagation_converges(spark):
 
 
 def test_every_operator_has_its_query():
-    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 11)) and queries
+    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 14)) and queries
 
 
 def test_pipeline_stages(spark, make_docs, tmp_path):
