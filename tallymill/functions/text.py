@@ -126,11 +126,19 @@ def strip_verification_tail(text: Column) -> Column:
 
 
 def last_position(text: Column, pattern: str) -> Column:
-    """Start offset of the last place where ``pattern`` matches, -1 if it never does."""
-    before = F.try_element_at(all_matches(text, f"(?s)^(.*)(?:{pattern})", 1), F.lit(1))
+    """Start offset of the last place where ``pattern`` matches, -1 if it never does.
+
+    Only what stands before it may cross lines; a dot in the pattern itself stays within one.
+    """
+    before = F.try_element_at(all_matches(text, f"^((?s:.*))(?:{pattern})", 1), F.lit(1))
     return F.coalesce(F.length(before), F.lit(-1))
 
 
+def last_start(text: Column, patterns: Sequence[str]) -> Column:
+    """Start of the last of all non-overlapping matches of each pattern, -1 if there are none."""
+    return F.greatest(F.lit(-1), *(F.coalesce(F.array_max(places(text, p)), F.lit(-1)) for p in patterns))
+
+
 def last_keyword_position(text: Column, keywords: Sequence[str]) -> Column:
     """Start offset of the last occurrence of any keyword pattern, ignoring case; -1 if none."""
     return last_position(F.lower(text), "|".join(f"(?:{k})" for k in keywords))

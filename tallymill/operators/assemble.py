@@ -80,15 +80,49 @@ def number_rows(rows: DataFrame, order: Sequence[str], name: str = "number") ->
         .withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
         .checkpoint()
     )
-    sizes = laid_out.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    shifts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_shift"))
+    shifts = carried(laid_out.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")))
     # as many rows as partitions, so broadcasting them is safe
     return laid_out.join(F.broadcast(shifts), "_part").withColumn(name, F.col("_shift") + F.col("_row") + 1).drop(
         "_part", "_row", "_shift"
     )
 
 
+def carried(sizes: DataFrame, within: Sequence[str] = ()) -> DataFrame:
+    """(``within``, _part, _shift): how many rows of the group lie in partitions before, from (``within``, _part, _n).
+
+    There is one row per partition and group of it, a list that is short however many rows there are.
+    """
+    listed = sizes.groupBy(*within).agg(F.sort_array(F.collect_list(F.struct("_part", "_n"))).alias("_all"))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<_part:int,_shift:bigint>>").alias("out"))
+    step = lambda a, x: F.struct((a.at + x["_n"]).alias("at"), F.array_append(a.out, F.struct(x["_part"].alias("_part"), a.at.alias("_shift"))).alias("out"))
+    return listed.select(*within, F.inline(F.aggregate("_all", start, step, lambda a: a.out)))
+
+
+def ranked(rows: DataFrame, measure: str, name: str = "rank", within: Sequence[str] = (), descending: bool = True) -> DataFrame:
+    """Rank of each row by a measure, ties sharing the least, without one task seeing all rows; nulls rank last.
+
+    The rank of a value is one more than the rows with better values.  Rows are first counted per value, then
+    values are range-partitioned, counts are summed up within each partition, and the partitions' totals are
+    carried over.  A reliable checkpoint fixes the partitions, so a lost executor cannot redraw their bounds.
+    """
+    checkpoint_root(rows.sparkSession)
+    order = F.desc_nulls_last(measure) if descending else F.asc_nulls_last(measure)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = rows.groupBy(*within, measure).agg(F.count(F.lit(1)).alias("_n"))
+    laid_out = counted.repartitionByRange(parts, *within, order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    shifts = carried(laid_out.groupBy(*within, "_part").agg(F.sum("_n").alias("_n")), within)
+    before = F.sum("_n").over(Window.partitionBy("_part", *within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    keys = [*within, "_part"]
+    shifted = laid_out.withColumn("_before", F.coalesce(before, F.lit(0))).alias("l").join(shifts.alias("s"), _same("l", "s", keys))
+    values = shifted.select(*(F.col(f"l.{c}").alias(f"_{k}") for k, c in enumerate([*within, measure])), (F.col("_shift") + F.col("_before") + 1).alias(name))
+    match = [F.equal_null(rows[c], values[f"_{k}"]) for k, c in enumerate([*within, measure])]
+    return rows.join(values, match).select(*rows.columns, name)
+
+
+def _same(a: str, b: str, keys: Sequence[str]) -> list[Column]:
+    return [F.equal_null(F.col(f"{a}.{c}"), F.col(f"{b}.{c}")) for c in keys]
+
+
 def assign_ids(cases: DataFrame, task: str, order: Sequence[str]) -> DataFrame:
     """``multi_<running number>_<task>`` in the given order."""
     numbered = number_rows(cases, order)

@@ -86,6 +86,54 @@ def rescore_diff(rows: DataFrame, by: str = "task_type") -> DataFrame:
     )
 
 
+VERSION_KEYS = ("config_hash", "test_id", "model_name")
+
+
+def version_diff(old: DataFrame, new: DataFrame, order: Sequence[str], keys: Sequence[str] = VERSION_KEYS, value: str = "value", correct: str = "correct", carry: Sequence[str] = ()) -> DataFrame:
+    """Full join of two versions of a log: keys, ``carry``, old_value, new_value, old_correct, new_correct, parse_changed, change.
+
+    ``change`` is added, removed, improved, regressed or unchanged.  Both versions go into one aggregation by
+    key, which is a full join that takes null keys as equal: each task reduces its rows to one per key
+    first, so neither a hot model nor a key that repeats is shuffled whole.  Of rows of one version with the
+    same key the last by ``order`` counts; ``carry`` columns come from the new version where it has the row.
+    A row without a verdict counts as wrong.
+    """
+    said = F.struct(F.struct(*order).alias("at"), F.col(value).alias("value"), F.coalesce(F.col(correct), F.lit(False)).alias("correct"), *carry).alias("_row")
+    sides = [df.select(*keys, F.lit(side).alias("_new"), said) for side, df in ((False, old), (True, new))]
+    last = lambda side: F.max_by("_row", F.when(F.col("_new") == side, F.struct("_row.at", "_row.correct", "_row.value")))
+    both = sides[0].unionByName(sides[1]).groupBy(*keys).agg(last(False).alias("o"), last(True).alias("n"))
+    a, b = F.col("o.correct"), F.col("n.correct")
+    change = F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "removed").otherwise(change_label(a, b))
+    held = F.col("o").isNotNull() & F.col("n").isNotNull()
+    return both.select(
+        *keys,
+        *(F.when(F.col("n").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in carry),
+        F.col("o.value").alias("old_value"),
+        F.col("n.value").alias("new_value"),
+        a.alias("old_correct"),
+        b.alias("new_correct"),
+        (held & ~F.equal_null("o.value", "n.value")).alias("parse_changed"),
+        change.alias("change"),
+    )
+
+
+def version_counts(diff: DataFrame, by: str) -> DataFrame:
+    """Rows of each kind of change and the accuracy of either version, per group and in all."""
+    kinds = ("added", "removed", "improved", "regressed", "unchanged")
+    share = lambda c: rounded(ratio(F.count_if(c), F.count(c)))
+    return totals_row(
+        diff,
+        by,
+        [
+            F.count(F.lit(1)).alias("total"),
+            *(F.count_if(F.col("change") == k).alias(k) for k in kinds),
+            F.count_if("parse_changed").alias("parse_changed"),
+            share("old_correct").alias("old_accuracy"),
+            share("new_correct").alias("new_accuracy"),
+        ],
+    )
+
+
 def mismatch_pairs(items: DataFrame, pool: DataFrame, item_group: str, pool_group: str, identity: str, member: str, partners: int = 3, seed: str = "42") -> DataFrame:
     """Items paired with ``partners`` pool members of other groups, drawn by seed and item identity.
 

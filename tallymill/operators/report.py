@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tallymill.functions import identity, vocab
 from tallymill.operators.aggregate import rounded
+from tallymill.operators.assemble import number_rows, ranked
 
 
 def pivot_mean(
@@ -37,13 +38,12 @@ def group_impact(df: DataFrame, by: str, measure: Column) -> DataFrame:
 def leaderboard(means: DataFrame) -> DataFrame:
     """Composite = accuracy - parse error / 2 - 2 x time; models without a time rank last.
 
-    ``means`` has one row per model, which is what the unpartitioned window sees.
+    ``means`` has one row per model; places come from range partitions, so their number is no limit.
     """
     composite = F.col("accuracy") - F.col("parse_error") * 0.5 - F.col("time") * 2
-    order = Window.orderBy(F.desc_nulls_last("composite"), "model_name")
-    n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
+    rows = means.withColumn("composite", composite)
     place = F.col("place")
-    board = means.withColumn("composite", composite).withColumn("place", F.row_number().over(order)).withColumn("n", n)
+    board = number_rows(rows, [F.desc_nulls_last("composite"), F.col("model_name")], "place").withColumn("n", means.agg(F.count(F.lit(1))).scalar())
     return board.select(
         "model_name",
         rounded(F.col("accuracy")).alias("accuracy"),
@@ -76,14 +76,13 @@ def best_worst_within(configs: DataFrame, group: str, measure: str, ties: Sequen
 
 def task_rankings(scores: DataFrame, task: str, measure: str) -> DataFrame:
     """Rank of each model inside each task."""
-    return scores.withColumn("rank", F.rank().over(Window.partitionBy(task).orderBy(F.desc_nulls_last(measure))))
+    return ranked(scores, measure, within=[task])
 
 
 def efficiency(means: DataFrame) -> DataFrame:
     """Accuracy per second (at least 0.1 s), and the quadrant against the mean of all models."""
-    everyone = Window.partitionBy(F.lit(0))
-    high = F.col("accuracy") >= F.avg("accuracy").over(everyone)
-    fast = F.col("time") <= F.avg("time").over(everyone)
+    mean = lambda c: means.agg(F.avg(c)).scalar()
+    high, fast = F.col("accuracy") >= mean("accuracy"), F.col("time") <= mean("time")
     quadrant = F.concat(
         F.when(high, "high_accuracy").otherwise("low_accuracy"), F.when(fast, "_fast").otherwise("_slow")
     )
@@ -138,14 +137,14 @@ def range_summary(configs: DataFrame, by: str, measure: str) -> DataFrame:
     spread = configs.groupBy(by).agg(
         F.min(v).alias("lo"), F.avg(v).alias("mid"), F.max(v).alias("hi"), F.stddev_pop(v).alias("sd")
     )
-    return spread.select(
+    return ranked(spread, "mid").select(
         by,
         rounded(F.col("lo")).alias("min"),
         rounded(F.col("mid")).alias("mean"),
         rounded(F.col("hi")).alias("max"),
         rounded(F.col("sd")).alias("std"),
         rounded(F.col("hi") - F.col("lo")).alias("range"),
-        F.rank().over(Window.orderBy(F.desc("mid"))).alias("rank"),
+        F.col("rank"),
     )
 
 

@@ -11,6 +11,7 @@ from tallymill.operators.extract import extract
 from tallymill.operators.score import score_numeric
 from tallymill.plans.extraction import CASCADE_VALUE_SQL
 from tallymill.plans.registry import query
+from tallymill.session import scratch_path
 
 ROW_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 KEY_SQL = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
@@ -72,6 +73,55 @@ def _(spark, sf):
     return compare.rescore_diff(rescored(spark, sf))
 
 
+def versions(spark, sf):
+    """Two written versions of one log.
+
+    The first ran before failed cases were repeated; the second dropped a retired task, takes answers of the
+    wrong type, and no longer takes exact answers that took five seconds or more.
+    """
+    rows = eval_rows(spark, sf).withColumn("config_hash", F.when(F.col("system_style") != "casual", F.col("l_partkey").cast("string")))
+    columns = ["config_hash", "test_id", "model_name", "task_type", "l_linenumber", "l_suppkey", F.col("match_type").alias("value")]
+    first = rows.where("status = 'success'").select(*columns, "correct")
+    lenient = (F.col("match_type") == "type_error") | ((F.col("match_type") == "exact") & (F.col("duration") < 5))
+    second = rows.where("task_type <> 'linda_fallacy'").select(*columns, lenient.alias("correct"))
+    out = []
+    for name, df in (("first", first), ("second", second)):
+        path = scratch_path(spark, f"version-{name}")
+        df.write.parquet(path)
+        out.append(spark.read.parquet(path))
+    return out
+
+
+_VERSIONS_SQL = f"""{EVAL_ROWS_SQL}, e AS (SELECT *, CASE WHEN system_style <> 'casual' THEN CAST(l_partkey AS VARCHAR) END AS config_hash FROM eval_rows),
+  v AS (SELECT FALSE AS second, config_hash, test_id, model_name, task_type, l_linenumber, l_suppkey, match_type AS value, coalesce(correct, FALSE) AS correct FROM e WHERE status = 'success'
+    UNION ALL SELECT TRUE, config_hash, test_id, model_name, task_type, l_linenumber, l_suppkey, match_type,
+      coalesce(match_type = 'type_error' OR (match_type = 'exact' AND duration < 5), FALSE) FROM e WHERE task_type <> 'linda_fallacy'),
+  u AS (SELECT *, row_number() OVER (PARTITION BY second, config_hash, test_id, model_name ORDER BY l_linenumber DESC, l_suppkey DESC, correct DESC, value DESC NULLS LAST) AS r FROM v),
+  o AS (SELECT * FROM u WHERE r = 1 AND NOT second), n AS (SELECT * FROM u WHERE r = 1 AND second),
+  d AS (SELECT coalesce(n.config_hash, o.config_hash) AS config_hash, coalesce(n.test_id, o.test_id) AS test_id, coalesce(n.model_name, o.model_name) AS model_name,
+    CASE WHEN n.r IS NULL THEN o.task_type ELSE n.task_type END AS task_type, o.value AS old_value, n.value AS new_value, o.correct AS old_correct, n.correct AS new_correct,
+    o.r IS NOT NULL AND n.r IS NOT NULL AND o.value IS DISTINCT FROM n.value AS parse_changed,
+    CASE WHEN o.r IS NULL THEN 'added' WHEN n.r IS NULL THEN 'removed' WHEN NOT o.correct AND n.correct THEN 'improved' WHEN o.correct AND NOT n.correct THEN 'regressed' ELSE 'unchanged' END AS change
+    FROM o FULL JOIN n ON o.config_hash IS NOT DISTINCT FROM n.config_hash AND o.test_id = n.test_id AND o.model_name = n.model_name)"""
+
+
+@query("version_diff", f"WITH {_VERSIONS_SQL} SELECT * FROM d")
+def _(spark, sf):
+    return compare.version_diff(*versions(spark, sf), ["l_linenumber", "l_suppkey"], carry=["task_type"])
+
+
+@query(
+    "version_counts",
+    f"""WITH {_VERSIONS_SQL} SELECT coalesce(task_type, 'TOTAL') AS task_type, count(*) AS total, count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'removed') AS removed,
+      count(*) FILTER (change = 'improved') AS improved, count(*) FILTER (change = 'regressed') AS regressed, count(*) FILTER (change = 'unchanged') AS unchanged,
+      count(*) FILTER (parse_changed) AS parse_changed, round(count(*) FILTER (old_correct) / nullif(count(old_correct), 0), 6) AS old_accuracy,
+      round(count(*) FILTER (new_correct) / nullif(count(new_correct), 0), 6) AS new_accuracy FROM d GROUP BY ROLLUP (task_type)""",
+)
+def _(spark, sf):
+    diff = compare.version_diff(*versions(spark, sf), ["l_linenumber", "l_suppkey"], carry=["task_type"])
+    return compare.version_counts(diff, "task_type")
+
+
 @query(
     "failed_keeps_old",
     f"""WITH {_RESCORED_SQL} SELECT {KEY_SQL}, new AS correct,
