@@ -271,16 +271,16 @@ def _(spark, sf):
 @query(
     "extract_grid",
     """WITH c AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x > 0 AS INT)) AS c FROM embeddings)
-    SELECT vec_id, array_to_string(c[1:4], '') || '/' || array_to_string(c[5:8], '') || '/' || array_to_string(c[9:12], '') AS grid,
+    SELECT vec_id, array_to_string(list_transform(range(1, len(c) + 1, 8), lambda i: array_to_string(c[i:i + 7], '')), '/') AS grid,
       'line_scan_reverse' AS strategy FROM c""",
 )
 def _(spark, sf):
+    """All cells of a vector as a grid of eight columns, after a smaller grid that is not the answer."""
     cells = F.transform("embedding", lambda x: (x > 0).cast("int"))
-    rows = [F.array_join(F.slice("c", i, 4), " ") for i in (1, 5, 9)]
     docs = table(spark, sf, "embeddings").select("vec_id", cells.alias("c"))
-    before = F.array_join(F.slice("c", 1, 4), " ")
-    raw = F.concat(F.lit("Start:\n"), before, F.lit("\nStep one gives 3\n"), F.concat_ws("\n", *rows), F.lit("\nDone."))
-    out = extract(docs.withColumn("raw", raw), "game_of_life", "raw", {"rows": F.lit(3), "cols": F.lit(4)})
+    docs = docs.withColumn("r", F.transform(F.sequence(F.lit(1), F.size("c"), F.lit(8)), lambda i: F.array_join(F.slice("c", i, 8), " ")))
+    raw = F.concat(F.lit("Start:\n"), F.get("r", 0), F.lit("\nStep one gives 3\n"), F.array_join("r", "\n"), F.lit("\nDone."))
+    out = extract(docs.withColumn("raw", raw), "game_of_life", "raw", {"rows": F.size("r"), "cols": F.lit(8)})
     joined = F.array_join(F.transform("answer.grid", lambda r: F.array_join(r.cast("array<string>"), "")), "/")
     return out.select("vec_id", joined.alias("grid"), "answer.strategy")
 

@@ -176,17 +176,19 @@ def _(spark, sf):
 
 @query(
     "score_grid",
-    f"""WITH {CELL_PAIRS_SQL}, n AS (SELECT vec_id, label % 3 = 0 AS bad,
-        len(list_filter(list_zip(expected[1:12], predicted[1:12]), lambda z: z[1] = z[2])) AS c FROM cell_pairs)
-    SELECT vec_id, CASE WHEN bad THEN 'dimension_mismatch' WHEN c = 12 THEN 'exact' WHEN c > 0 THEN 'partial' ELSE 'mismatch' END AS match_type,
-      CASE WHEN bad THEN 0.0::DOUBLE ELSE round(2 * (c / 12 - 0.5), 6) END AS accuracy FROM n""",
+    f"""WITH {CELL_PAIRS_SQL}, n AS (SELECT vec_id, label % 3 = 0 AS bad, len(expected) AS n,
+        len(list_filter(list_zip(expected, predicted), lambda z: z[1] = z[2])) AS c FROM cell_pairs)
+    SELECT vec_id, CASE WHEN bad THEN 'dimension_mismatch' WHEN c = n THEN 'exact' WHEN c > 0 THEN 'partial' ELSE 'mismatch' END AS match_type,
+      CASE WHEN bad THEN 0.0::DOUBLE ELSE round(2 * (c / n - 0.5), 6) END AS accuracy FROM n""",
 )
 def _(spark, sf):
-    def grid(name, rows):
-        return F.array(*[F.slice(name, 1 + 4 * i, 4) for i in range(rows)])
+    """Vectors as grids of eight columns; some predictions lack the last row."""
 
-    p = F.when(F.expr("label % 3 = 0"), grid("predicted", 2)).otherwise(grid("predicted", 3))
-    rows = cell_pairs(spark, sf).select("vec_id", score.score_grid(p, grid("expected", 3)).alias("v"))
+    def grid(name, missing=0):
+        return F.transform(F.sequence(F.lit(1), F.size(name) - 8 * missing, F.lit(8)), lambda i: F.slice(name, i, 8))
+
+    p = F.when(F.expr("label % 3 = 0"), grid("predicted", 1)).otherwise(grid("predicted"))
+    rows = cell_pairs(spark, sf).select("vec_id", score.score_grid(p, grid("expected")).alias("v"))
     return rows.select("vec_id", "v.match_type", rounded(F.col("v.accuracy")).alias("accuracy"))
 
 
