@@ -150,10 +150,11 @@ def hits(made: Automaton, hashes: np.ndarray, doc: np.ndarray, n_docs: int) -> t
 def blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[object, np.ndarray]]]:
     """Items with their word hashes, read partition by partition, in blocks of a bounded number of words.
 
-    Items with equal ids are separate passages of one item; items without id or words count for nothing.
+    Items with equal ids are separate passages of one item; items without words count for nothing.  The words
+    of an item without an id are hit like any other's, but it is not among the items that are named.
     """
     held, size = [], 0
-    for row in benchmark.select(benchmark[item_id].alias("k"), benchmark[text].alias("t")).where("k is not null and t is not null").toLocalIterator():
+    for row in benchmark.select(benchmark[item_id].alias("k"), benchmark[text].alias("t")).where("t is not null").toLocalIterator():
         part = next(slices(pa.array([row.t])))
         hashes = words(part, ALNUM).hashes
         if held and size + len(hashes) > BLOCK_WORDS:
@@ -204,6 +205,7 @@ def report(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, text: str
     names = [("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_items", T.LongType()), ("items_sha256", T.StringType()), ("contaminated", T.BooleanType())]
 
     def one(part: Slice, k: int, hit: np.ndarray, start: np.ndarray, end: np.ndarray, items: set, null: bool) -> tuple:
+        items = items - {None}
         joined = ",".join(sorted(map(str, items)))
         n = int(hit.sum())
         return len(hit), n, len(items), hashlib.sha256(joined.encode()).hexdigest(), n > 0

@@ -282,7 +282,7 @@ def store(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_
 def digests(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Stores each text as ``store`` does, reads the file back through its packets and measures both.
 
-    The feature names tracks, clusters, cues, packets, length and the mean and spread of the samples.
+    The feature names tracks, clusters, cues, packets, laced packets, the last timestamp and the Adler-32 of the samples.
     """
     added = [("n_bytes", T.LongType()), ("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType())]
     added += [("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType())]

@@ -60,12 +60,21 @@ def test_hits(spark, make_docs, window, monkeypatch):
         assert r.items_sha256 == hashlib.sha256(joined.encode()).hexdigest()
 
 
+def test_item_without_an_id(spark, make_docs):
+    """Its words are hit, but it is not named."""
+    passage = "one two three four five six seven eight nine ten eleven"
+    bench = spark.createDataFrame([(None, passage), (None, None)], ITEMS)
+    got = decontaminate.report(make_docs(["x " + passage, "clean"]), bench).orderBy("doc_id").collect()
+    assert [(r.n_hit, r.n_items, r.contaminated) for r in got] == [(11, 0, True), (0, 0, False)]
+    assert got[0].items_sha256 == hashlib.sha256(b"").hexdigest()
+
+
 def test_clean(spark, make_docs):
     bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven")], ITEMS)
     item = "One, two three four five six seven eight nine ten eleven"
     docs = ["before it all stands some other text of words, " + item + "! and after it there is more text to be read", item, "clean text", None, "", "one two three"]
     got = {r.doc_id: r for r in decontaminate.clean(make_docs(docs), bench).collect()}
-    assert got[0].text == "before it all stands some other text of words, ! and after it there is more text to be read".replace(", !", ", !")
+    assert got[0].text == "before it all stands some other text of words, ! and after it there is more text to be read"
     assert got[1].dropped and [got[k].text for k in (2, 3, 4, 5)] == ["clean text", None, "", "one two three"]
     assert not decontaminate.report(decontaminate.clean(make_docs(docs), bench), bench).where("contaminated").count()
 
@@ -161,7 +170,7 @@ def test_matroska_damage(spark):
     for cut in range(0, len(media), 997):
         found, summary = matroska.read(media[:cut])
         assert [p[:6] for p in found] == [p[:6] for p in whole][: len(found)]
-        assert summary["error"] or len(found) == len(whole) or cut == 0 or True
+        assert summary["error"] or len(found) == len(whole) or cut == 0
     files = spark.createDataFrame([(1, bytearray(media[:5000])), (2, None), (3, bytearray(b"no file")), (4, bytearray())], "doc_id long, media binary")
     rows = matroska.packets(files).collect()
     assert {r.doc_id for r in rows if r.error} == {1, 3, 4} and not [r for r in rows if r.doc_id == 2]
