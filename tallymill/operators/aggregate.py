@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymill.functions.identity import model_key
-from tallymill.operators.assemble import number_rows
+from tallymill.operators.assemble import running
 
 SUCCESS = "success"
 
@@ -434,18 +434,19 @@ def model_means(summary: DataFrame, by: Sequence[str] = ("model_name",)) -> Data
 def quartiles(summary: DataFrame, by: str, value: Column) -> DataFrame:
     """Five-number summary per group, by linear interpolation between neighbours.
 
-    Values are numbered in the order of group and value, range-partitioned, so a group of any size
-    lies over many tasks; a quartile is then the rows at one or two known places of the group's range.
-    Null values are left out; a group of nulls only has none.
+    Rows are first counted per distinct value; counts are then summed up in the order of values, range-partitioned,
+    so a group of any size lies over many tasks and a value that many rows share is one row.  A quartile is the value
+    that covers one or two known places of its group.  Null values are left out; a group of nulls only has none.
     """
     points = {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0}
-    rows = summary.select(F.col(by), value.alias("_v"))
-    placed = number_rows(rows.filter(F.col("_v").isNotNull()), [by, "_v"], "_n")
-    ranges = placed.groupBy(F.col(by).alias("_by")).agg(F.min("_n").alias("_low"), F.count(F.lit(1)).alias("_size"))
-    inside = placed.join(ranges, F.equal_null(by, "_by")).withColumn("_at", F.col("_n") - F.col("_low"))
+    counted = summary.select(F.col(by), value.alias("_v")).filter(F.col("_v").isNotNull()).groupBy(by, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    placed = running(counted, ["_v"], "_n", [by])
+    sizes = placed.groupBy(F.col(by).alias("_by")).agg(F.sum("_n").alias("_size"))
+    inside = placed.join(sizes, F.equal_null(by, "_by"))
 
     def value_at(p: float, side) -> Column:
-        return F.max(F.when(F.col("_at") == side((F.col("_size") - 1) * p), F.col("_v")))
+        place = side((F.col("_size") - 1) * p)
+        return F.max(F.when((F.col("_before") <= place) & (place < F.col("_before") + F.col("_n")), F.col("_v")))
 
     ends = [value_at(p, side).alias(f"{name}_{end}") for name, p in points.items() for end, side in (("low", F.floor), ("high", F.ceil))]
     found = inside.groupBy(by).agg(F.max("_size").alias("_size"), *ends)

@@ -105,20 +105,30 @@ def ranked(rows: DataFrame, measure: str, name: str = "rank", within: Sequence[s
     values are range-partitioned, counts are summed up within each partition, and the partitions' totals are
     carried over.  A reliable checkpoint fixes the partitions, so a lost executor cannot redraw their bounds.
     """
-    checkpoint_root(rows.sparkSession)
     order = F.desc_nulls_last(measure) if descending else F.asc_nulls_last(measure)
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counted = rows.groupBy(*within, measure).agg(F.count(F.lit(1)).alias("_n"))
-    laid_out = counted.repartitionByRange(parts, *within, order).withColumn("_part", F.spark_partition_id()).checkpoint()
-    shifts = carried(laid_out.groupBy(*within, "_part").agg(F.sum("_n").alias("_n")), within)
-    before = F.sum("_n").over(Window.partitionBy("_part", *within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    keys = [*within, "_part"]
-    shifted = laid_out.withColumn("_before", F.coalesce(before, F.lit(0))).alias("l").join(shifts.alias("s"), _same("l", "s", keys))
-    values = shifted.select(*(F.col(f"l.{c}").alias(f"_{k}") for k, c in enumerate([*within, measure])), (F.col("_shift") + F.col("_before") + 1).alias(name))
+    placed = running(counted, [order], "_n", within)
+    values = placed.select(*(F.col(c).alias(f"_{k}") for k, c in enumerate([*within, measure])), (F.col("_before") + 1).alias(name))
     match = [F.equal_null(rows[c], values[f"_{k}"]) for k, c in enumerate([*within, measure])]
     return rows.join(values, match).select(*rows.columns, name)
 
 
+def running(counted: DataFrame, order: Sequence[Column | str], amount: str, within: Sequence[str] = ()) -> DataFrame:
+    """``counted`` with ``_before``: the sum of a long ``amount`` over the group's rows that come before, in a total order.
+
+    Rows are range-partitioned by group and order and summed up within each partition, then the partitions'
+    totals are carried over, so a group of any size lies over many tasks.  A reliable checkpoint fixes the
+    partitions, so a lost executor cannot redraw their bounds.  The first row of a group has 0.
+    """
+    checkpoint_root(counted.sparkSession)
+    parts = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid_out = counted.repartitionByRange(parts, *within, *order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    shifts = carried(laid_out.groupBy(*within, "_part").agg(F.sum(amount).alias("_n")), within)
+    before = F.sum(amount).over(Window.partitionBy("_part", *within).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    shifted = laid_out.withColumn("_inside", F.coalesce(before, F.lit(0))).alias("l").join(shifts.alias("s"), _same("l", "s", [*within, "_part"]))
+    return shifted.select(*(F.col(f"l.{c}") for c in counted.columns), (F.col("_shift") + F.col("_inside")).alias("_before"))
+
+
 def _same(a: str, b: str, keys: Sequence[str]) -> list[Column]:
     return [F.equal_null(F.col(f"{a}.{c}"), F.col(f"{b}.{c}")) for c in keys]
 

@@ -10,6 +10,7 @@ from tallymill.plans import (  # noqa: F401
     files,
     reports,
     scoring,
+    sketches,
     streams,
 )
 from tallymill.plans.registry import ORACLES, QUERIES
