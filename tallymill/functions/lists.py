@@ -44,21 +44,29 @@ def clean_entry(text: Column) -> Column:
 
     A colon ends the entry unless what stands before it joins two statements.
     """
-    for pattern, replacement in ENTRY_STEPS:
-        text = F.regexp_replace(text, pattern, replacement)
+
+    def stripped(entry: Column) -> Column:
+        # every step needs one of these characters
+        done = entry
+        for pattern, replacement in ENTRY_STEPS:
+            done = F.regexp_replace(done, pattern, replacement)
+        return F.when(entry.rlike(r"[*_(:–—-]"), done).otherwise(entry)
 
     def before_colon(entry: Column) -> Column:
         head = F.substring_index(entry, ":", 1)
         return F.when(entry.contains(":") & ~head.contains(" and "), strip_ws(head)).otherwise(entry)
 
-    undashed = let(text, lambda t: _cut_at_first(t, ENTRY_DASHES))
+    undashed = let(let(text, stripped), lambda t: _cut_at_first(t, ENTRY_DASHES))
     return strip_ws(let(let(undashed, before_colon), lambda t: _cut_at_first(t, ENTRY_SENTENCES)))
 
 
-def numbered_entries(text: Column) -> Column:
-    """Cleaned items of all numbered lines, in order."""
-    items = all_matches(text, r"(?m)^[ \t]*\d+\.[ \t]*(.*)$", 1)
-    return F.filter(F.transform(items, lambda s: clean_entry(strip_ws(s))), lambda s: F.length(s) > 3)
+def cleaned(entries: Column, longer_than: int) -> Column:
+    return F.filter(F.transform(entries, clean_entry), lambda s: F.length(s) > longer_than)
+
+
+def numbered_lines(text: Column) -> Column:
+    """What stands behind the number of each numbered line, in order."""
+    return F.transform(all_matches(text, r"(?m)^[ \t]*\d+\.[ \t]*(.*)$", 1), strip_ws)
 
 
 def ranking_section(text: Column) -> Column:
@@ -66,14 +74,12 @@ def ranking_section(text: Column) -> Column:
 
 
 def probability_lines(text: Column) -> Column:
-    lines = F.filter(lines_of(text), lambda s: F.lower(s).rlike(PROBABILITY_PHRASES))
-    return F.transform(lines, lambda s: clean_entry(strip_ws(s)))
+    return F.transform(F.filter(lines_of(text), lambda s: F.lower(s).rlike(PROBABILITY_PHRASES)), strip_ws)
 
 
 def statement_sentences(text: Column) -> Column:
     parts = F.transform(F.split(text, "[.!?]"), strip_ws)
-    said = F.filter(parts, lambda s: (F.length(s) > 10) & F.lower(s).rlike(STATEMENT_PHRASES))
-    return F.array_distinct(F.filter(F.transform(said, clean_entry), lambda s: F.length(s) > 5))
+    return F.filter(parts, lambda s: (F.length(s) > 10) & F.lower(s).rlike(STATEMENT_PHRASES))
 
 
 def distinct_entries(entries: Column, limit: int | None = None, threshold: float = 0.85) -> Column:
@@ -109,28 +115,28 @@ def distinct_entries(entries: Column, limit: int | None = None, threshold: float
     return entries_left if limit is None else F.slice(entries_left, 1, limit)
 
 
+#: Name, lines read from the text, and how they become entries.
 RANKING_STRATEGIES = (
-    ("explicit_ranking_section", lambda t: numbered_entries(ranking_section(t))),
-    ("numbered_list_fallback", numbered_entries),
-    ("probability_keyword", probability_lines),
-    ("sentence_extraction", statement_sentences),
+    ("explicit_ranking_section", lambda t: numbered_lines(ranking_section(t)), lambda lines: cleaned(lines, 3)),
+    ("numbered_list_fallback", numbered_lines, lambda lines: cleaned(lines, 3)),
+    ("probability_keyword", probability_lines, lambda lines: F.transform(lines, clean_entry)),
+    ("sentence_extraction", statement_sentences, lambda lines: F.array_distinct(cleaned(lines, 5))),
 )
 
 
 def extract_ranking(text: Column, at_least: int = 6, limit: int | None = None) -> Column:
     """Struct of items and strategy: the first way to read the text that gives enough distinct items.
 
-    ``limit`` is the most items of an answer; by default all.
+    ``limit`` is the most items of an answer; by default all.  Lines are cleaned and compared only where
+    there are enough of them, as cleaning adds none.
     """
 
-    def attempt(name: str, read) -> Column:
-        return let(
-            distinct_entries(read(text), limit),
-            lambda items: F.when(F.size(items) >= at_least, F.struct(items.alias("items"), F.lit(name).alias("strategy"))),
-        )
+    def attempt(name: str, read, entries) -> Column:
+        items = let(read(text), lambda lines: F.when(F.size(lines) >= at_least, distinct_entries(entries(lines), limit)))
+        return let(items, lambda i: F.when(F.size(i) >= at_least, F.struct(i.alias("items"), F.lit(name).alias("strategy"))))
 
     none = F.struct(F.lit(None).cast("array<string>").alias("items"), F.lit("failed").alias("strategy"))
-    return F.coalesce(*[attempt(name, read) for name, read in RANKING_STRATEGIES], none)
+    return F.coalesce(*[attempt(*strategy) for strategy in RANKING_STRATEGIES], none)
 
 
 # --------------------------------------------------------------------------- cells

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tallymill.functions import lists, rules
 from tallymill.functions.cascade import Rule, by_kind, decode, hit
-from tallymill.functions.refusal import parts, refusal_rules, tidy_text
+from tallymill.functions.refusal import compliance, leanings, parts, refusal_rules, signals, tidy_text
 from tallymill.functions.text import strip_verification_tail, strip_ws
 from tallymill.operators.aggregate import rounded
 
@@ -148,11 +148,11 @@ def _list_read(field: str, slot: str) -> Callable[[Column, Column, Params], Colu
     return read
 
 
-_REFUSAL_TEXTS = ("text", "clean", "tail", "short_tail")
+_REFUSAL_COLUMNS = ("text", "clean", "tail", "short_tail", "refuses", "hedges", "opens", "closes", "ratio", "instructs", "complies", "mixed", "lean")
 
 
 def _refusal_rules() -> Sequence[Rule]:
-    return refusal_rules({k: F.col(f"_false_premise_{k}") for k in _REFUSAL_TEXTS})
+    return refusal_rules({k: F.col(f"_false_premise_{k}") for k in _REFUSAL_COLUMNS})
 
 
 def _refusal_read(found: Column, text: Column, p: Params) -> Column:
@@ -202,7 +202,7 @@ EXTRACTIONS: dict[str, Extraction] = {
     "false_premise": Extraction(
         lambda text, p: hit(text, _refusal_rules()),
         _refusal_read,
-        (lambda text, done: tidy_text(text), lambda text, done: parts(done)),
+        (lambda text, done: tidy_text(text), *(lambda text, done, step=step: step(done) for step in (parts, signals, compliance, leanings))),
     ),
     "linda_fallacy": Extraction(lambda text, p: lists.extract_ranking(text), _list_read("items", "items")),
     "cellular_automata_1d": Extraction(
