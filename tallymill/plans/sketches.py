@@ -1,11 +1,11 @@
-"""Summaries with stated errors, frequent texts, draws from weight tables and parameters as variants."""
+"""Summaries with stated errors, frequent texts, draws from weight tables, variants and catalogue look-ups."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from tallymill.fixtures import EVAL_ROWS_SQL, eval_rows, table
-from tallymill.operators import aggregate, draw, params, sketch
+from tallymill.operators import aggregate, draw, matching, params, sketch
 from tallymill.plans.registry import query
 from tallymill.session import spread
 
@@ -141,3 +141,28 @@ def _(spark, sf):
         "second_tag": ("$.tags[1]", "string"), "inner_value": ("$.answer[1][1]", "bigint"), "strict": ("$.strict", "boolean"),
     }
     return params.read_params(rows, fields).drop("task_params")
+
+
+def _word_set(text: str) -> str:
+    return rf"list_filter(list_distinct(string_split_regex(regexp_replace(lower({text}), '[^\w\s]', '', 'g'), '\s+')), lambda w: w <> '')"
+
+
+_SAID_SQL = "p_name || ' of ' || p_type || ', ' || p_brand || ' (size ' || p_size || ')'"
+_LISTED_SQL = "upper(p_type) || ': ' || p_brand || ' ' || p_name || ' - size ' || p_size % 7"
+
+
+@query(
+    "fuzzy_lookup",
+    f"""WITH r AS (SELECT p_partkey, {_SAID_SQL} AS said FROM part), a AS (SELECT said, {_word_set('said')} AS aw FROM (SELECT DISTINCT said FROM r)),
+    b AS (SELECT listed, {_word_set('listed')} AS bw FROM (SELECT DISTINCT {_LISTED_SQL} AS listed FROM part)),
+    p AS (SELECT said, listed, len(list_intersect(aw, bw)) AS o, len(aw) + len(bw) AS n FROM a CROSS JOIN b),
+    k AS (SELECT said, listed, o / (n - o) AS s FROM p WHERE o / (n - o) >= 0.7 - 1e-12),
+    m AS (SELECT said, arg_min(listed, struct_pack(s := -s, l := listed)) AS match, max(s) AS similarity, count(*) AS n_matches FROM k GROUP BY said)
+    SELECT p_partkey, said, match, round(similarity, 6) AS similarity, coalesce(n_matches, 0) AS n_matches FROM r LEFT JOIN m USING (said)""",
+)
+def _(spark, sf):
+    """Parts as they are spoken of, looked up in the whole catalogue by words."""
+    parts = table(spark, sf, "part")
+    rows = parts.selectExpr("p_partkey", f"{_SAID_SQL} as said")
+    found = matching.fuzzy_lookup(rows, "said", parts.selectExpr(f"{_LISTED_SQL} as listed"), "listed", 0.7)
+    return found.withColumn("similarity", aggregate.rounded(F.col("similarity")))
