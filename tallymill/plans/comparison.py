@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tallymill.fixtures import EVAL_ROWS_SQL, RESPONSES_SQL, eval_rows, responses, table
@@ -12,6 +14,7 @@ from tallymill.operators.score import score_numeric
 from tallymill.plans.extraction import CASCADE_VALUE_SQL
 from tallymill.plans.registry import query
 from tallymill.session import scratch_path
+from tallymill.sources.sinks import write_bucketed
 
 ROW_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 KEY_SQL = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
@@ -30,6 +33,20 @@ def _(spark, sf):
     return out.select(*ROW_KEY, "test_id", "priority", "origin")
 
 
+@query(
+    "join_bucketed",
+    f"""WITH {EVAL_ROWS_SQL} SELECT {KEY_SQL}, test_id, o_orderpriority AS priority, o_orderstatus AS origin
+    FROM eval_rows LEFT JOIN orders ON l_orderkey = o_orderkey""",
+)
+def _(spark, sf):
+    """The same join of a log and a test set that are stored in buckets of its key: no shuffle on either side."""
+    cases = table(spark, sf, "orders").selectExpr("o_orderkey as l_orderkey", "o_orderpriority as priority", "o_orderstatus as origin")
+    run = uuid.uuid4().hex
+    log = write_bucketed(eval_rows(spark, sf).select(*ROW_KEY, "test_id"), f"log_{run}", ["l_orderkey"], 8)
+    stored = write_bucketed(cases, f"cases_{run}", ["l_orderkey"], 8)
+    return compare.join_testset(log, stored, ["l_orderkey"]).select(*ROW_KEY, "test_id", "priority", "origin")
+
+
 @query(
     "lookup_join",
     "SELECT c_custkey, n_name, r_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey",
