@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tallymill.llm.arrays import slices
+
 # Fixed values of the Matroska format: element ids.
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
 TIMESTAMP_SCALE, DURATION, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE = 0x2AD7B1, 0x4489, 0xAE, 0xD7, 0x73C5, 0x83
@@ -268,13 +270,18 @@ def padded(raw: bytes) -> bytes:
 
 
 def store(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` and ``media``: the UTF-8 bytes of a text (null: empty), padded to a positive multiple of 64, as a file."""
+    """``keep`` and ``media``: the UTF-8 bytes of a text (null: empty), padded to a positive multiple of 64, as a file.
+
+    Files leave a task in slices of half a megabyte of text, so a batch of long texts is never held as a whole.
+    """
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("media", T.BinaryType())])
 
     def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            files = [write(padded((x.as_py() or "").encode())) for x in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(files, pa.binary())], schema.names)
+            for part in slices(batch.column(0)):
+                size = part.last - part.first
+                files = [write(padded((x.as_py() or "").encode())) for x in batch.column(0).slice(part.first, size)]
+                yield pa.RecordBatch.from_arrays([*(c.slice(part.first, size) for c in batch.columns[1:]), pa.array(files, pa.binary())], schema.names)
 
     return _keep(docs, text, keep).mapInArrow(stored, schema)
 
