@@ -3,6 +3,7 @@
 from tallymill.plans import (  # noqa: F401
     aggregates,
     assembly,
+    cascades,
     columns,
     comparison,
     extension,
