@@ -88,21 +88,42 @@ def first_match(text: Column, pattern: str | Column, group: int = 0) -> Column:
     return F.try_element_at(all_matches(text, pattern, group), F.lit(1))
 
 
+#: Matches whose offsets are summed up in one go.
+RUN = 64
+
+
 def places(text: Column, pattern: str) -> Column:
-    """Start offsets of all matches of ``pattern``, in order: running sums over what lies between and in the matches."""
+    """Start offsets of all matches of ``pattern``, in order: running sums over what lies between and in the matches.
+
+    Sums run within groups of ``RUN`` matches and over the groups, so arrays that grow by appending stay short.
+    """
+
+    def offsets(part: Column, start: Column) -> Column:
+        state = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
 
-    def running(x: Column) -> Column:
-        state = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        def step(a: Column, x: Column) -> Column:
+            return F.struct((a["at"] + x["gap"] + x["own"]).alias("at"), F.array_append(a["out"], a["at"] + x["gap"]).alias("out"))
 
-        def step(a: Column, i: Column) -> Column:
-            start = a["at"] + F.length(F.get(x["gaps"], i))
-            return F.struct((start + F.length(F.get(x["found"], i))).alias("at"), F.array_append(a["out"], start).alias("out"))
+        return F.aggregate(part, state, step, lambda a: a["out"])
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(x["found"]) - 1), state, step, lambda a: a["out"])
+    def whole(x: Column) -> Column:
+        return F.aggregate(x, F.lit(0), lambda a, s: a + s["gap"] + s["own"])
 
-    both = F.struct(all_matches(text, pattern).alias("found"), F.split(text, pattern, -1).alias("gaps"))
-    none = F.array().cast("array<int>")
-    return F.when(text.rlike(pattern), F.get(F.transform(F.array(both), running), 0)).otherwise(none)
+    def all_offsets(parts: Column) -> Column:
+        sizes = F.transform(parts, lambda x: F.struct(F.lit(0).alias("gap"), whole(x).alias("own")))
+        return F.flatten(F.zip_with(parts, offsets(sizes, F.lit(0)), offsets))
+
+    steps = F.zip_with(
+        F.split(text, pattern, -1),
+        all_matches(text, pattern),
+        lambda gap, own: F.struct(F.length(gap).alias("gap"), F.coalesce(F.length(own), F.lit(0)).alias("own")),
+    )
+
+    def parted(xs: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(xs) - 1, F.lit(RUN)), lambda i: F.slice(xs, i, F.least(F.lit(RUN), F.size(xs) - i)))
+
+    found = F.get(F.transform(F.transform(F.array(steps), parted), all_offsets), 0)
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<int>"))
 
 
 def last_n(items: Column, n: int) -> Column:
@@ -136,7 +157,12 @@ def last_position(text: Column, pattern: str) -> Column:
 
 def last_start(text: Column, patterns: Sequence[str]) -> Column:
     """Start of the last of all non-overlapping matches of each pattern, -1 if there are none."""
-    return F.greatest(F.lit(-1), *(F.coalesce(F.array_max(places(text, p)), F.lit(-1)) for p in patterns))
+
+    def start(p: str) -> Column:
+        after = F.length(F.element_at(F.split(text, p, -1), -1))
+        return F.when(text.rlike(p), F.length(text) - after - F.length(last_match(text, p)))
+
+    return F.greatest(F.lit(-1), *(F.coalesce(start(p), F.lit(-1)) for p in patterns))
 
 
 def last_keyword_position(text: Column, keywords: Sequence[str]) -> Column:
