@@ -9,11 +9,13 @@
    on their whole shingle sets.
 4. Links give components.  In buckets whose members are still in several components, the members
    outside the largest one are a query set that is compared with the bucket's other members in blocks,
-   by the same sequential rule and the same exact check; only links become rows.  Where that would be
-   too much for one bucket, it is first divided by further bands, so that unlike documents part.
+   by the same sequential rule and the same exact check; only links become rows.  Where one bucket asks
+   for very many comparisons, pairs that meet again in further bands are linked first; what is then still
+   in several components is compared whole all the same, so the division saves work and decides nothing.
 
 Everything between documents is a join or a partial aggregation on ids or keys; what is used twice
-is written to the shared folder.  No step gathers a bucket, a group or the corpus in one place.
+is written to the shared folder and deleted once the components are known.  No step gathers a bucket,
+a group or the corpus in one place.
 """
 
 from __future__ import annotations
@@ -27,17 +29,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymill.llm.arrays import NOT_BLANK, Slice, fold, mix, slices, words
-from tallymill.session import checkpoint_root, scratch_path
+from tallymill.session import checkpoint_root, remove, scratch_path
 
 BANDS, ROWS = 40, 7
 BATCH = 35
 #: A pair is dropped when its posterior chance of enough similarity is below this.
 MISS = 1e-5
-#: Members in a block, and comparisons in a bucket beyond which it is divided first.
+#: Members in a block, and comparisons in a bucket beyond which further bands are looked at first.
 BLOCK, WORK = 128, 1 << 24
-#: Further bands by which a divided bucket is keyed.
-FURTHER = 6
-DEPTH = 3
+#: Further bands by which a divided bucket is keyed, and how often one is divided.
+FURTHER, DEPTH = 6, 2
+#: Parts of a group of equal documents in the last join.
+SALT = 8
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -177,10 +180,11 @@ def verify(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "xa", "xb").mapInArrow(linked, f"a {kind}, b {kind}")
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written to the shared folder and read again: used twice, computed once."""
+def _kept(df: DataFrame, name: str, tables: list[str]) -> DataFrame:
+    """The rows, written to the shared folder and read again: used twice, computed once.  The path joins ``tables``."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    tables.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -232,12 +236,12 @@ def _stars(buckets: DataFrame) -> DataFrame:
     return pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
 
 
-def _open(buckets: DataFrame, component: DataFrame) -> DataFrame:
+def _open(buckets: DataFrame, component: DataFrame, tables: list[str]) -> DataFrame:
     """Members (key, id, band, component, n, outside, straggler) of buckets that are in several components."""
     named = buckets.join(component.withColumnRenamed("id", "x"), buckets.id == F.col("x"), "left").select("key", "id", "band", "n", F.coalesce("component", "id").alias("component"))
     sizes = named.groupBy("key", "component").agg(F.count("*").alias("m"))
     split = sizes.groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("main"), (F.sum("m") - F.max("m")).alias("outside")).where("outside > 0")
-    return _kept(named.join(split, "key").withColumn("straggler", F.col("component") != F.col("main")).drop("main"), "open-buckets")
+    return _kept(named.join(split, "key").withColumn("straggler", F.col("component") != F.col("main")).drop("main"), "open-buckets", tables)
 
 
 def enough(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -248,12 +252,12 @@ def enough(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _block_links(rows: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, miss: float, first_band: bool) -> DataFrame:
+def _block_links(rows: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, miss: float) -> DataFrame:
     """Links (a, b) between a straggler and a member of another component of its bucket.
 
     Members lie in blocks of about BLOCK rows; each block of stragglers meets each block of its bucket,
-    and a task compares the two blocks' signatures as matrices and verifies what stays likely.  With
-    ``first_band`` a pair counts only in the bucket of the first band it shares, not in each of them.
+    and a task compares the two blocks' signatures as matrices and verifies what stays likely.  A pair
+    counts in the bucket of the first band it shares, not in each of them: all its buckets are open.
     """
     needed = least_matches(percent, miss)
     sided = rows.join(reps.select(F.col("id").alias("x"), "n_shingles", "signature"), F.col("id") == F.col("x")).drop("x")
@@ -281,7 +285,7 @@ def _block_links(rows: DataFrame, reps: DataFrame, sets: DataFrame, percent: int
             matched += (sa[x, span] == sb[y, span]).sum(axis=1)
             alive = matched >= least
             x, y, matched = x[alive], y[alive], matched[alive]
-        if first_band and len(x):
+        if len(x):
             shared = (sa[x] == sb[y]).reshape(len(x), BANDS, ROWS).all(axis=2)
             mine = shared.argmax(axis=1) == band
             x, y = x[mine], y[mine]
@@ -321,18 +325,19 @@ def groups(docs: DataFrame, *, words_per_shingle: int = 5, percent: int = 80, mi
     with nothing either: their component_id is null, and they are kept.  Repeated rows are answered
     each; an id with several texts is linked if any of them is.  Ids may be of any sortable type.
     """
-    spark = docs.sparkSession
+    tables: list[str] = []
     base = docs.select(docs[key].alias("id"), docs[text].alias("_text"))
-    sketch = _kept(sketches(docs, words_per_shingle, text, key), "sketches")
+    sketch = _kept(sketches(docs, words_per_shingle, text, key), "sketches", [])
     linkable = sketch.where("n_shingles > 0 and id is not null")
-    classes = linkable.groupBy("d1", "d2").agg(F.min("id").alias("class"))
-    reps = _kept(linkable.join(classes.select(F.col("class").alias("x")), F.col("id") == F.col("x"), "left_semi").select("id", "n_shingles", "bands", "signature"), "classes")
+    classes = linkable.groupBy("d1", "d2").agg(F.min("id").alias("class"), F.max("id").alias("last"))
+    first = classes.select(F.col("class").alias("x"))
+    reps = _kept(linkable.join(first, F.col("id") == F.col("x"), "left_semi").select("id", "n_shingles", "bands", "signature"), "classes", tables)
 
     banded = reps.select("id", F.posexplode("bands").alias("band", "key"))
-    buckets = _kept(_shared(banded), "buckets")
+    buckets = _kept(_shared(banded), "buckets", tables)
     members = buckets.select(F.col("id").alias("x")).distinct()
     wanted = base.join(members, F.col("id") == F.col("x"), "left_semi")
-    sets = _kept(full_sets(wanted, words_per_shingle), "shingle-sets")
+    sets = _kept(full_sets(wanted, words_per_shingle), "shingle-sets", tables)
 
     def likely(pairs: DataFrame) -> DataFrame:
         side = lambda x: reps.select(F.col("id").alias(x), F.col("signature").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}"))
@@ -342,25 +347,33 @@ def groups(docs: DataFrame, *, words_per_shingle: int = 5, percent: int = 80, mi
         whole = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"x{x}"))
         return verify(pairs.join(whole("b"), "b").join(whole("a"), "a"), percent)
 
-    found = _kept(links(likely(_stars(buckets))), "links")
-    component = components(found)
-    level = buckets
+    def linked(found: DataFrame | None, more: DataFrame, component: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        more = _kept(more, "links", tables)
+        if component is not None and more.isEmpty():
+            return found, component
+        found = more if found is None else found.union(more)
+        return found, components(found)
+
+    found, component = linked(None, links(likely(_stars(buckets))), None)
+    level, rows, divided_once = buckets, _open(buckets, component, tables), False
     for depth in range(DEPTH):
-        rows = _open(level, component)
-        heavy = (F.col("outside") * F.col("n") > WORK) if depth < DEPTH - 1 else F.lit(False)
-        many = rows.where(heavy)
-        again = not many.isEmpty()
-        more = _block_links(rows.where(~heavy), reps, sets, percent, miss, first_band=depth == 0 and not again)
-        if again:
-            level = _kept(_shared(divided(many, reps, depth)), "divided-buckets")
-            more = more.union(links(likely(_stars(level))))
-        more = _kept(more, "links")
-        if not more.isEmpty():
-            found = found.union(more)
-            component = components(found)
-        if not again:
+        many = (rows if level is buckets else _open(level, component, tables)).where(F.col("outside") * F.col("n") > WORK)
+        if many.isEmpty():
             break
-
-    rows = sketch.select("id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left").join(component.withColumnRenamed("id", "x"), F.col("class") == F.col("x"), "left")
-    group = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.coalesce("component", "class")).otherwise(F.col("id"))
-    return rows.select(F.col("id").alias(key), F.col("n_shingles"), group.alias("component_id"), F.coalesce(F.col("id") == group, F.lit(True)).alias("kept"))
+        level, divided_once = _kept(_shared(divided(many, reps, depth)), "divided-buckets", tables), True
+        found, component = linked(found, links(likely(_stars(level))), component)
+    if divided_once:
+        rows = _open(buckets, component, tables)
+    found, component = linked(found, _block_links(rows, reps, sets, percent, miss), component)
+    for path in tables:
+        remove(docs.sparkSession, path)
+
+    # documents of a group of copies or of a component; a group's rows are dealt out to SALT joins
+    named = classes.join(component.withColumnRenamed("id", "x"), F.col("class") == F.col("x"), "left").where("class <> last or component is not null")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt")
+    named = named.select("d1", "d2", F.coalesce("component", "class").alias("group"), salts)
+    salted = linkable.select("id", "n_shingles", "d1", "d2", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int").alias("salt"))
+    joined = salted.join(named, ["d1", "d2", "salt"], "left").select("id", "n_shingles", F.coalesce("group", "id").alias("group"))
+    alone = sketch.where("not (n_shingles > 0 and id is not null)").select("id", "n_shingles", F.col("id").alias("group"))
+    rows = joined.unionByName(alone)
+    return rows.select(F.col("id").alias(key), F.col("n_shingles"), F.col("group").alias("component_id"), F.coalesce(F.col("id") == F.col("group"), F.lit(True)).alias("kept"))

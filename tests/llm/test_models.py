@@ -78,6 +78,17 @@ def test_groups_with_divided_buckets(make_docs, monkeypatch):
     assert got == python_groups(rows, 4, 80)
 
 
+def test_a_large_bucket_is_compared_whole(make_docs, monkeypatch):
+    """No link is lost in buckets beyond WORK, even where no further band brings a pair together."""
+    monkeypatch.setattr(neardup, "divided", lambda many, reps, depth: many.select("key", "id", "band").where("false"))
+    rng = random.Random(11)
+    rows = list(enumerate(near_texts(rng, 40, 12)))
+    whole = {r.doc_id: r.component_id for r in neardup.groups(make_docs(rows), words_per_shingle=4).collect()}
+    monkeypatch.setattr(neardup, "WORK", 0)
+    assert {r.doc_id: r.component_id for r in neardup.groups(make_docs(rows), words_per_shingle=4).collect()} == whole
+    assert whole == {k: v[1] for k, v in python_groups(rows, 4, 80).items()}
+
+
 def test_groups_of_odd_rows(make_docs):
     text = "a b c d e f g h i j k"
     docs = make_docs([(5, text), (5, text), (None, text), (9, text), (None, None), (7, "")]).withColumns({x: F.lit("q") for x in ("id", "class", "component", "bands", "key")})
