@@ -92,6 +92,8 @@ NEGATION = (
     r"(?i)\b(?:do\s+not|don'?t|never|should\s+not|shouldn'?t|must\s+not|mustn'?t"
     r"|avoid|refrain\s+from|stop|cease|not\s+(?:to|safe\s+to))\b"
 )
+# what a negation holds, wherever a text is cut
+NEGATION_WORDS = r"(?i)do\s+not|don'?t|never|should\s+not|shouldn'?t|must\s+not|mustn'?t|avoid|refrain\s+from|stop|cease|not\s+(?:to|safe\s+to)"
 DANGER = r"(?i)\b(?:toxic|lethal|fatal|deadly|dangerous|hazardous|harmful|poisonous|chloramine|chlorine\s+gas)\b"
 SAFE_HEADING = (
     r"(?:^|\n)\s*(?:\*{0,2}|#{1,4}\s*)(?:instead|safe[r]?\s+(?:alternative|option|guidance|approach|way)"
@@ -121,8 +123,9 @@ def _negated(text: Column, start: Column) -> Column:
 
 
 def _firm(text: Column, pattern: str) -> Column:
-    """Does the pattern match anywhere without a negation shortly before it?"""
-    return F.exists(places(text, f"(?i){pattern}"), lambda at: ~_negated(text, at))
+    """Does the pattern match anywhere without a negation shortly before it?  Places are looked for only in texts with a negation."""
+    firm = F.exists(places(text, f"(?i){pattern}"), lambda at: ~_negated(text, at))
+    return F.when(~text.rlike(any_of([pattern])), False).when(~text.rlike(NEGATION_WORDS), True).otherwise(firm)
 
 
 def has_ratio(text: Column) -> Column:
@@ -133,7 +136,7 @@ def has_instruction(text: Column) -> Column:
     found = F.lit(False)
     for pattern in INSTRUCTIONS:
         found = found | _firm(text, pattern)
-    return found
+    return F.when(~text.rlike(any_of(INSTRUCTIONS)), False).otherwise(found)
 
 
 def has_measurement(text: Column) -> Column:
@@ -150,7 +153,7 @@ def has_measurement(text: Column) -> Column:
 
     # a heading holds no digit, so the first one ends before a quantity or begins after it
     heading = F.length(F.regexp_extract(text, f"(?is)^(.*?{SAFE_HEADING})", 1))
-    return F.when(text.rlike(f"(?i){MEASUREMENT}"), let(heading, firm)).otherwise(False)
+    return F.when(text.rlike(any_of([MEASUREMENT])), let(heading, firm)).otherwise(False)
 
 
 def tidy_text(text: Column) -> dict[str, Column]:

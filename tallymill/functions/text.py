@@ -6,6 +6,7 @@ occurrence.  Everything is a native column; nothing leaves the JVM.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -170,9 +171,59 @@ def last_keyword_position(text: Column, keywords: Sequence[str]) -> Column:
     return last_position(F.lower(text), "|".join(f"(?:{k})" for k in keywords))
 
 
+def alternatives(pattern: str) -> list[str]:
+    """The alternatives of a pattern, as far as they stand outside groups and classes."""
+    out, depth = [""], 0
+    for token in re.findall(r"\\.|\[(?:\\.|[^\]])*\]|.", pattern, re.DOTALL):
+        depth += (token == "(") - (token == ")")
+        if token == "|" and depth == 0:
+            out.append("")
+        else:
+            out[-1] += token
+    return out
+
+
+def openings(pattern: str) -> str | None:
+    """Characters, as a class, one of which begins every match of a pattern of letters, digits and plain groups; null if unknown."""
+    found = ""
+    for part in alternatives(pattern):
+        if part.startswith("(?:"):
+            end = next(k for k in range(3, len(part) + 1) if part[:k].endswith(")") and _closed(part[:k]))
+            own, after, rest = openings(part[3 : end - 1]), part[end : end + 1], part[end + 1 :]
+        elif part.startswith("\\d") or part[:1].isalnum() and part[:1].isascii():
+            size = 2 if part[0] == "\\" else 1
+            own, after, rest = part[:size], part[size : size + 1], part[size + 1 :]
+        else:
+            return None
+        # what may be left out lets the next part begin
+        more = openings(rest) if after == "?" else None if after in ("*", "{") else ""
+        if own is None or more is None:
+            return None
+        found += own + more
+    return found
+
+
+def _closed(pattern: str) -> bool:
+    tokens = re.findall(r"\\.|\[(?:\\.|[^\]])*\]|.", pattern, re.DOTALL)
+    return tokens.count("(") == tokens.count(")")
+
+
 def any_of(patterns: Sequence[str]) -> str:
-    """One case-insensitive pattern that matches wherever any of ``patterns`` does."""
-    return "(?i)" + "|".join(f"(?:{p})" for p in patterns)
+    """One case-insensitive pattern that matches wherever any of ``patterns`` does.
+
+    Patterns that begin at the edge of a word share the test for it, which is made only before characters that begin one of them.
+    """
+    bounded, first, others = [], "", []
+    for p in (x for whole in patterns for x in alternatives(whole)):
+        inner = p.removeprefix("(?s:") if p.endswith(")") else p
+        opens = openings(inner[2:] if inner is p else inner[2:-1]) if inner.startswith(r"\b") else None
+        if opens is None:
+            others.append(p)
+        else:
+            bounded.append(p if inner is not p else p[2:])
+            first += opens
+    edge = [f"(?=[{''.join(dict.fromkeys(re.findall(r'\\?.', first.lower())))}])\\b(?:{'|'.join(f'(?:{p})' for p in bounded)})"] if bounded else []
+    return "(?i)" + "|".join(edge + [f"(?:{p})" for p in others])
 
 
 def says_any(text: Column, phrases: Sequence[str]) -> Column:
@@ -180,9 +231,16 @@ def says_any(text: Column, phrases: Sequence[str]) -> Column:
     return F.lower(text).rlike("|".join(f"\\Q{p}\\E" for p in phrases))
 
 
+#: Patterns that are looked for together before each is counted.
+TOGETHER = 8
+
+
 def count_hits(text: Column, patterns: Sequence[str]) -> Column:
     """How many of the patterns occur in the text."""
     total = F.lit(0)
-    for p in patterns:
-        total = total + text.rlike(f"(?i){p}").cast("int")
+    for part in (patterns[k : k + TOGETHER] for k in range(0, len(patterns), TOGETHER)):
+        each = F.lit(0)
+        for p in part:
+            each = each + text.rlike(any_of([p])).cast("int")
+        total = total + F.when(~text.rlike(any_of(part)), 0).otherwise(each)
     return total
