@@ -14,7 +14,7 @@ from tallymill.operators.score import score_numeric
 from tallymill.plans.extraction import CASCADE_VALUE_SQL
 from tallymill.plans.registry import query
 from tallymill.session import scratch_path
-from tallymill.sources.sinks import write_bucketed
+from tallymill.sources.sinks import buckets_for, write_bucketed
 
 ROW_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 KEY_SQL = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
@@ -42,8 +42,9 @@ def _(spark, sf):
     """The same join of a log and a test set that are stored in buckets of its key: no shuffle on either side."""
     cases = table(spark, sf, "orders").selectExpr("o_orderkey as l_orderkey", "o_orderpriority as priority", "o_orderstatus as origin")
     run = uuid.uuid4().hex
-    log = write_bucketed(eval_rows(spark, sf).select(*ROW_KEY, "test_id"), f"log_{run}", ["l_orderkey"], 8)
-    stored = write_bucketed(cases, f"cases_{run}", ["l_orderkey"], 8)
+    buckets = buckets_for(table(spark, sf, "lineitem"))
+    log = write_bucketed(eval_rows(spark, sf).select(*ROW_KEY, "test_id"), f"log_{run}", ["l_orderkey"], buckets)
+    stored = write_bucketed(cases, f"cases_{run}", ["l_orderkey"], buckets)
     return compare.join_testset(log, stored, ["l_orderkey"]).select(*ROW_KEY, "test_id", "priority", "origin")
 
 

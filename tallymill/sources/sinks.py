@@ -51,6 +51,12 @@ def write_bronze(rows: DataFrame, path: str, created: str = "created_at") -> Non
     dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_date", "model_name").parquet(path)
 
 
+def buckets_for(rows: DataFrame, per_bucket: int = 1_000_000, least: int = 8) -> int:
+    """Buckets that hold some ``per_bucket`` rows each, a power of two so that tables of other sizes can be joined in halves."""
+    wanted = max(least, -(-rows.count() // per_bucket))
+    return 1 << (wanted - 1).bit_length()
+
+
 def write_bucketed(rows: DataFrame, name: str, keys: Sequence[str], buckets: int, path: str | None = None) -> DataFrame:
     """``rows`` stored as the table ``name``, bucketed and sorted by ``keys``; returns the stored table.
 
