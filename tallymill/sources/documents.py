@@ -218,7 +218,8 @@ def write_documents(rows: DataFrame, path: str, run: Sequence[str], per_document
     """Scored rows as gzip result documents, one JSON document per line.
 
     A run with more than ``per_document`` rows becomes several documents, so the
-    array of one document, and the task that builds it, stays bounded.
+    array of one document, and the task that builds it, stays bounded.  Only those runs, of which there are
+    fewer than rows / ``per_document``, are joined to the rows, so rows are shuffled once.
     """
     c = F.col
     entry = F.struct(
@@ -232,10 +233,12 @@ def write_documents(rows: DataFrame, path: str, run: Sequence[str], per_document
         F.struct(c("correct"), c("match_type"), c("correct").cast("double").alias("accuracy")).alias("evaluation"),
     )
     sizes = rows.groupBy(*run).agg(F.ceil(F.count(F.lit(1)) / per_document).cast("int").alias("_shards"))
-    shard = F.pmod(F.xxhash64(*[c(x) for x in rows.columns]), c("_shards"))
-    keyed = rows.join(sizes.withColumnsRenamed({x: f"_{x}" for x in run}), [F.equal_null(c(x), c(f"_{x}")) for x in run])
+    parted = sizes.filter("_shards > 1").withColumnsRenamed({x: f"_{x}" for x in run})
+    shard = F.pmod(F.xxhash64(*[c(x) for x in rows.columns]), F.coalesce("_shards", F.lit(1)))
+    keyed = rows.join(F.broadcast(parted), [F.equal_null(c(x), c(f"_{x}")) for x in run], "left")
     documents = (
         keyed.withColumn("_shard", shard)
+        .repartition(*run, "_shard")  # a task holds few rows of a document, so lists are made after the shuffle only
         .groupBy(*run, "_shard")
         .agg(
             F.collect_list(entry).alias("results"),
