@@ -32,7 +32,8 @@ def run_catalog(documents: DataFrame, *file_columns: str) -> DataFrame:
 
 
 def newest_first(catalog: DataFrame, modified: str, *ties: str) -> DataFrame:
-    return catalog.orderBy(F.desc(modified), *ties)
+    """Sorted listing.  Its rows are shuffled before, as sorting reads its input twice, and documents should be read once."""
+    return catalog.repartition(modified, *ties).orderBy(F.desc(modified), *ties)
 
 
 def testset_catalog(cases: DataFrame, testset: str, order: str, sample: int = 5) -> DataFrame:
