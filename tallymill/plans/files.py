@@ -345,7 +345,7 @@ def _styled_documents(spark: SparkSession, sf: str) -> str:
         case = F.struct("test_id", "task_type", style.alias("prompt_metadata"))
         once = rows.dropDuplicates(["config_hash", "test_id"])
         sizes = once.groupBy(F.col("config_hash").alias("_c")).agg(F.ceil(F.count(F.lit(1)) / 5000).cast("int").alias("_shards"))
-        keyed = once.join(sizes, F.col("config_hash") == F.col("_c")).withColumn("_shard", F.pmod(F.xxhash64("test_id"), F.col("_shards")))
+        keyed = once.join(F.broadcast(sizes), F.col("config_hash") == F.col("_c")).withColumn("_shard", F.pmod(F.xxhash64("test_id"), F.col("_shards")))
         sets = keyed.groupBy("config_hash", "_shard").agg(F.collect_list(case).alias("test_cases"))
         sets.select(F.struct("config_hash").alias("metadata"), "test_cases").write.option("compression", "gzip").json(f"{path}/sets")
         bare = rows.withColumns({x: F.lit(None).cast("string") for x in ("user_style", "system_style", "task_params", "raw_response")})
