@@ -88,8 +88,13 @@ def literal_map(values: dict) -> Column:
 
 
 def one_of(value: Column, options: Iterable[str]) -> Column:
-    """Membership in a fixed list, made in one call."""
-    return F.array_contains(F.expr("array(" + ", ".join(sql_literal(x) for x in options) + ")"), value)
+    """Membership in a fixed list; Spark keeps a longer list as a hash set, so a look-up costs the same however long it is."""
+    return value.isin(*options)
+
+
+def looked_up(values: dict[str, str], key: Column) -> Column:
+    """Value of a key in a fixed dictionary, null if it has none; the entries are only gone through for a key among them."""
+    return F.when(one_of(key, values), F.try_element_at(literal_map(values), key))
 
 
 def task_type_from_id(test_id: Column, legacy: bool = False) -> Column:
