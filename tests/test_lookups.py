@@ -26,3 +26,19 @@ def test_a_thing_that_is_not_named_makes_no_pattern(spark):
 def test_number_words(spark):
     got = spark.createDataFrame([(" Seven. ",), ("nine hundred",), (None,)], "t string").select(rules.number_words(F.col("t"))).collect()
     assert [r[0] for r in got] == ["7", None, None]
+
+
+def test_containers_by_name(spark):
+    cases = [
+        ("Answer: the box", "box", r"\E(", "box", "answer_pattern"),
+        ("Surely she opens my red box", "red box", r"\E(", "red box", "direct_match"),
+        ("box basket", "box", "basket", "box", "direct_match"),
+        ("search a basket, **basket** or box. Or so she says it", "box", "basket", "basket", "bold_markdown"),
+        ("nothing", "box", "basket", None, "fallback"),
+        ("basket", None, "basket", "basket", "direct_match"),
+        ("box", "box", None, None, "fallback"),
+    ]
+    rows = spark.createDataFrame([c[:3] for c in cases], "t string, a string, b string")
+    out = extract(rows, "sally_anne", "t", {"container_a": F.col("a"), "container_b": F.col("b")})
+    got = [tuple(r) for r in out.select("answer.value", "answer.strategy").collect()]
+    assert got == [c[3:] for c in cases]
