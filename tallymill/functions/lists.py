@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,16 +20,17 @@ PROBABILITY_PHRASES = (
     "most probable|least probable|más probable|menos probable|plus probable|moins probable"
 )
 STATEMENT_PHRASES = "is a|works|trabaja|es |est |travaille"
-# Marks, likelihoods and brackets taken off a ranking entry, one step each, in this order.
+# Marks, likelihoods and brackets taken off a ranking entry, one step each, in this order; each
+# with the characters one of which it needs.
 ENTRY_STEPS = (
-    (r"\*\*([^*]+)\*\*", "$1"),
-    (r"\*([^*]+)\*", "$1"),
-    (r"__([^_]+)__", "$1"),
-    (r"_([^_]+)_", "$1"),
-    (r"(?i)\s*[:\-–—]\s*(?:Most|Least|Very|Highly)?\s*(?:Likely|Unlikely|Probable|Improbable|Possible)\s*", ""),
-    (r"(?i)\s*\([^)]*(?:likely|probable|fit|match|possible)[^)]*\)\s*", ""),
-    (r"\s*\([^)]*\d+[^)]*\)\s*$", ""),
-    (r"\s*\([^)]*\)\s*$", ""),
+    ("*", r"\*\*([^*]+)\*\*", "$1"),
+    ("*", r"\*([^*]+)\*", "$1"),
+    ("_", r"__([^_]+)__", "$1"),
+    ("_", r"_([^_]+)_", "$1"),
+    (":-–—", r"(?i)\s*[:\-–—]\s*(?:Most|Least|Very|Highly)?\s*(?:Likely|Unlikely|Probable|Improbable|Possible)\s*", ""),
+    ("(", r"(?i)\s*\([^)]*(?:likely|probable|fit|match|possible)[^)]*\)\s*", ""),
+    ("(", r"\s*\([^)]*\d+[^)]*\)\s*$", ""),
+    ("(", r"\s*\([^)]*\)\s*$", ""),
 )
 # Where an explanation begins; the first of each list that the entry contains cuts it.
 ENTRY_DASHES = ("–", "—", " - ")
@@ -46,11 +50,13 @@ def clean_entry(text: Column) -> Column:
     """
 
     def stripped(entry: Column) -> Column:
-        # every step needs one of these characters
         done = entry
-        for pattern, replacement in ENTRY_STEPS:
-            done = F.regexp_replace(done, pattern, replacement)
-        return F.when(entry.rlike(r"[*_(:–—-]"), done).otherwise(entry)
+        for needed, pattern, replacement in ENTRY_STEPS:
+            done = let(
+                done,
+                lambda e: F.when(reduce(or_, [e.contains(c) for c in needed]), F.regexp_replace(e, pattern, replacement)).otherwise(e),
+            )
+        return done
 
     def before_colon(entry: Column) -> Column:
         head = F.substring_index(entry, ":", 1)
@@ -92,18 +98,27 @@ def distinct_entries(entries: Column, limit: int | None = None, threshold: float
     def bare(entry: Column) -> Column:
         return F.struct(entry.alias("entry"), strip_ws(F.regexp_replace(F.lower(entry), r"[^a-z0-9\s]", "")).alias("bare"))
 
+    # with a word missing, n words and more overlap by (n - 1) / (n + 1) at most: up to this n only subsets are near
+    few = int((1 + threshold) / (1 - threshold)) - 1 if 0 <= threshold < 1 else 0
+
     def shape(e: Column) -> Column:
-        return F.struct(
-            e["entry"].alias("entry"),
-            F.array_distinct(F.split(e["bare"], r"\s+")).alias("words"),
-            F.regexp_replace(e["bare"], r"\s", "").alias("letters"),
-        )
+        def of(said: Column) -> Column:
+            return F.struct(e["entry"].alias("entry"), F.array_distinct(said).alias("words"), F.array_join(said, "").alias("letters"))
+
+        return let(F.split(e["bare"], r"\s+"), of)
+
+    def within(a: Column, b: Column) -> Column:
+        return F.forall(a["words"], lambda w: F.array_contains(b["words"], w))
 
     def near(a: Column, b: Column) -> Column:
-        common = F.size(F.array_intersect(a["words"], b["words"]))
         shorter = F.least(F.size(a["words"]), F.size(b["words"]))
-        combined = F.size(a["words"]) + F.size(b["words"]) - common
-        return (a["letters"] == b["letters"]) | (common == shorter) | (common / combined > threshold)
+        subset = F.when(F.size(a["words"]) <= F.size(b["words"]), within(a, b)).otherwise(within(b, a))
+
+        def alike(common: Column) -> Column:
+            return (common == shorter) | (common / (F.size(a["words"]) + F.size(b["words"]) - common) > threshold)
+
+        overlap = let(F.size(F.array_intersect(a["words"], b["words"])), alike)
+        return (a["letters"] == b["letters"]) | F.when(shorter <= few, subset).otherwise(overlap)
 
     def add(kept: Column, entry: Column) -> Column:
         return F.when(F.exists(kept, lambda k: near(entry, k)), kept).otherwise(F.concat(kept, F.array(entry)))

@@ -1,8 +1,10 @@
 """Look-ups in fixed lists, container names and ranking entries: what is not needed is not computed per row."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from tallymill.functions import rules
+from tallymill.functions import lists, rules
 from tallymill.functions.identity import looked_up, one_of
 from tallymill.operators.extract import extract
 
@@ -42,3 +44,36 @@ def test_containers_by_name(spark):
     out = extract(rows, "sally_anne", "t", {"container_a": F.col("a"), "container_b": F.col("b")})
     got = [tuple(r) for r in out.select("answer.value", "answer.strategy").collect()]
     assert got == [c[3:] for c in cases]
+
+
+def near(a, b, threshold):
+    x, y = set(a.split()), set(b.split())
+    common = len(x & y)
+    return a.replace(" ", "") == b.replace(" ", "") or common == min(len(x), len(y)) or common / len(x | y) > threshold
+
+
+def test_distinct_entries(spark):
+    rng = random.Random(1)
+    data = []
+    for _ in range(80):
+        words = rng.sample([f"w{i}" for i in range(rng.choice([5, 18]))], 5 if rng.random() < 0.5 else 4)
+        data.append([" ".join(rng.choices(words + ["xx", "y"] + [f"z{i}" for i in range(rng.choice([0, 25]))], k=rng.randint(2, 40))) for _ in range(6)])
+    base = [f"v{i}" for i in range(20)]
+    data += [[" ".join(base), " ".join(base[:-1] + ["other"]), " ".join(base[:-4] + ["a1", "a2", "a3", "a4"])]]
+    for threshold in (0.85, 0.3, 1.0, 0.0):
+        items = spark.createDataFrame([(d,) for d in data], "e array<string>")
+        df = items.select(lists.distinct_entries(F.col("e"), threshold=threshold).alias("d"))
+        # sets too small to overlap without one holding the other are not intersected
+        assert "forall" in df._jdf.queryExecution().optimizedPlan().toString()
+        for entries, got in zip(data, [r.d for r in df.collect()]):
+            kept = []
+            for e in entries:
+                if len(e) >= 5 and not any(near(e, k, threshold) for k in kept):
+                    kept.append(e)
+            assert got == kept
+
+
+def test_clean_entry(spark):
+    cases = {"**A b** (likely)": "A b", "_C_ d": "C d", "__E__: Very likely": "E", "F (12)": "F", "G – h": "G", "I-possible j": "Ij", "K": "K", "* l": "* l"}
+    rows = spark.createDataFrame([(c,) for c in cases], "t string")
+    assert [r[0] for r in rows.select(lists.clean_entry(F.col("t"))).collect()] == list(cases.values())
