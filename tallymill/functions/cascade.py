@@ -45,10 +45,16 @@ class Rule:
 
 
 def hit(text: Column, rules: Sequence[Rule]) -> Column:
-    """Encoded first hit of the rules, null if none hits."""
-    return F.coalesce(
-        *[F.concat(F.lit(f"{i}{SEPARATOR}"), r.value(text)) for i, r in enumerate(rules)], F.lit(None).cast("string")
-    )
+    """Encoded first hit of the rules, null if none hits.
+
+    The rules run on a variable (``let``), so none of them ends up in the generated code of the row, whose
+    method the JVM compiles only while it is short (8,000 bytes).
+    """
+
+    def tried(t: Column) -> Column:
+        return F.coalesce(*[F.concat(F.lit(f"{i}{SEPARATOR}"), r.value(t)) for i, r in enumerate(rules)], F.lit(None).cast("string"))
+
+    return let(text, tried)
 
 
 def decode(
@@ -83,15 +89,18 @@ def by_kind(kind: Column, table: dict[str, Sequence[Rule]], default: str, text:
         offsets[name] = len(rules)
         rules.extend(part)
 
-    def numbered(name: str) -> Column:
+    def numbered(name: str, t: Column) -> Column:
         base = offsets[name]
         return F.coalesce(
-            *[F.concat(F.lit(f"{base + i}{SEPARATOR}"), r.value(text)) for i, r in enumerate(table[name])],
+            *[F.concat(F.lit(f"{base + i}{SEPARATOR}"), r.value(t)) for i, r in enumerate(table[name])],
             F.lit(None).cast("string"),
         )
 
-    chosen = None
-    for name in table:
-        if name != default:
-            chosen = F.when(kind == name, numbered(name)) if chosen is None else chosen.when(kind == name, numbered(name))
-    return (numbered(default) if chosen is None else chosen.otherwise(numbered(default))), rules
+    def tried(t: Column) -> Column:
+        chosen = None
+        for name in table:
+            if name != default:
+                chosen = F.when(kind == name, numbered(name, t)) if chosen is None else chosen.when(kind == name, numbered(name, t))
+        return numbered(default, t) if chosen is None else chosen.otherwise(numbered(default, t))
+
+    return let(text, tried), rules

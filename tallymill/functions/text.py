@@ -167,8 +167,12 @@ def last_start(text: Column, patterns: Sequence[str]) -> Column:
 
 
 def last_keyword_position(text: Column, keywords: Sequence[str]) -> Column:
-    """Start offset of the last occurrence of any keyword pattern, ignoring case; -1 if none."""
-    return last_position(F.lower(text), "|".join(f"(?:{k})" for k in keywords))
+    """Start offset of the last occurrence of any keyword pattern, ignoring case; -1 if none.
+
+    The search from the end, which goes back one place at a time, only runs on texts with one of them.
+    """
+    low = F.lower(text)
+    return F.when(low.rlike(any_of(keywords)), last_position(low, "|".join(f"(?:{k})" for k in keywords))).otherwise(-1)
 
 
 def alternatives(pattern: str) -> list[str]:
