@@ -99,15 +99,16 @@ def versions(spark, sf):
     """
     rows = eval_rows(spark, sf).withColumn("config_hash", F.when(F.col("system_style") != "casual", F.col("l_partkey").cast("string")))
     columns = ["config_hash", "test_id", "model_name", "task_type", "l_linenumber", "l_suppkey", F.col("match_type").alias("value")]
-    first = rows.where("status = 'success'").select(*columns, "correct")
     lenient = (F.col("match_type") == "type_error") | ((F.col("match_type") == "exact") & (F.col("duration") < 5))
-    second = rows.where("task_type <> 'linda_fallacy'").select(*columns, lenient.alias("correct"))
-    out = []
-    for name, df in (("first", first), ("second", second)):
-        path = scratch_path(spark, f"version-{name}")
-        df.write.parquet(path)
-        out.append(spark.read.parquet(path))
-    return out
+    first = F.when(F.col("status") == "success", F.struct(F.lit("first").alias("version"), "correct"))
+    second = F.when(F.col("task_type") != "linda_fallacy", F.struct(F.lit("second").alias("version"), lenient.alias("correct")))
+    # both versions are written in one pass, each to its own folder, so the log is joined and read once
+    path = scratch_path(spark, "versions")
+    said = F.explode(F.array_compact(F.array(first, second))).alias("said")
+    both = rows.select(*columns, said).select(*columns[:-1], "value", "said.correct", "said.version")
+    both.write.partitionBy("version").parquet(path)
+    written = spark.read.schema(both.schema).parquet(path)
+    return [written.where(F.col("version") == name).drop("version") for name in ("first", "second")]
 
 
 _VERSIONS_SQL = f"""{EVAL_ROWS_SQL}, e AS (SELECT *, CASE WHEN system_style <> 'casual' THEN CAST(l_partkey AS VARCHAR) END AS config_hash FROM eval_rows),
