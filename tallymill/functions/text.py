@@ -69,7 +69,16 @@ def text_normalise(text: Column) -> Column:
 def words(text: Column) -> Column:
     """Word set of a text: lower case, punctuation dropped, distinct."""
     flat = F.regexp_replace(F.lower(text), r"[^\w\s]", "")
-    return F.array_distinct(F.filter(F.split(flat, r"\s+"), lambda w: w != ""))
+    return word_set(flat)
+
+
+def word_list(flat: Column) -> Column:
+    """What stands between white space.  Split at single blanks, as Spark compiles any longer pattern of a split anew for each row."""
+    return F.array_remove(F.split(F.regexp_replace(flat, r"[\t-\r]", " "), " "), "")
+
+
+def word_set(flat: Column) -> Column:
+    return F.array_distinct(word_list(flat))
 
 
 def _pattern(pattern: str | Column) -> Column:
