@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallymill.functions.text import first_match, last_match, strip_ws
+from tallymill.functions.text import first_match, last_match, strip_verification_tail, strip_ws
 
 SEPARATOR = "\u0001"
 
@@ -26,7 +26,10 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 @dataclass(frozen=True)
 class Rule:
-    """One strategy: a pattern whose last match (or first) is cleaned, or a free column function."""
+    """One strategy: a pattern whose last match (or first) is cleaned, or a free column function.
+
+    A rule that is ``kept`` reads the text without its verification section, which is cut off once for all of them.
+    """
 
     strategy: str
     confidence: float
@@ -35,6 +38,7 @@ class Rule:
     clean: Callable[[Column], Column] | None = None
     find: Callable[[Column], Column] | None = None
     first: bool = False
+    kept: bool = False
 
     def value(self, text: Column) -> Column:
         if self.find is not None:
@@ -44,17 +48,26 @@ class Rule:
         return found if self.clean is None else let(found, self.clean)
 
 
+def tried(text: Column, rules: Sequence[Rule], base: int = 0) -> Column:
+    """Encoded first hit of the rules, numbered from ``base``; the text is cut when the first rule asks for that."""
+
+    def encoded(part: Sequence[tuple[int, Rule]], kept: Column) -> list[Column]:
+        return [F.concat(F.lit(f"{base + i}{SEPARATOR}"), r.value(kept if r.kept else text)) for i, r in part]
+
+    numbered = list(enumerate(rules))
+    cut = next((i for i, r in numbered if r.kept), len(numbered))
+    none = F.lit(None).cast("string")
+    rest = [let(strip_verification_tail(text), lambda kept: F.coalesce(*encoded(numbered[cut:], kept), none))] if numbered[cut:] else []
+    return F.coalesce(*encoded(numbered[:cut], text), *rest, none)
+
+
 def hit(text: Column, rules: Sequence[Rule]) -> Column:
     """Encoded first hit of the rules, null if none hits.
 
     The rules run on a variable (``let``), so none of them ends up in the generated code of the row, whose
     method the JVM compiles only while it is short (8,000 bytes).
     """
-
-    def tried(t: Column) -> Column:
-        return F.coalesce(*[F.concat(F.lit(f"{i}{SEPARATOR}"), r.value(t)) for i, r in enumerate(rules)], F.lit(None).cast("string"))
-
-    return let(text, tried)
+    return let(text, lambda t: tried(t, rules))
 
 
 def decode(
@@ -90,17 +103,13 @@ def by_kind(kind: Column, table: dict[str, Sequence[Rule]], default: str, text:
         rules.extend(part)
 
     def numbered(name: str, t: Column) -> Column:
-        base = offsets[name]
-        return F.coalesce(
-            *[F.concat(F.lit(f"{base + i}{SEPARATOR}"), r.value(t)) for i, r in enumerate(table[name])],
-            F.lit(None).cast("string"),
-        )
+        return tried(t, table[name], offsets[name])
 
-    def tried(t: Column) -> Column:
+    def of_kind(t: Column) -> Column:
         chosen = None
         for name in table:
             if name != default:
                 chosen = F.when(kind == name, numbered(name, t)) if chosen is None else chosen.when(kind == name, numbered(name, t))
         return numbered(default, t) if chosen is None else chosen.otherwise(numbered(default, t))
 
-    return let(text, tried), rules
+    return let(text, of_kind), rules

@@ -82,7 +82,17 @@ def word_set(flat: Column) -> Column:
 
 
 def _pattern(pattern: str | Column) -> Column:
-    return pattern if isinstance(pattern, Column) else F.lit(pattern)
+    return pattern if isinstance(pattern, Column) else F.lit(looked_ahead(pattern))
+
+
+def looked_ahead(pattern: str) -> str:
+    """A pattern that begins with a choice of words, with a test for their first characters before it; others as they are.
+
+    The words are then only tried one by one at places where one of them can begin.
+    """
+    flags, rest = re.match(r"((?:\(\?[a-zA-Z]+\))?)(.*)", pattern, re.DOTALL).groups()
+    first = openings(rest) if rest.startswith("(?:") and len(alternatives(rest)) == 1 else None
+    return pattern if not first else f"{flags}(?=[{''.join(dict.fromkeys(re.findall(r'\\?.', first)))}]){rest}"
 
 
 def all_matches(text: Column, pattern: str | Column, group: int = 0) -> Column:
@@ -152,8 +162,12 @@ def last_sentences(text: Column, n: int = 3) -> Column:
 
 def strip_verification_tail(text: Column) -> Column:
     """Cut a text at its first verification header, unless nothing would be left."""
-    head = F.regexp_extract(text, f"(?is)^(.*?){VERIFICATION_HEADER}", 1)
-    return F.when(text.rlike(f"(?i){VERIFICATION_HEADER}"), F.coalesce(F.nullif(F.rtrim(head, F.lit(WHITE)), F.lit("")), text)).otherwise(text)
+    head = F.regexp_replace(text, f"(?is){VERIFICATION_HEADER}.*", "")  # no shorter without a header
+
+    def cut(h: Column) -> Column:
+        return F.when(h == text, text).otherwise(F.coalesce(F.nullif(F.rtrim(h, F.lit(WHITE)), F.lit("")), text))
+
+    return F.get(F.transform(F.array(head), cut), 0)
 
 
 def last_position(text: Column, pattern: str) -> Column:
@@ -241,7 +255,16 @@ def any_of(patterns: Sequence[str]) -> str:
 
 def says_any(text: Column, phrases: Sequence[str]) -> Column:
     """Does the lower-cased text contain any of the literal phrases?"""
-    return F.lower(text).rlike("|".join(f"\\Q{p}\\E" for p in phrases))
+    return F.lower(text).rlike(by_first([p[0] for p in phrases], [p[1:] for p in phrases], quote=True))
+
+
+def by_first(firsts: Sequence[str], rests: Sequence[str], quote: bool = False) -> str:
+    """Choice of words given as first character and rest, grouped by the first character, which is tested before any of them is tried."""
+    groups: dict[str, list[str]] = {}
+    for first, rest in zip(firsts, rests):
+        groups.setdefault(first, []).append(f"\\Q{rest}\\E" if quote and rest else rest)
+    mark = lambda c: c if c.isalnum() else f"\\{c}"
+    return f"(?=[{''.join(map(mark, groups))}])(?:" + "|".join(f"{mark(c)}(?:{'|'.join(r)})" for c, r in groups.items()) + ")"
 
 
 #: Patterns that are looked for together before each is counted.
