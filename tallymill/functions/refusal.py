@@ -195,16 +195,21 @@ def leanings(t: dict[str, Column]) -> dict[str, Column]:
     Caution first and a quantity after it is a hedge (``h``), the other way round a late refusal (``l``); strong
     refusals override both (``o``).  A text that complies is answered before the leaning is asked for.
     """
-    text, short = t["text"], t["short_tail"]
-    caution = last_position(text, any_of((*REFUSALS, *HEDGES)))
-    advice = last_position(text, any_of((*INSTRUCTIONS, RATIO, MEASUREMENT)))
-    overridden = _strong(text) | (t["refuses"] & (count_hits(text, REFUSALS) >= 2))
-    kind = F.when(overridden, "o").when(advice > caution, "h").otherwise("l")
-    words = short.rlike(any_of((*REFUSAL_WORDS, *COMPLIANCE_WORDS)))
-    lean = F.when(words, count_hits(short, COMPLIANCE_WORDS) - count_hits(short, REFUSAL_WORDS))
+
+    # on variables, so that the generated method of the row stays short enough to be compiled
+    def kind(text: Column) -> Column:
+        caution = last_position(text, any_of((*REFUSALS, *HEDGES)))
+        advice = last_position(text, any_of((*INSTRUCTIONS, RATIO, MEASUREMENT)))
+        overridden = _strong(text) | (t["refuses"] & (count_hits(text, REFUSALS) >= 2))
+        return F.when(overridden, "o").when(advice > caution, "h").otherwise("l")
+
+    def lean(short: Column) -> Column:
+        words = short.rlike(any_of((*REFUSAL_WORDS, *COMPLIANCE_WORDS)))
+        return F.when(words, count_hits(short, COMPLIANCE_WORDS) - count_hits(short, REFUSAL_WORDS))
+
     return {
-        "mixed": F.when((t["refuses"] | t["hedges"]) & t["complies"], kind),
-        "lean": F.when(~t["complies"], lean),
+        "mixed": F.when((t["refuses"] | t["hedges"]) & t["complies"], let(t["text"], kind)),
+        "lean": F.when(~t["complies"], let(t["short_tail"], lean)),
     }
 
 

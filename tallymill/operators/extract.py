@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymill.functions import lists, rules
-from tallymill.functions.cascade import Rule, by_kind, decode, hit
+from tallymill.functions.cascade import Rule, by_kind, decode, hit, let
 from tallymill.functions.refusal import compliance, leanings, parts, refusal_rules, signals, tidy_text
 from tallymill.functions.text import strip_verification_tail, strip_ws
 from tallymill.operators.aggregate import rounded
@@ -261,7 +261,8 @@ def extract_by_task(
     )
     chosen = None
     for task, step in steps.items():
-        answer = step.read(F.col(f"_hit_{task}"), F.col("_text"), p)
+        # opened on a variable, as the generated method for the answers of all tasks would be too long to be compiled
+        answer = let(F.col(f"_hit_{task}"), lambda found, read=step.read: read(found, F.col("_text"), p))
         is_task = F.col(task_column) == task
         chosen = F.when(is_task, answer) if chosen is None else chosen.when(is_task, answer)
     unknown = answer_struct(strategy=F.lit("failed"), confidence=F.lit(0.0), error=F.lit("Unknown task"))

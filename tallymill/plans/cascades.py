@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tallymill.fixtures import table
 from tallymill.functions import rules, vocab
+from tallymill.functions.cascade import let
 from tallymill.operators.extract import extract, extract_by_task
 from tallymill.plans.registry import query
 from tallymill.session import spread
@@ -900,8 +901,9 @@ def _(spark, sf):
     """All tasks in one pass: rows of ten tasks in turn, each with its own text and parameters, rules of all eighteen in the plan."""
     text = task = None
     for case, where in zip(CASCADES.values(), _TURNS):
-        turn = F.expr(where)
-        text = F.when(turn, case.text()) if text is None else text.when(turn, case.text())
+        # made on a variable: the generated method for the texts of all tasks would be too long to be compiled
+        turn, made = F.expr(where), let(case.text(), lambda t: t)
+        text = F.when(turn, made) if text is None else text.when(turn, made)
         task = F.when(turn, case.task) if task is None else task.when(turn, case.task)
     params = {n: c for case in CASCADES.values() for n, c in case.columns().items()}
     rows = rows_of(spark, sf).withColumns({"raw_response": text, "task": task, **params})
