@@ -899,12 +899,13 @@ _ALL_SQL = " UNION ALL ".join(f"SELECT '{c.task}' AS task, * FROM ({c.sql(where)
 @query("extract_all_tasks", _ALL_SQL)
 def _(spark, sf):
     """All tasks in one pass: rows of ten tasks in turn, each with its own text and parameters, rules of all eighteen in the plan."""
-    text = task = None
+    text = None
     for case, where in zip(CASCADES.values(), _TURNS):
-        # made on a variable: the generated method for the texts of all tasks would be too long to be compiled
-        turn, made = F.expr(where), let(case.text(), lambda t: t)
-        text = F.when(turn, made) if text is None else text.when(turn, made)
-        task = F.when(turn, case.task) if task is None else task.when(turn, case.task)
+        turn = F.expr(where)
+        text = F.when(turn, case.text()) if text is None else text.when(turn, case.text())
+    # on a variable, which keeps this step out of the one generated method of its stage: with the texts of all
+    # tasks that would be too long to be compiled
+    task = let(F.expr(f"{_TURN} % {len(CASCADES)}"), lambda turn: F.coalesce(*[F.when(turn == i, name) for i, name in enumerate(CASCADES)]))
     params = {n: c for case in CASCADES.values() for n, c in case.columns().items()}
     rows = rows_of(spark, sf).withColumns({"raw_response": text, "task": task, **params})
     out = extract_by_task(rows, "task", "raw_response", {n: F.col(n) for n in params})

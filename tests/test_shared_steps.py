@@ -83,3 +83,11 @@ def test_methods_of_all_tasks_are_compiled(spark, sf, capsys, name):
         spark.conf.set("spark.sql.adaptive.enabled", before)
     sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
     assert sizes and max(sizes) <= JIT_LIMIT
+
+
+def test_all_tasks_with_missing_keys(spark, tmp_path):
+    schema = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double"
+    rows = [(k, k % 7, None if k % 3 == 0 else k, None if k % 4 == 0 else k, None if k % 5 == 0 else 3.0) for k in range(60)]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = QUERIES["extract_all_tasks"](spark, str(tmp_path)).collect()
+    assert len(got) == 60 and sum(r.task is None for r in got) == 20
