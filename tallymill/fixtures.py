@@ -8,39 +8,66 @@ below define the same views for the check engine.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymill.functions.identity import task_type_from_id
 from tallymill.session import spread
 
+TASKS = ("arithmetic", "game_of_life", "time_arithmetic", "carwash", "linda_fallacy", "grid_tasks")
+USER_STYLES = ("minimal", "casual", "linguistic")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _raw_task():
+def raw_task() -> Column:
+    return (
+        F.when(F.col("p_type") == "STANDARD", TASKS[0])
+        .when(F.col("p_type") == "SMALL", TASKS[1])
+        .when(F.col("p_type") == "MEDIUM", TASKS[2])
+        .when(F.col("p_type") == "LARGE", TASKS[3])
+        .when(F.col("p_type") == "ECONOMY", TASKS[4])
+        .otherwise(TASKS[5])
+    )
+
+
+def case_name() -> Column:
+    """``test_id`` from ``l_orderkey`` and ``p_type``."""
+    key = F.col("l_orderkey").cast("string")
+    return F.concat(F.lit("multi_"), F.lpad(key, F.greatest(F.length(key), F.lit(7)), F.lit("0")), F.lit("_"), raw_task())
+
+
+def model_name(run: str = "run_id") -> Column:
+    return F.concat(F.lit("model"), F.expr(f"cast({run} % 6 as string)"))
+
+
+def quantization(run: str = "run_id") -> Column:
     return (
-        F.when(F.col("p_type") == "STANDARD", "arithmetic")
-        .when(F.col("p_type") == "SMALL", "game_of_life")
-        .when(F.col("p_type") == "MEDIUM", "time_arithmetic")
-        .when(F.col("p_type") == "LARGE", "carwash")
-        .when(F.col("p_type") == "ECONOMY", "linda_fallacy")
-        .otherwise("grid_tasks")
+        F.when(F.expr(f"{run} % 5 = 0"), "F16")
+        .when(F.expr(f"{run} % 5 = 1"), "Q8_0")
+        .when(F.expr(f"{run} % 5 = 2"), "Q4_K_M")
+        .when(F.expr(f"{run} % 5 = 3"), "Q2_K")
     )
 
 
+def system_style() -> Column:
+    return F.when(F.expr("l_partkey % 3 = 0"), "analytical").when(F.expr("l_partkey % 3 = 1"), "casual").otherwise("adversarial")
+
+
+def input_tokens() -> Column:
+    return F.expr("cast(l_quantity * 4 as int)")
+
+
+def output_tokens() -> Column:
+    return F.expr("cast(l_quantity * l_linenumber as int)")
+
+
 def eval_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One scored response per line item (lineitem joined with part)."""
     lines = spread(table(spark, sf_dir, "lineitem"))
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand", "p_size")
-    key = F.col("l_orderkey").cast("string")
-    quantization = (
-        F.when(F.expr("l_suppkey % 5 = 0"), "F16")
-        .when(F.expr("l_suppkey % 5 = 1"), "Q8_0")
-        .when(F.expr("l_suppkey % 5 = 2"), "Q4_K_M")
-        .when(F.expr("l_suppkey % 5 = 3"), "Q2_K")
-    )
     status = F.when(F.col("l_tax") >= 0.08, "error").otherwise("success")
     match_type = (
         F.when(F.col("l_tax") >= 0.08, F.lit(None).cast("string"))
@@ -64,28 +91,20 @@ def eval_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
             "p_type",
             "p_brand",
             "p_size",
-            F.concat(
-                F.lit("multi_"),
-                F.lpad(key, F.greatest(F.length(key), F.lit(7)), F.lit("0")),
-                F.lit("_"),
-                _raw_task(),
-            ).alias("test_id"),
-            F.concat(F.lit("model"), F.expr("cast(l_suppkey % 6 as string)")).alias("model_name"),
-            quantization.alias("quantization"),
-            F.when(F.col("l_returnflag") == "A", "minimal")
-            .when(F.col("l_returnflag") == "N", "casual")
-            .otherwise("linguistic")
+            case_name().alias("test_id"),
+            model_name("l_suppkey").alias("model_name"),
+            quantization("l_suppkey").alias("quantization"),
+            F.when(F.col("l_returnflag") == "A", USER_STYLES[0])
+            .when(F.col("l_returnflag") == "N", USER_STYLES[1])
+            .otherwise(USER_STYLES[2])
             .alias("user_style"),
-            F.when(F.expr("l_partkey % 3 = 0"), "analytical")
-            .when(F.expr("l_partkey % 3 = 1"), "casual")
-            .otherwise("adversarial")
-            .alias("system_style"),
+            system_style().alias("system_style"),
             status.alias("status"),
             match_type.alias("match_type"),
             F.coalesce(match_type == "exact", F.lit(False)).alias("correct"),
             (F.col("l_extendedprice") / 10000).alias("duration"),
-            F.expr("cast(l_quantity * 4 as int)").alias("input_tokens"),
-            F.expr("cast(l_quantity * l_linenumber as int)").alias("output_tokens"),
+            input_tokens().alias("input_tokens"),
+            output_tokens().alias("output_tokens"),
         )
         .withColumn("task_type", task_type_from_id(F.col("test_id")))
     )

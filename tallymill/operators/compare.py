@@ -24,11 +24,13 @@ def with_styles(results: DataFrame, cases: DataFrame) -> DataFrame:
     Producers write styles into the test set only; a style that a row already has stays.
     """
     said = lambda key: F.try_element_at("prompt_metadata", F.lit(key)).alias(f"_{key}")
-    named = cases.select(F.col("config_hash").alias("_config"), F.col("test_id").alias("_test"), *map(said, ("user_style", "system_style", "language")))
-    same = F.equal_null("config_hash", "_config") & (F.col("test_id") == F.col("_test"))
-    joined = results.join(named.dropDuplicates(["_config", "_test"]), same, "left")
+    # a null configuration is one like others; in two columns it is a plain key, so cases are shuffled once for both steps
+    key = lambda: (F.coalesce("config_hash", F.lit("")), F.isnull("config_hash"), F.col("test_id"))
+    names = ("_config", "_bare", "_test")
+    named = cases.select(*(x.alias(n) for x, n in zip(key(), names)), *map(said, ("user_style", "system_style", "language")))
+    joined = results.join(named.dropDuplicates([*names]), [x == F.col(n) for x, n in zip(key(), names)], "left")
     columns = {x: F.coalesce(x, f"_{x}") for x in ("user_style", "system_style")} | {"language": F.col("_language")}
-    return joined.withColumns(columns).drop("_config", "_test", "_user_style", "_system_style", "_language")
+    return joined.withColumns(columns).drop(*names, "_user_style", "_system_style", "_language")
 
 
 def lookup_join(rows: DataFrame, lookup: DataFrame, key: str, lookup_key: str) -> DataFrame:

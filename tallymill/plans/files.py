@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.fixtures import EVAL_ROWS_SQL, RESPONSES_SQL, eval_rows, responses, table
+from tallymill.fixtures import (
+    EVAL_ROWS_SQL, RESPONSES_SQL, TASKS, USER_STYLES, case_name, eval_rows, input_tokens, model_name, output_tokens, quantization, raw_task, responses,
+    system_style, table,
+)
+from tallymill.functions.identity import task_type_from_id
 from tallymill.operators import aggregate as agg
 from tallymill.operators import compare
 from tallymill.operators.aggregate import rounded
 from tallymill.plans.aggregates import GOOD, OK
 from tallymill.plans.registry import query
-from tallymill.session import scratch_path
+from tallymill.session import remove, scratch_path, shuffles_dropped
 from tallymill.sources import catalog, documents, sinks, texts
 
 _RUN = ["run_id", "model_name", "quantization", "user_style", "system_style"]
@@ -331,27 +335,64 @@ def _(spark, sf):
     return bronze.groupBy("model_name").agg(F.count(F.lit(1)).alias("total"), F.count_if("correct").alias("correct"))
 
 
+#: Tests whose ids leave the same remainder get their styles together, one share after the other, so the shuffled rows of one
+#: share only are on disk at a time.  The documents are read once for each.
+STYLE_SLICES = 2
+
+
 def _styled_documents(spark: SparkSession, sf: str) -> str:
-    """Result documents without styles, as producers write them, beside the test sets that have them."""
+    """Result documents without styles, as producers write them, beside the test sets that have them.
+
+    Line items meet their parts once, in columns on disk, which take less room than shuffled rows.  Names are made after each
+    shuffle, from what they consist of.
+    """
+    test_id = F.concat_ws("_", case_name(), "run_id", "l_linenumber", "l_partkey")
+    parts = ["run_id", "l_orderkey", "l_linenumber", "l_partkey", "p_type"]
+    number = lambda run: F.pmod(run, F.lit(7))
+    config_hash = lambda of: F.concat(F.lit("set-"), of.cast("string"))
+
+    def write_results(log: DataFrame, path: str) -> None:
+        made = {x: F.lit(None).cast("string") for x in ("user_style", "system_style", "task_params", "raw_response")} | {
+            "test_id": test_id,
+            "model_name": model_name(),
+            "quantization": quantization(),
+            "config_hash": config_hash(number("run_id")),
+            "input_tokens": input_tokens(),
+            "output_tokens": output_tokens(),
+            "correct": F.coalesce(F.col("match_type") == "exact", F.lit(False)),
+        }
+        bare = log.select(*parts, "l_quantity", "duration", "status", "match_type")
+        documents.write_documents(bare, path, ["run_id"], per_document=2000, made=made)
+
+    def write_sets(log: DataFrame, path: str) -> None:
+        # rows of a case are of one document, so one shuffle serves both to keep one of them and to make the list; rows are
+        # counted, not cases, so sets with repeated rows have more and smaller documents
+        sizes = log.groupBy(number("run_id").alias("_s")).agg(F.ceil(F.count(F.lit(1)) / 5000).alias("_shards"))
+        keyed = log.join(F.broadcast(sizes), number("run_id") == F.col("_s"))
+        document = (F.pmod(F.xxhash64(test_id), F.col("_shards")) * 7 + F.col("_s")).alias("_document")
+        # what is kept of a case is numbers, so cases are hashed, not sorted
+        styles, tasks = (F.array(*map(F.lit, x)) for x in (USER_STYLES, TASKS))
+        task = F.when(F.col("l_orderkey").isNotNull(), F.array_position(tasks, raw_task()).cast("int"))
+        numbers = [F.array_position(styles, F.col("user_style")).cast("int").alias("_style"), task.alias("_task")]
+        dealt = keyed.select(document, *parts, *numbers).repartition("_document")
+        once = dealt.select("_document", test_id.alias("test_id"), "l_partkey", "_style", "_task").dropDuplicates(["_document", "test_id"])
+        style = {"user_style": F.element_at(styles, F.col("_style")), "system_style": system_style(), "language": F.lit("en")}
+        said = F.create_map(*(x for key, value in style.items() for x in (F.lit(key), value)))
+        case = F.struct("test_id", task_type_from_id(F.element_at(tasks, F.col("_task"))).alias("task_type"), said.alias("prompt_metadata"))
+        sets = once.groupBy("_document").agg(F.collect_list(case).alias("test_cases"))
+        sets = sets.select(F.struct(config_hash(number("_document")).alias("config_hash")).alias("metadata"), "test_cases")
+        sets.write.option("compression", "gzip").json(path)
 
     def write(path: str) -> None:
-        rows = eval_rows(spark, sf).withColumns(
-            {
-                "config_hash": F.concat(F.lit("set-"), F.pmod("run_id", F.lit(7)).cast("string")),
-                "test_id": F.concat_ws("_", "test_id", "run_id", "l_linenumber", "l_partkey"),
-            }
-        )
-        style = F.create_map(F.lit("user_style"), F.col("user_style"), F.lit("system_style"), F.col("system_style"), F.lit("language"), F.lit("en"))
-        case = F.struct("test_id", "task_type", style.alias("prompt_metadata"))
-        once = rows.dropDuplicates(["config_hash", "test_id"])
-        sizes = once.groupBy(F.col("config_hash").alias("_c")).agg(F.ceil(F.count(F.lit(1)) / 5000).cast("int").alias("_shards"))
-        keyed = once.join(F.broadcast(sizes), F.col("config_hash") == F.col("_c")).withColumn("_shard", F.pmod(F.xxhash64("test_id"), F.col("_shards")))
-        sets = keyed.groupBy("config_hash", "_shard").agg(F.collect_list(case).alias("test_cases"))
-        sets.select(F.struct("config_hash").alias("metadata"), "test_cases").write.option("compression", "gzip").json(f"{path}/sets")
-        bare = rows.withColumns({x: F.lit(None).cast("string") for x in ("user_style", "system_style", "task_params", "raw_response")})
-        run = ["run_id", "model_name", "quantization", "user_style", "system_style", "config_hash"]
-        keep = [*run, "test_id", "status", "duration", "task_params", "raw_response", "input_tokens", "output_tokens", "correct", "match_type"]
-        documents.write_documents(bare.select(*keep), f"{path}/results", run, per_document=2000)
+        met, log = scratch_path(spark, "styled-log"), eval_rows(spark, sf).select(*parts, "l_quantity", "duration", "status", "match_type", "user_style")
+        with shuffles_dropped(spark):
+            try:
+                log.write.parquet(met)
+                log = spark.read.schema(log.schema).parquet(met)
+                write_results(log, f"{path}/results")
+                write_sets(log, f"{path}/sets")
+            finally:
+                remove(spark, met)
 
     return written(spark, sf, "styled", write)
 
@@ -365,5 +406,13 @@ def _(spark, sf):
     folder = _styled_documents(spark, sf)
     rows = documents.explode_results(documents.read_results(spark, f"{folder}/results", "*.json.gz", one_per_file=False))
     _, cases = documents.read_testsets(spark, f"{folder}/sets", one_per_file=False)
-    styled = compare.with_styles(rows, cases).groupBy("user_style", "system_style", "language")
-    return styled.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "success").alias("successful"), F.count_if("correct").alias("correct"))
+    rows = rows.withColumn("successful", F.col("status") == "success")
+    counts = scratch_path(spark, "styled-counts")
+    for k in range(STYLE_SLICES):
+        share = F.pmod(F.xxhash64("test_id"), F.lit(STYLE_SLICES)) == k
+        styled = compare.with_styles(rows.filter(share), cases.filter(share)).groupBy("user_style", "system_style", "language")
+        styled = styled.agg(F.count(F.lit(1)).alias("total"), F.count_if("successful").alias("successful"), F.count_if("correct").alias("correct"))
+        with shuffles_dropped(spark):
+            styled.write.mode("append").parquet(counts)
+    shares = spark.read.schema(styled.schema).parquet(counts).groupBy("user_style", "system_style", "language")
+    return shares.agg(*(F.sum(x).alias(x) for x in ("total", "successful", "correct")))

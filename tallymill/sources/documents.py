@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymill.schemas import CORRUPT, RESULT_DOCUMENT, TESTSET_DOCUMENT
+from tallymill.session import remove, scratch_path, shuffles_dropped
 
 RESULT_GLOB = "results_*.json.gz"
 
@@ -214,14 +215,20 @@ def read_testsets(
     return headers, cases
 
 
-def write_documents(rows: DataFrame, path: str, run: Sequence[str], per_document: int = 5000) -> None:
+def write_documents(rows: DataFrame, path: str, run: Sequence[str], per_document: int = 5000, made: Mapping[str, Column] | None = None) -> None:
     """Scored rows as gzip result documents, one JSON document per line.
 
     A run with more than ``per_document`` rows becomes several documents, so the
     array of one document, and the task that builds it, stays bounded.  Only those runs, of which there are
-    fewer than rows / ``per_document``, are joined to the rows, so rows are shuffled once.
+    fewer than rows / ``per_document``, are joined to the rows, so rows are shuffled once.  They are found in a
+    job of its own, whose shuffle files are gone when the rows are shuffled.
+
+    ``made`` has fields that follow from the columns of ``rows``, or, where they describe a run, from those of
+    ``run``: they are worked out after the shuffle, so long names and nulls of all rows are not shuffled.  A column of
+    ``run`` that has one value in all rows belongs there too, as Spark would shuffle the rows again without it.
     """
-    c = F.col
+    made = made or {}
+    c = lambda x: made[x].alias(x) if x in made else F.col(x)
     entry = F.struct(
         c("test_id"),
         c("status"),
@@ -234,18 +241,22 @@ def write_documents(rows: DataFrame, path: str, run: Sequence[str], per_document
     )
     sizes = rows.groupBy(*run).agg(F.ceil(F.count(F.lit(1)) / per_document).cast("int").alias("_shards"))
     parted = sizes.filter("_shards > 1").withColumnsRenamed({x: f"_{x}" for x in run})
-    shard = F.pmod(F.xxhash64(*[c(x) for x in rows.columns]), F.coalesce("_shards", F.lit(1)))
-    keyed = rows.join(F.broadcast(parted), [F.equal_null(c(x), c(f"_{x}")) for x in run], "left")
+    spark, found = rows.sparkSession, scratch_path(rows.sparkSession, "long-runs")
+    with shuffles_dropped(spark):
+        parted.write.parquet(found)
+    parted = spark.read.schema(parted.schema).parquet(found)
+    shard = F.pmod(F.xxhash64(*rows.columns), F.coalesce("_shards", F.lit(1)))
+    keyed = rows.join(F.broadcast(parted), [F.equal_null(x, F.col(f"_{x}")) for x in run], "left")
     documents = (
-        keyed.withColumn("_shard", shard)
+        keyed.select(*rows.columns, shard.alias("_shard"))
         .repartition(*run, "_shard")  # a task holds few rows of a document, so lists are made after the shuffle only
         .groupBy(*run, "_shard")
         .agg(
             F.collect_list(entry).alias("results"),
             F.count_if(c("status") == "success").alias("ok"),
             F.count_if(c("status") != "success").alias("failed"),
-            F.count_if("correct").alias("right"),
-            F.sum("duration").alias("seconds"),
+            F.count_if(c("correct")).alias("right"),
+            F.sum(c("duration")).alias("seconds"),
             F.sum(c("input_tokens").cast("bigint")).alias("tin"),
             F.sum(c("output_tokens").cast("bigint")).alias("tout"),
         )
@@ -254,7 +265,7 @@ def write_documents(rows: DataFrame, path: str, run: Sequence[str], per_document
             F.struct(c("run_id").cast("string").alias("result_id")).alias("metadata"),
             F.struct(c("user_style").alias("user_prompt_style"), c("system_style").alias("system_prompt_style")).alias("test_config"),
             F.struct(c("model_name"), F.lit("local").alias("provider"), c("quantization")).alias("model_info"),
-            F.struct(F.lit("derived").alias("name"), (c("config_hash") if "config_hash" in run else F.lit(None).cast("string")).alias("config_hash")).alias("testset_metadata"),
+            F.struct(F.lit("derived").alias("name"), (c("config_hash") if "config_hash" in {*run, *made} else F.lit(None).cast("string")).alias("config_hash")).alias("testset_metadata"),
             F.struct(c("ok").alias("successful_tests"), c("failed").alias("failed_tests"), c("seconds").alias("duration_seconds")).alias("execution_info"),
             F.struct(
                 F.try_divide(c("right").cast("double"), c("ok").cast("double")).alias("accuracy"),
@@ -265,4 +276,7 @@ def write_documents(rows: DataFrame, path: str, run: Sequence[str], per_document
             "results",
         )
     )
-    documents.write.mode("overwrite").option("compression", "gzip").json(path)
+    try:
+        documents.write.mode("overwrite").option("compression", "gzip").json(path)
+    finally:
+        remove(spark, found)
