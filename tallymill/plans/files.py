@@ -335,9 +335,9 @@ def _(spark, sf):
     return bronze.groupBy("model_name").agg(F.count(F.lit(1)).alias("total"), F.count_if("correct").alias("correct"))
 
 
-#: Tests whose ids leave the same remainder get their styles together, one share after the other, so the shuffled rows of one
-#: share only are on disk at a time.  The documents are read once for each.
-STYLE_SLICES = 2
+#: Documents are written, and tests get their styles, in so many shares by hash, one after the other, so the shuffled rows of
+#: one share only are on disk at a time.  What they come from is read once for each.
+STYLE_SHARES = 3
 
 
 def _styled_documents(spark: SparkSession, sf: str) -> str:
@@ -362,32 +362,34 @@ def _styled_documents(spark: SparkSession, sf: str) -> str:
             "correct": F.coalesce(F.col("match_type") == "exact", F.lit(False)),
         }
         bare = log.select(*parts, "l_quantity", "duration", "status", "match_type")
-        documents.write_documents(bare, path, ["run_id"], per_document=2000, made=made)
+        documents.write_documents(bare, path, ["run_id"], per_document=2000, made=made, shares=STYLE_SHARES)
 
     def write_sets(log: DataFrame, path: str) -> None:
         # rows of a case are of one document, so one shuffle serves both to keep one of them and to make the list; rows are
         # counted, not cases, so sets with repeated rows have more and smaller documents
         sizes = log.groupBy(number("run_id").alias("_s")).agg(F.ceil(F.count(F.lit(1)) / 5000).alias("_shards"))
-        keyed = log.join(F.broadcast(sizes), number("run_id") == F.col("_s"))
-        document = (F.pmod(F.xxhash64(test_id), F.col("_shards")) * 7 + F.col("_s")).alias("_document")
+        document = F.pmod(F.xxhash64(test_id), F.col("_shards")) * 7 + F.col("_s")
+        keyed = log.join(F.broadcast(sizes), number("run_id") == F.col("_s")).withColumn("_document", document)
         # what is kept of a case is numbers, so cases are hashed, not sorted
         styles, tasks = (F.array(*map(F.lit, x)) for x in (USER_STYLES, TASKS))
         task = F.when(F.col("l_orderkey").isNotNull(), F.array_position(tasks, raw_task()).cast("int"))
         numbers = [F.array_position(styles, F.col("user_style")).cast("int").alias("_style"), task.alias("_task")]
-        dealt = keyed.select(document, *parts, *numbers).repartition("_document")
-        once = dealt.select("_document", test_id.alias("test_id"), "l_partkey", "_style", "_task").dropDuplicates(["_document", "test_id"])
+        dealt = keyed.select("_document", *parts, *numbers)
         style = {"user_style": F.element_at(styles, F.col("_style")), "system_style": system_style(), "language": F.lit("en")}
         said = F.create_map(*(x for key, value in style.items() for x in (F.lit(key), value)))
         case = F.struct("test_id", task_type_from_id(F.element_at(tasks, F.col("_task"))).alias("task_type"), said.alias("prompt_metadata"))
-        sets = once.groupBy("_document").agg(F.collect_list(case).alias("test_cases"))
-        sets = sets.select(F.struct(config_hash(number("_document")).alias("config_hash")).alias("metadata"), "test_cases")
-        sets.write.option("compression", "gzip").json(path)
+        for k in range(STYLE_SHARES):
+            some = dealt.filter(F.pmod(F.xxhash64("_document"), F.lit(STYLE_SHARES)) == k).repartition("_document")
+            once = some.select("_document", test_id.alias("test_id"), "l_partkey", "_style", "_task").dropDuplicates(["_document", "test_id"])
+            sets = once.groupBy("_document").agg(F.collect_list(case).alias("test_cases"))
+            sets = sets.select(F.struct(config_hash(number("_document")).alias("config_hash")).alias("metadata"), "test_cases")
+            sets.write.mode("append").option("compression", "gzip").json(path)
 
     def write(path: str) -> None:
         met, log = scratch_path(spark, "styled-log"), eval_rows(spark, sf).select(*parts, "l_quantity", "duration", "status", "match_type", "user_style")
         with shuffles_dropped(spark):
             try:
-                log.write.parquet(met)
+                log.write.option("compression", "zstd").parquet(met)
                 log = spark.read.schema(log.schema).parquet(met)
                 write_results(log, f"{path}/results")
                 write_sets(log, f"{path}/sets")
@@ -408,8 +410,8 @@ def _(spark, sf):
     _, cases = documents.read_testsets(spark, f"{folder}/sets", one_per_file=False)
     rows = rows.withColumn("successful", F.col("status") == "success")
     counts = scratch_path(spark, "styled-counts")
-    for k in range(STYLE_SLICES):
-        share = F.pmod(F.xxhash64("test_id"), F.lit(STYLE_SLICES)) == k
+    for k in range(STYLE_SHARES):
+        share = F.pmod(F.xxhash64("test_id"), F.lit(STYLE_SHARES)) == k
         styled = compare.with_styles(rows.filter(share), cases.filter(share)).groupBy("user_style", "system_style", "language")
         styled = styled.agg(F.count(F.lit(1)).alias("total"), F.count_if("successful").alias("successful"), F.count_if("correct").alias("correct"))
         with shuffles_dropped(spark):

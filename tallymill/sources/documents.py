@@ -215,7 +215,7 @@ def read_testsets(
     return headers, cases
 
 
-def write_documents(rows: DataFrame, path: str, run: Sequence[str], per_document: int = 5000, made: Mapping[str, Column] | None = None) -> None:
+def write_documents(rows: DataFrame, path: str, run: Sequence[str], per_document: int = 5000, made: Mapping[str, Column] | None = None, shares: int = 1) -> None:
     """Scored rows as gzip result documents, one JSON document per line.
 
     A run with more than ``per_document`` rows becomes several documents, so the
@@ -226,6 +226,9 @@ def write_documents(rows: DataFrame, path: str, run: Sequence[str], per_document
     ``made`` has fields that follow from the columns of ``rows``, or, where they describe a run, from those of
     ``run``: they are worked out after the shuffle, so long names and nulls of all rows are not shuffled.  A column of
     ``run`` that has one value in all rows belongs there too, as Spark would shuffle the rows again without it.
+
+    Documents are written in so many ``shares``, one after the other, each from the rows read again: with
+    ``shuffles_dropped`` the shuffled rows of one share only are on disk at a time.
     """
     made = made or {}
     c = lambda x: made[x].alias(x) if x in made else F.col(x)
@@ -247,9 +250,9 @@ def write_documents(rows: DataFrame, path: str, run: Sequence[str], per_document
     parted = spark.read.schema(parted.schema).parquet(found)
     shard = F.pmod(F.xxhash64(*rows.columns), F.coalesce("_shards", F.lit(1)))
     keyed = rows.join(F.broadcast(parted), [F.equal_null(x, F.col(f"_{x}")) for x in run], "left")
-    documents = (
-        keyed.select(*rows.columns, shard.alias("_shard"))
-        .repartition(*run, "_shard")  # a task holds few rows of a document, so lists are made after the shuffle only
+    keyed = keyed.select(*rows.columns, shard.alias("_shard"))
+    documents_of = lambda some: (
+        some.repartition(*run, "_shard")  # a task holds few rows of a document, so lists are made after the shuffle only
         .groupBy(*run, "_shard")
         .agg(
             F.collect_list(entry).alias("results"),
@@ -277,6 +280,8 @@ def write_documents(rows: DataFrame, path: str, run: Sequence[str], per_document
         )
     )
     try:
-        documents.write.mode("overwrite").option("compression", "gzip").json(path)
+        for k in range(shares):
+            some = keyed.filter(F.pmod(F.xxhash64(*run, "_shard"), F.lit(shares)) == k) if shares > 1 else keyed
+            documents_of(some).write.mode("append" if k else "overwrite").option("compression", "gzip").json(path)
     finally:
         remove(spark, found)

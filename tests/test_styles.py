@@ -7,6 +7,7 @@ import re
 import time
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallymill.operators.compare import with_styles
@@ -111,8 +112,9 @@ def test_styles_are_joined_with_one_shuffle_a_side(spark, capsys):
             spark.conf.set(x, value)
 
 
-def test_fields_made_late(spark, tmp_path):
-    """Fields in ``made`` are read back like columns, also in a run of several documents."""
+@pytest.mark.parametrize("shares", [1, 3])
+def test_fields_made_late(spark, tmp_path, shares):
+    """Fields in ``made`` are read back like columns, also in a run of several documents and from several writes."""
     rows = spark.range(90).select(
         F.when(F.col("id") >= 10, 1).alias("run_id"), "id", F.lit("success").alias("status"), F.lit(0.5).alias("duration"),
         F.lit(1).alias("input_tokens"), F.lit(2).alias("output_tokens"), F.lit("exact").alias("match_type"),
@@ -121,8 +123,8 @@ def test_fields_made_late(spark, tmp_path):
     made = {x: nothing for x in ("quantization", "user_style", "system_style", "task_params", "raw_response")} | {
         "test_id": F.concat(F.lit("t"), F.col("id").cast("string")), "model_name": F.concat(F.lit("m"), F.col("run_id").cast("string")), "config_hash": F.lit("c"), "correct": F.col("id") % 2 == 0,
     }
-    write_documents(rows, str(tmp_path / "d"), ["run_id"], per_document=30, made=made)
+    write_documents(rows, str(tmp_path / "d"), ["run_id"], per_document=30, made=made, shares=shares)
     docs = read_results(spark, str(tmp_path / "d"), "*.json.gz", one_per_file=False)
-    got = explode_results(docs).collect() if docs.count() else []
+    got = explode_results(docs).collect()
     assert Counter((r.run_id, r.test_id, r.correct, r.config_hash) for r in got) == Counter((str(1) if k >= 10 else None, f"t{k}", k % 2 == 0, "c") for k in range(90))
     assert 3 <= docs.filter("metadata.result_id = '1'").count() <= 4 and docs.filter("model_info.model_name = 'm1'").count() >= 2
